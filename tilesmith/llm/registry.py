@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilesmith.llm import simhash
+from tilesmith.llm import decontam, simhash
 from tilesmith.llm.common import table
 
 
+def op6_decontamination_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 10 words of every benchmark item, against all documents."""
+    found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", F.size("hit_at").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit_at") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"),
+    )
+
+
 def op10_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, links of at most 3 bits, over all documents."""
     rows = simhash.simhash_groups(table(spark, sf_dir, "documents"), k=3, radius=3)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op10_simhash_bk_trees,)}
+QUERIES = {f.__name__: f for f in (op6_decontamination_index, op10_simhash_bk_trees)}
 ORACLE: dict[str, str] = {}
