@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilesmith.llm import decontam, simhash
+from tilesmith.llm import decontam, linededup, simhash
 from tilesmith.llm.common import table
 
 
@@ -18,11 +18,17 @@ def op6_decontamination_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines on over 5 % of a source's documents go from them."""
+    rows = linededup.line_deduplicated(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("source").alias("host"), "n_lines", "n_dropped", "text")
+
+
 def op10_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, links of at most 3 bits, over all documents."""
     rows = simhash.simhash_groups(table(spark, sf_dir, "documents"), k=3, radius=3)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op6_decontamination_index, op10_simhash_bk_trees)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op6_decontamination_index, op9_site_line_dedup, op10_simhash_bk_trees)}
+ORACLE: dict[str, str] = {"op9_site_line_dedup": linededup.SQL}
