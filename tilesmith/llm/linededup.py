@@ -41,7 +41,7 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     without a host make up one group of their own.
     """
     pages = docs.select(F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
-    lines = F.array_distinct(F.filter(F.transform(F.split("text", NEWLINE), F.trim), lambda x: x != ""))
+    lines = F.array_distinct(F.filter(F.transform(F.split("text", NEWLINE), lambda x: F.trim(x)), lambda x: x != ""))
     seen = pages.select("host", F.explode(F.transform(lines, lambda x: F.xxhash64(x))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
     total = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
     often = seen.where(F.col("n") >= min_pages).join(total.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
