@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilesmith.llm import decontam, linededup, simhash
+from tilesmith.llm import bpe, decontam, linededup, simhash
 from tilesmith.llm.common import table
 
 
+#: Vocabulary of op3: one for many languages.
+BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Encoded, decoded, and both as hashes."""
+    path = public_tokenizers.path(BPE_RANKS)
+    rows = bpe.decoded(bpe.encoded(docs, path, public_tokenizers.PATTERN), path)
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 words of every benchmark item, against all documents."""
     found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -30,5 +49,5 @@ def op10_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op6_decontamination_index, op9_site_line_dedup, op10_simhash_bk_trees)}
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op6_decontamination_index, op9_site_line_dedup, op10_simhash_bk_trees)}
 ORACLE: dict[str, str] = {"op9_site_line_dedup": linededup.SQL}
