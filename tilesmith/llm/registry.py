@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilesmith.llm import bpe, decontam, linededup, simhash
+from tilesmith.llm import bpe, decontam, linededup, secrets, simhash
 from tilesmith.llm.common import table
 
 
@@ -28,6 +28,16 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a repository, its source the owner."""
+    rows = secrets.scanned(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    n = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    live = F.size(F.filter("spans", lambda x: x["verdict"] == "live")).cast("long").alias("n_live")
+    return rows.select("doc_id", *map(n, secrets.BASE), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), live, (F.size("spans") - live).cast("long").alias("n_copied"))
+
+
 def op6_decontamination_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 words of every benchmark item, against all documents."""
     found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -49,5 +59,5 @@ def op10_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op6_decontamination_index, op9_site_line_dedup, op10_simhash_bk_trees)}
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_secret_ownership, op6_decontamination_index, op9_site_line_dedup, op10_simhash_bk_trees)}
 ORACLE: dict[str, str] = {"op9_site_line_dedup": linededup.SQL}
