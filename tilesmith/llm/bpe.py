@@ -89,31 +89,34 @@ class _Numbers(dict):
         return n
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[list[str], list, list[np.ndarray]]]:
-    """(distinct words in order of appearance, doc_ids, word numbers of each text)."""
-    find = regex.compile(pattern).findall
-    words, ids, numbers, size = _Numbers(), [], [], 0
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """(doc_ids, texts) of a block of documents."""
+    ids, texts, size = [], [], 0
     for b in batches:
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-            text = text.as_py() or ""
             ids.append(doc_id)
-            numbers.append(np.frombuffer(array("i", map(words.__getitem__, find(text))), np.int32))
-            size += len(text)
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
             if size >= BLOCK_CHARS:
-                yield list(words), ids, numbers
-                words, ids, numbers, size = _Numbers(), [], [], 0
+                yield ids, texts
+                ids, texts, size = [], [], 0
     if ids:
-        yield list(words), ids, numbers
+        yield ids, texts
 
 
-def _name(words: list[str]) -> str:
-    return md5("\0".join(words).encode()).hexdigest()
+def _name(words) -> int:
+    """A block is known by its words, in order of first appearance."""
+    return int.from_bytes(md5("\0".join(words).encode()).digest()[:8], "little", signed=True)
 
 
 def _word_rows(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, _, _ in _blocks(batches, pattern):
-            name = _name(words)
+        find = regex.compile(pattern).findall
+        for _, texts in _blocks(batches):
+            seen: dict[str, None] = {}
+            for text in texts:
+                seen.update(dict.fromkeys(find(text)))
+            words, name = list(seen), _name(seen)
             for i in range(0, len(words), 20_000):
                 part = words[i : i + 20_000]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part)], ["block", "number", "word"])
@@ -132,54 +135,62 @@ def _unplanes(x: bytes) -> np.ndarray:
 
 def _position_rows(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, ids, numbers in _blocks(batches, pattern):
-            name, at = _name(words), 0
-            counts = [len(x) for x in numbers]
+        find = regex.compile(pattern).findall
+        for ids, texts in _blocks(batches):
+            words, parts, at = _Numbers(), [], 0
             while at < len(ids):
-                end, n = at + 1, counts[at]
-                while end < len(ids) and n + counts[end] <= PART_WORDS:
-                    n += counts[end]
-                    end += 1
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([ids[at:end]], pa.list_(pa.int64())), pa.array([counts[at:end]], pa.list_(pa.int32())), pa.array([_planes(np.concatenate(numbers[at:end]))], pa.binary())], ["block", "ids", "counts", "numbers"])
-                at = end
+                numbers, counts, start = array("i"), [], at
+                while at < len(ids) and len(numbers) < PART_WORDS:
+                    before = len(numbers)
+                    numbers.extend(map(words.__getitem__, find(texts[at])))
+                    counts.append(len(numbers) - before)
+                    at += 1
+                parts.append((ids[start:at], counts, _planes(np.frombuffer(numbers, np.int32))))
+            name = _name(words)
+            for own, counts, blob in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([own], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([blob], pa.binary())], ["block", "ids", "counts", "numbers"])
 
     return run
 
 
-def _encode_rows(ranks):
+def _encode_rows(ranks, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, last, ids = ranks.value, None, b""
         for b in batches:
             out = []
             for word in b.column(2).to_pylist():
                 if word != last:  # rows are sorted by word
-                    last, ids = word, array("i", merged(word.encode(), table)).tobytes()
+                    last, ids = word, np.array(merged(word.encode(), table), width).tobytes()
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["block", "number", "ids"])
 
     return run
 
 
-def _placed(words: pa.Table, rows: pa.Table) -> pa.Table:
-    """Token ids of each text of a block, in order of position."""
-    number = words["number"].to_numpy()
-    blobs = words["ids"].combine_chunks()
-    n = int(number.max()) + 1 if len(number) else 0
-    size, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    flat = np.frombuffer(b"".join(blobs.to_pylist()), np.int32)
-    lens = np.fromiter(map(len, blobs.to_pylist()), np.int64, len(number)) // 4
-    size[number], start[number] = lens, np.cumsum(lens) - lens
-    out = []
-    for ids, counts, numbers in zip(rows["ids"].to_pylist(), rows["counts"].to_pylist(), rows["numbers"].to_pylist()):
-        x = _unplanes(numbers)
-        if len(x) and (int(x.max()) >= n or not size[x].all()):
-            raise ValueError("a block's words changed between two reads: encode a stored table")
-        m = size[x]
-        ends = np.cumsum(m)
-        tokens = flat[np.repeat(start[x] - (ends - m), m) + np.arange(ends[-1] if len(ends) else 0)]
-        offsets = np.r_[0, ends][np.r_[0, np.cumsum(counts)]].astype(np.int32)
-        out.append(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], ["doc_id", "ids"]))
-    return pa.Table.from_batches(out, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+def _placed(width: str):
+    def run(words, rows):
+        """Token ids of each text of a block, in order of position."""
+        number = words["number"].to_numpy()
+        blobs = pa.concat_arrays(words["ids"].chunks) if words.num_rows else pa.array([], pa.binary())
+        ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1] if len(blobs) else np.zeros(1, np.int32)
+        flat = np.frombuffer(blobs.buffers()[2], width) if len(blobs) else np.zeros(0, width)
+        ends = ends.astype(np.int64) // np.dtype(width).itemsize
+        n = int(number.max()) + 1 if len(number) else 0
+        size, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        size[number], start[number] = np.diff(ends), ends[:-1]
+        out = []
+        for ids, counts, numbers in zip(rows["ids"], rows["counts"], rows["numbers"]):
+            x = _unplanes(numbers.as_py())
+            if len(x) and (int(x.max()) >= n or not size[x].all()):
+                raise ValueError("a block's words changed between two reads: encode a stored table")
+            m = size[x]
+            last = np.cumsum(m)
+            tokens = flat[np.repeat(start[x] - (last - m), m) + np.arange(last[-1] if len(last) else 0)].astype(np.int32)
+            offsets = np.r_[0, last][np.r_[0, np.cumsum(counts.values.to_numpy())]].astype(np.int32)
+            out.append(pa.RecordBatch.from_arrays([ids.values, pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], ["doc_id", "ids"]))
+        return pa.Table.from_batches(out, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+
+    return run
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,12 +200,14 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     null text counts as empty and has no ids. Repeated rows give repeated rows, an empty table
     none; other columns are not read.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # as large as the vocabulary
+    table = read_ranks(ranks_path)
+    ranks = docs.sparkSession.sparkContext.broadcast(table)  # as large as the vocabulary
+    width = "<u2" if max(table.values()) < 1 << 16 else "<i4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    words = rows.mapInArrow(_word_rows(pattern), "block string, number int, word string")
-    words = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_rows(ranks), "block string, number int, ids binary")
-    places = rows.mapInArrow(_position_rows(pattern), "block string, ids array<long>, counts array<int>, numbers binary")
-    return words.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_placed, "doc_id long, ids array<int>")
+    words = rows.mapInArrow(_word_rows(pattern), "block long, number int, word string")
+    words = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_rows(ranks, width), "block long, number int, ids binary")
+    places = rows.mapInArrow(_position_rows(pattern), "block long, ids array<long>, counts array<int>, numbers binary")
+    return words.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_placed(width), "doc_id long, ids array<int>")
 
 
 def decoded(tokens: DataFrame, ranks_path: str) -> DataFrame:
