@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilesmith.llm import bpe, decontam, linededup, secrets, simhash
+from tilesmith.llm import bpe, decontam, linededup, quality, secrets, simhash
 from tilesmith.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *map(n, secrets.BASE), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), live, (F.size("spans") - live).cast("long").alias("n_copied"))
 
 
+def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+    return rows.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_decontamination_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 words of every benchmark item, against all documents."""
     found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -59,5 +64,5 @@ def op10_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_secret_ownership, op6_decontamination_index, op9_site_line_dedup, op10_simhash_bk_trees)}
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_secret_ownership, op5_quality_pu, op6_decontamination_index, op9_site_line_dedup, op10_simhash_bk_trees)}
 ORACLE: dict[str, str] = {"op9_site_line_dedup": linededup.SQL}
