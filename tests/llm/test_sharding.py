@@ -1,0 +1,63 @@
+import zlib
+from collections import defaultdict
+
+import duckdb
+from tilesmith.llm import sharding
+from tilesmith.llm.registry import QUERIES
+
+
+def loads(rows):
+    out = defaultdict(int)
+    for r in rows:
+        out[r.shard] += r.size
+    return out
+
+
+def gapless(rows):
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    return all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = dict(duckdb.connect().execute(f"select doc_id, text from '{sf}/documents.parquet'").fetchall())
+    rows = QUERIES["op1_kd_sharding"](spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    where = defaultdict(set)
+    for r in rows:
+        b = docs[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(b) + 1, zlib.crc32(b), "bytes", None)
+        where[b].add(r.shard)
+    assert all(len(x) == 1 for x in where.values())
+    total = loads(rows)
+    assert set(total) == set(range(8)) and gapless(rows)
+    assert max(total.values()) - min(total.values()) < 0.02 * sum(total.values()) / 8
+
+
+def test_cuts_follow_the_tree(spark):
+    """With unit weights, even counts and no heavy groups, the first cut is the median of the widest dimension."""
+    df = spark.range(4096).selectExpr("id as doc_id", "concat('t', lpad(id, 6, '0')) as text", "'s' as source", "'en' as lang")
+    rows = sharding.kd_shards(df, shards=4, dims=("doc_id",)).collect()
+    for r in rows:
+        assert abs(r.doc_id // 1024 - r.shard) == 0 or abs(r.doc_id % 1024 - 512) > 505
+    five = loads(sharding.kd_shards(df, target_bytes=7000, dims=("doc_id", "source")).collect())
+    assert len(five) == 5 and max(five.values()) - min(five.values()) <= 5 * 8 + 40
+
+
+def test_edges(spark):
+    rows = [(None, None, None), (1, "", "s"), (1, "", "s"), (2, "é" * 400, "s"), (3, "x" * 100_000, None)] + [(10 + i, "copy " * 40, "s") for i in range(3000)] + [(5000 + i, f"own {i} " * 20, f"s{i % 7}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' as lang", "7 as shard", "8 as size", "9 as node", "1 as d0", "1 as hash")
+    got = sharding.kd_shards(df, shards=8).collect()
+    assert len(got) == len(rows) and gapless(got)
+    total = loads(got)
+    assert max(total.values()) - min(total.values()) < 0.05 * sum(total.values()) / 8  # the copies, more than a shard, are parted
+    by_text = defaultdict(set)
+    for r in got:
+        by_text[r.text_crc32].add(r.shard)
+    assert sum(len(x) > 1 for x in by_text.values()) == 1
+    assert sharding.kd_shards(df.limit(0), shards=8).count() == 0
+    assert {r.shard for r in sharding.kd_shards(df, shards=1).collect()} == {0}
+    same = df.selectExpr("1L as doc_id", "'a' as text", "source", "lang")
+    assert len(loads(sharding.kd_shards(same.limit(40), shards=4, dims=("source",)).collect())) >= 1
