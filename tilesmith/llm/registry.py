@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilesmith.llm import bpe, decontam, linededup, quality, secrets, sharding, simhash
+from tilesmith.llm import bpe, decontam, linededup, lmscore, quality, secrets, sharding, simhash
 from tilesmith.llm.common import table
 
 
@@ -16,6 +16,12 @@ def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled good and not toxic; background: all others."""
+    docs, target = lmscore.labelled_target(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return lmscore.scored(docs, target)
+
+
 #: Vocabulary of op3: one for many languages.
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -70,5 +76,5 @@ def op10_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_sharding, op3_byte_bpe, op4_secret_ownership, op5_quality_pu, op6_decontamination_index, op9_site_line_dedup, op10_simhash_bk_trees)}
+QUERIES = {f.__name__: f for f in (op1_kd_sharding, op2_lm_cross_entropy, op3_byte_bpe, op4_secret_ownership, op5_quality_pu, op6_decontamination_index, op9_site_line_dedup, op10_simhash_bk_trees)}
 ORACLE: dict[str, str] = {"op9_site_line_dedup": linededup.SQL}
