@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilesmith.llm import bpe, decontam, linededup, lmscore, quality, secrets, sharding, simhash
+from tilesmith.llm import bpe, decontam, imatch, linededup, lmscore, quality, secrets, sharding, simhash
 from tilesmith.llm.common import table
 
 
@@ -64,6 +64,11 @@ def op6_decontamination_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = imatch.fingerprints(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", imatch.told(F.col("fp")).alias("fingerprint"), imatch.told(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op9_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines on over 5 % of a source's documents go from them."""
     rows = linededup.line_deduplicated(table(spark, sf_dir, "documents"))
@@ -76,5 +81,5 @@ def op10_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_sharding, op2_lm_cross_entropy, op3_byte_bpe, op4_secret_ownership, op5_quality_pu, op6_decontamination_index, op9_site_line_dedup, op10_simhash_bk_trees)}
+QUERIES = {f.__name__: f for f in (op1_kd_sharding, op2_lm_cross_entropy, op3_byte_bpe, op4_secret_ownership, op5_quality_pu, op6_decontamination_index, op7_imatch, op9_site_line_dedup, op10_simhash_bk_trees)}
 ORACLE: dict[str, str] = {"op9_site_line_dedup": linededup.SQL}
