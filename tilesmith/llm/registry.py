@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilesmith.llm import bpe, decontam, imatch, linededup, lmscore, quality, secrets, sharding, simhash
+from tilesmith.llm import bpe, decontam, imatch, linededup, lmscore, pii, quality, secrets, sharding, simhash
 from tilesmith.llm.common import table
 
 
@@ -69,6 +69,15 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", "edited_sha256", imatch.told(F.col("fp")).alias("fingerprint"), imatch.told(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+#: Of the query only: callers bring their own secret.
+PII_KEY = b"key of the registered query"
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return rows.select("doc_id", "text", F.size("kinds").cast("long").alias("n_replaced"), F.array_join("kinds", ",").alias("kinds"))
+
+
 def op9_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines on over 5 % of a source's documents go from them."""
     rows = linededup.line_deduplicated(table(spark, sf_dir, "documents"))
@@ -81,5 +90,5 @@ def op10_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_sharding, op2_lm_cross_entropy, op3_byte_bpe, op4_secret_ownership, op5_quality_pu, op6_decontamination_index, op7_imatch, op9_site_line_dedup, op10_simhash_bk_trees)}
+QUERIES = {f.__name__: f for f in (op1_kd_sharding, op2_lm_cross_entropy, op3_byte_bpe, op4_secret_ownership, op5_quality_pu, op6_decontamination_index, op7_imatch, op8_pii_surrogates, op9_site_line_dedup, op10_simhash_bk_trees)}
 ORACLE: dict[str, str] = {"op9_site_line_dedup": linededup.SQL}
