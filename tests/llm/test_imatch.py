@@ -19,7 +19,8 @@ def brute(spark, docs, band=imatch.BAND):
     n = len(docs)
     df = Counter(x for _, t in docs for x in brute_terms(t))
     lex = [x for x, c in df.items() if max(2, band[0] * n) <= c <= band[1] * n]
-    rows = spark.createDataFrame([(x,) for x in lex], "term string").selectExpr("term", *(f"xxhash64({k}, term) & {(1 << 1 + k % imatch.RATES) - 1}L = 0 as k{k}" for k in range(imatch.SUBSETS))).collect()
+    keys = [(r, f) for r in range(1, imatch.LEVELS + 1) for f in range(imatch.FAMILIES)]
+    rows = spark.createDataFrame([(x,) for x in lex], "term string").selectExpr("term", *(f"xxhash64({f}, term) & {(1 << r) - 1}L = 0 as k{k}" for k, (r, f) in enumerate(keys))).collect()
     member = {r.term: [k for k in range(imatch.SUBSETS) if r[f"k{k}"]] for r in rows}
 
     def fp(t):

@@ -1,7 +1,7 @@
 """Document fingerprints by I-Match over randomised lexicons.
 
 The lexicon holds the terms whose document frequency lies in a band (so inverse document frequency
-lies in one too). Several random subsets of it are drawn, of falling density; for each, a
+lies in one too). Several random subsets of it are drawn, in families of falling density; for each, a
 document's distinct terms in the subset are sorted and hashed. A fingerprint is the list of these
 hashes: equal texts agree in all, and an edit changes only the subsets that hold an edited
 term, so the share of equal hashes grades likeness. The band's lower end bounds the lexicon:
@@ -24,9 +24,11 @@ from tilesmith.llm.common import small, written
 BAND = (0.0005, 0.2)
 #: A term in fewer documents than this is never in the lexicon.
 LEAST_DOCS = 2
-#: Subset k of SUBSETS holds a lexicon term with probability 2 ** -(1 + k % RATES).
-SUBSETS = 48
-RATES = 12
+#: Each of FAMILIES draws a term's level, r with probability 2 ** -(r + 1); its subset r holds the terms of
+#: level r and up, for r from 1 to LEVELS, so each subset is a random half of the one before.
+FAMILIES = 4
+LEVELS = 12
+SUBSETS = FAMILIES * LEVELS
 #: Documents in a run, and runs at most (more documents make longer runs).
 RUN_DOCS = 2000
 MOST_RUNS = 10_000
@@ -40,35 +42,50 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
-    """(term, n_docs, mask long), stored: the terms of the band; bit k of mask tells whether subset k holds it.
+    """(term, n_docs, z0, z1, ... int), stored: the terms of the band, and their level in each family.
 
     Terms are counted over all documents; a null text has none.
     """
     n = docs.count()
     rows = docs.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n_docs"))
     kept = rows.where(F.col("n_docs").between(max(LEAST_DOCS, band[0] * n), band[1] * n))
-    # independent bits of a term: subset k takes 1 + k % RATES of them, all of which must be 0
-    bits = F.lit(0).cast("long")
-    for k in range(SUBSETS):
-        rate = 1 + k % RATES
-        member = F.xxhash64(F.lit(k), "term").bitwiseAND(F.lit((1 << rate) - 1).cast("long")) == 0
-        bits = bits.bitwiseOR(F.when(member, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-    return written(kept.select("term", "n_docs", bits.alias("mask")), "lexicon")
 
+    def level(f: int) -> Column:  # zero bits at the end of a hash
+        zeros = (F.xxhash64(F.lit(f), "term").bitwiseAND(F.lit((1 << r) - 1).cast("long")) == 0 for r in range(1, LEVELS + 1))
+        return sum((z.cast("int") for z in zeros), F.lit(0))
 
-def fingerprint(found: Column, whole: Column) -> Column:
-    """array<long> of SUBSETS 32-bit hashes from sorted structs (term, mask); null where a subset holds none of the terms.
+    return written(kept.select("term", "n_docs", *(level(f).alias(f"z{f}") for f in range(FAMILIES))), "lexicon")
 
-    A document without any lexicon term has the hash ``whole`` of all its terms in its first place.
+
+def with_fingerprints(df: DataFrame, lists: dict[str, tuple[str, str]]) -> DataFrame:
+    """df with a fingerprint, array<long> of SUBSETS 32-bit hashes, for each name: (list, whole) of ``lists``.
+
+    list: sorted array<struct<term, z0, ...>> of a document's lexicon terms. A hash is null where the
+    subset holds none of them. A document without lexicon terms has the hash ``whole`` of all its
+    terms in its first place. The lists are halved level by level, each from the one before.
     """
     low = F.lit(0xFFFFFFFF).cast("long")
-    made = []
-    for k in range(SUBSETS):
-        bit = F.lit(1 << k).cast("long")
-        own = F.transform(F.filter(found, lambda x: x["mask"].bitwiseAND(bit) != 0), lambda x: x["term"])  # noqa: B023
-        made.append(F.when(F.size(own) > 0, F.xxhash64(F.lit(k), own).bitwiseAND(low)))
-    made[0] = F.when(F.size(found) == 0, whole.bitwiseAND(low)).otherwise(made[0])
-    return F.array(*made)
+    for name, (own, _) in lists.items():
+        df = df.withColumns({f"_{name}_{f}": F.col(own) for f in range(FAMILIES)})
+    for r in range(1, LEVELS + 1):
+        df = df.withColumns({f"_{name}_{f}": F.filter(f"_{name}_{f}", _from_level(f"z{f}", r)) for name in lists for f in range(FAMILIES)})
+        hashes = {}
+        for name in lists:
+            for f in range(FAMILIES):
+                own = F.col(f"_{name}_{f}")
+                hashes[f"_{name}_{r}_{f}"] = F.when(F.size(own) > 0, F.xxhash64(F.lit(r * FAMILIES + f), F.transform(own, lambda x: x["term"])).bitwiseAND(low))
+        df = df.withColumns(hashes)
+    made = {}
+    for name, (own, whole) in lists.items():
+        parts = [F.col(f"_{name}_{r}_{f}") for r in range(1, LEVELS + 1) for f in range(FAMILIES)]
+        parts[0] = F.when(F.size(own) == 0, F.col(whole).bitwiseAND(low)).otherwise(parts[0])
+        made[name] = F.array(*parts)
+    df = df.withColumns(made)
+    return df.drop(*(c for c in df.columns if any(c.startswith(f"_{name}_") for name in lists)))
+
+
+def _from_level(z: str, r: int):
+    return lambda x: x[z] >= r
 
 
 def told(fp: Column) -> Column:
@@ -78,8 +95,10 @@ def told(fp: Column) -> Column:
 
 def likeness(a: str, b: str) -> Column:
     """Of the subsets in which either fingerprint has a hash, the share in which both have the same."""
-    pairs = F.filter(F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() | y.isNotNull(), F.when(x.eqNullSafe(y), 1.0).otherwise(0.0))), lambda x: x.isNotNull())
-    return F.aggregate(pairs, F.lit(0.0), lambda x, y: x + y) / F.size(pairs)
+    pairs = F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() | y.isNotNull(), F.when(x.eqNullSafe(y), 1.0).otherwise(0.0)))
+    start = F.struct(F.lit(0.0).alias("same"), F.lit(0.0).alias("all"))
+    add = lambda s, x: F.struct((s["same"] + F.coalesce(x, F.lit(0.0))).alias("same"), (s["all"] + F.when(x.isNull(), 0.0).otherwise(1.0)).alias("all"))
+    return F.aggregate(pairs, start, add, lambda s: s["same"] / s["all"])
 
 
 def _run_of(cuts: list[int]) -> Column:
@@ -126,7 +145,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of fp to edited_fp and to the next document's fp. Null texts count as empty; texts without terms
     are alike; a lone document is its own next; an empty table gives no rows; other columns are not read.
     """
-    words = small(lexicon(docs, text_col, band).select(F.col("term").alias("_term"), "mask"), BROADCAST_TERMS)
+    zs = [f"z{f}" for f in range(FAMILIES)]
+    words = small(lexicon(docs, text_col, band).select(F.col("term").alias("_term"), *zs), BROADCAST_TERMS)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = neighbours(docs, id_col, text_col).select(
@@ -134,18 +154,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(F.col("ghost"), F.lit("")).otherwise(F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))).alias("edited"),
     )
     rows = rows.withColumn("other", terms(F.col("edited")))
-    hashed = lambda c: F.xxhash64(F.lit(-1), F.array_sort(c))
+    hashed = lambda c: F.xxhash64(F.lit(-1), F.sort_array(c))
     about = F.struct("doc_id", "ghost", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), hashed("own").alias("whole"), hashed("other").alias("edited_whole"))
     nothing = F.lit(None).cast(about_type())
     item = lambda edited, about, term: F.struct(F.lit(edited).alias("e"), term.alias("term"), about.alias("about"))
     items = F.concat(F.array(item(False, about, F.lit(""))), F.transform("own", lambda x: item(False, nothing, x)), F.transform("other", lambda x: item(True, nothing, x)))
     rows = rows.select("run", "pos", F.explode(items).alias("i")).select("run", "pos", "i.*")
-    rows = rows.join(words, F.col("term") == F.col("_term"), "left").where("mask is not null or about is not null")
+    rows = rows.join(words, F.col("term") == F.col("_term"), "left").where("z0 is not null or about is not null")
     found = rows.groupBy("run", "pos").agg(
         F.max("about").alias("about"),
-        *(F.collect_list(F.when(F.col("mask").isNotNull() & (F.col("e") == e), F.struct("term", "mask"))).alias(c) for e, c in ((False, "own"), (True, "other"))),
+        *(F.sort_array(F.collect_list(F.when(F.col("z0").isNotNull() & (F.col("e") == e), F.struct("term", *zs)))).alias(c) for e, c in ((False, "own"), (True, "other"))),
     )
-    made = found.select("run", "pos", "about.*", fingerprint(F.array_sort("own"), F.col("about.whole")).alias("fp"), fingerprint(F.array_sort("other"), F.col("about.edited_whole")).alias("edited_fp"))
+    made = with_fingerprints(found.select("run", "pos", "about.*", "own", "other"), {"fp": ("own", "whole"), "edited_fp": ("other", "edited_whole")})
     made = made.withColumn("next_fp", F.lead("fp").over(Window.partitionBy("run").orderBy("pos"))).where("not ghost")
     return made.select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
 
