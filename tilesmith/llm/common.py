@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+#: Rows of an Arrow batch. Spark's default of 10,000 whole texts is tens of MB, several times over in each task.
+ARROW_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder. Where the session has Spark's default Arrow batch, it is cut to ARROW_ROWS rows."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -31,8 +31,9 @@ SHARD_MEAN = 64
 #: A shard of more members is dealt out again by its other bits.
 SHARD_MOST = 8192
 #: Pairs of query and tree node held at once in a task.
-FRONTIER = 1 << 21
-CHUNK = 1 << 16
+FRONTIER = 1 << 18
+#: Shingles of a text hashed at once.
+CHUNK = 1 << 14
 
 
 def fingerprint(text: str | None, k: int = 3) -> int:
@@ -169,7 +170,7 @@ def _search(radius: int):
         for x in batches:
             held.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
             rows += x.num_rows
-            if rows >= 1 << 18 and (out := done(True)) is not None:
+            if rows >= 1 << 16 and (out := done(True)) is not None:
                 yield out
         if (out := done(False)) is not None:
             yield out
