@@ -21,14 +21,14 @@ def brute(spark, docs, band=imatch.BAND):
     lex = [x for x, c in df.items() if max(2, band[0] * n) <= c <= band[1] * n]
     keys = [(r, f) for r in range(1, imatch.LEVELS + 1) for f in range(imatch.FAMILIES)]
     rows = spark.createDataFrame([(x,) for x in lex], "term string").selectExpr("term", *(f"xxhash64({f}, term) & {(1 << r) - 1}L = 0 as k{k}" for k, (r, f) in enumerate(keys))).collect()
-    member = {r.term: [k for k in range(imatch.SUBSETS) if r[f"k{k}"]] for r in rows}
+    member = {r.term: [k for k in range(imatch.SUBSETS - 1) if r[f"k{k}"]] for r in rows}
 
     def fp(t):
         own = brute_terms(t)
         hit = sorted(x for x in own if x in member)
         if not hit:
-            return [tuple(sorted(own))] + [None] * (imatch.SUBSETS - 1)
-        return [tuple(x for x in hit if k in member[x]) or None for k in range(imatch.SUBSETS)]
+            return [("no lexicon term", *sorted(own))] + [None] * (imatch.SUBSETS - 1)
+        return [tuple(hit)] + [tuple(x for x in hit if k in member[x]) or None for k in range(imatch.SUBSETS - 1)]
 
     def like(a, b):
         pairs = [(x, y) for x, y in zip(a, b) if x is not None or y is not None]

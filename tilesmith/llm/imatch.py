@@ -1,7 +1,7 @@
 """Document fingerprints by I-Match over randomised lexicons.
 
 The lexicon holds the terms whose document frequency lies in a band (so inverse document frequency
-lies in one too). Several random subsets of it are drawn, in families of falling density; for each, a
+lies in one too). Beside the whole of it, random subsets of it are used, in families of falling density; for each, a
 document's distinct terms in the subset are sorted and hashed. A fingerprint is the list of these
 hashes: equal texts agree in all, and an edit changes only the subsets that hold an edited
 term, so the share of equal hashes grades likeness. The band's lower end bounds the lexicon:
@@ -28,7 +28,7 @@ LEAST_DOCS = 2
 #: level r and up, for r from 1 to LEVELS, so each subset is a random half of the one before.
 FAMILIES = 4
 LEVELS = 12
-SUBSETS = FAMILIES * LEVELS
+SUBSETS = 1 + FAMILIES * LEVELS
 #: Documents in a run, and runs at most (more documents make longer runs).
 RUN_DOCS = 2000
 MOST_RUNS = 10_000
@@ -61,8 +61,8 @@ def with_fingerprints(df: DataFrame, lists: dict[str, tuple[str, str]]) -> DataF
     """df with a fingerprint, array<long> of SUBSETS 32-bit hashes, for each name: (list, whole) of ``lists``.
 
     list: sorted array<struct<term, z0, ...>> of a document's lexicon terms. A hash is null where the
-    subset holds none of them. A document without lexicon terms has the hash ``whole`` of all its
-    terms in its first place. The lists are halved level by level, each from the one before.
+    subset holds none of them. The first is of the whole lexicon; in a document without lexicon terms
+    it is the hash ``whole`` of all its terms. The lists are halved level by level, each from the one before.
     """
     low = F.lit(0xFFFFFFFF).cast("long")
     for name, (own, _) in lists.items():
@@ -78,8 +78,8 @@ def with_fingerprints(df: DataFrame, lists: dict[str, tuple[str, str]]) -> DataF
     made = {}
     for name, (own, whole) in lists.items():
         parts = [F.col(f"_{name}_{r}_{f}") for r in range(1, LEVELS + 1) for f in range(FAMILIES)]
-        parts[0] = F.when(F.size(own) == 0, F.col(whole).bitwiseAND(low)).otherwise(parts[0])
-        made[name] = F.array(*parts)
+        first = F.when(F.size(own) == 0, F.col(whole)).otherwise(F.xxhash64(F.lit(0), F.transform(own, lambda x: x["term"])))
+        made[name] = F.array(first.bitwiseAND(low), *parts)
     df = df.withColumns(made)
     return df.drop(*(c for c in df.columns if any(c.startswith(f"_{name}_") for name in lists)))
 
