@@ -43,7 +43,7 @@ def test_run_equals_brute_force(spark):
 def test_stages_take_odd_rows(spark, sf):
     odd = [(None, None, None, None, None), (10**6, None, "en", "src0", None), (10**6 + 1, "", None, None, 0), (10**6 + 2, "word " * 60_000, "en", "src1", 300_000), (10**6 + 3, "twice the same row", "en", "src1", 18)]
     base = spark.read.parquet(f"{sf}/documents.parquet")
-    docs = base.unionByName(spark.createDataFrame([*odd, odd[-1]], base.schema)).withColumn("fp", F.lit(1)).withColumn("host", F.lit("h"))
+    docs = base.unionByName(spark.createDataFrame([*odd, odd[-1]], base.schema)).withColumns({c: F.lit(1) for c in ("fp", "host", "_id", "_hash", "_bad", "_host", "_hashes", "_kept", "block", "label")})
     for rows in (docs, docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             rows2 = stage(spark, rows, sf)

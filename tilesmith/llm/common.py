@@ -37,6 +37,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints/tilesmith"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def _path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

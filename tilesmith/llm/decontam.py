@@ -220,4 +220,4 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     bad = written(matches(docs, items).where(F.size("hit_at") > 0).select(F.col("doc_id").alias("_bad")).distinct(), "bad")
     side = small(bad)
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(docs.columns)
+    return docs.join(side, docs["doc_id"].eqNullSafe(side["_bad"]), "left_anti").select(docs.columns)

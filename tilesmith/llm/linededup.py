@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilesmith.llm.common import small, written
+from tilesmith.llm.common import fresh, small, written
 
 #: A line on more than this share of a host's pages is boilerplate.
 RATIO = 0.05
@@ -56,15 +56,17 @@ def line_deduplicated(docs: DataFrame, host: str = "source", text: str = "text",
     lines, an empty one has one line. Blank lines stay. Repeated rows count as pages each. A
     null host is a host. Columns n_lines and n_dropped of docs are replaced.
     """
-    found = written(boilerplate(docs, host, text, ratio, min_pages).select(F.col("host").alias("_host"), F.col("hashes").alias("_hashes")), "boilerplate")
-    rows = docs.drop("n_lines", "n_dropped").join(small(found, BROADCAST_HOSTS), F.col(host).cast("string").eqNullSafe(F.col("_host")), "left")
-    kept = F.filter(_lines(text), lambda x: ~F.coalesce(F.array_contains("_hashes", F.xxhash64(F.trim(x))), F.lit(False)))
-    rows = rows.withColumn("_kept", F.when(F.col("_hashes").isNull(), _lines(text)).otherwise(kept))
+    docs = docs.drop("n_lines", "n_dropped")
+    own, hashes, left = (fresh(docs, x) for x in ("_host", "_hashes", "_kept"))
+    found = written(boilerplate(docs, host, text, ratio, min_pages).select(F.col("host").alias(own), F.col("hashes").alias(hashes)), "boilerplate")
+    rows = docs.join(small(found, BROADCAST_HOSTS), F.col(host).cast("string").eqNullSafe(F.col(own)), "left")
+    kept = F.filter(_lines(text), lambda x: ~F.coalesce(F.array_contains(hashes, F.xxhash64(F.trim(x))), F.lit(False)))
+    rows = rows.withColumn(left, F.when(F.col(hashes).isNull(), _lines(text)).otherwise(kept))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(text))).cast("long")
-    n_kept = F.when(F.col(text).isNull(), 0).otherwise(F.size("_kept")).cast("long")
+    n_kept = F.when(F.col(text).isNull(), 0).otherwise(F.size(left)).cast("long")
     out = rows.withColumn("n_lines", n_lines).withColumn("n_dropped", n_lines - n_kept)
-    out = out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_kept", NEWLINE)).otherwise(F.col(text)))
-    return out.drop("_host", "_hashes", "_kept")
+    out = out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join(left, NEWLINE)).otherwise(F.col(text)))
+    return out.drop(own, hashes, left)
 
 
 #: Trim takes spaces, as F.trim does. Documents of no host are one group.

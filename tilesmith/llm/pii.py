@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilesmith.llm.common import dropped, written
+from tilesmith.llm.common import dropped, fresh, written
 
 #: Entities that drew again beyond which they are joined to documents instead of broadcast.
 BROADCAST_AGAIN = 500_000
@@ -229,21 +229,22 @@ def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     again = written(assigned(known, key).where("attempt > 0"), "again")
     few = again.limit(BROADCAST_AGAIN + 1).count() <= BROADCAST_AGAIN
     docs = docs.drop("kinds")
+    more = fresh(docs, "_again")
     if few:
         shared = spark.sparkContext.broadcast({(r.kind, r.entity): r.attempt for r in again.collect()})
-        own = docs.withColumn("_again", F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>"))
+        own = docs.withColumn(more, F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>"))
     else:
         shared = spark.sparkContext.broadcast({})
-        by_doc = mentions.join(again, ["kind", "entity"]).groupBy("doc_id", "hash").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("_again"))
-        by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "_again")
-        own = docs.join(by_doc, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")), "left").select(*docs.columns, "_again")
+        by_doc = mentions.join(again, ["kind", "entity"]).groupBy("doc_id", "hash").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias(more))
+        by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), more)
+        own = docs.join(by_doc, docs[id_col].cast("long").eqNullSafe(by_doc["_id"]) & (F.xxhash64(docs[text_col]) == by_doc["_hash"]), "left").select(*(docs[c] for c in docs.columns), by_doc[more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, last = b.schema.get_field_index(text_col), b.num_columns - 1
             texts, kinds = [], []
-            for text, more in zip(b.column(at), b.column(last)):
-                attempts = {(x["kind"], x["entity"]): x["attempt"] for x in more.as_py()} if more.is_valid else shared.value
+            for text, again in zip(b.column(at), b.column(last)):
+                attempts = {(x["kind"], x["entity"]): x["attempt"] for x in again.as_py()} if again.is_valid else shared.value
                 t, k = replaced(key, text.as_py(), attempts)
                 texts.append(t)
                 kinds.append(k)

@@ -185,4 +185,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """docs without the rows that the classifier rejects; each row is judged by its own text."""
     bad = scored(docs, labels, threshold).where("predicted = 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     bad = small(written(bad, "rejected"))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti").select(docs.columns)
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti").select(docs.columns)
