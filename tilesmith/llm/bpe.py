@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 32 << 20
 #: Pre-tokens in a row of positions.
 PART_WORDS = 1 << 20
+#: Encoded words that are put together by block before they go back to it.
+PACK_WORDS = 1 << 18
 #: Longer words are merged by a heap instead of scans.
 SCAN_BYTES = 64
 
@@ -155,29 +157,46 @@ def _position_rows(pattern: str):
 
 def _encode_rows(ranks, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, last, ids = ranks.value, None, b""
+        table, last, ids, held, n = ranks.value, None, b"", ([], [], []), 0
         for b in batches:
-            out = []
+            held[0].append(b.column(0).to_numpy())
+            held[1].append(b.column(1).to_numpy())
             for word in b.column(2).to_pylist():
                 if word != last:  # rows are sorted by word
                     last, ids = word, np.array(merged(word.encode(), table), width).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["block", "number", "ids"])
+                held[2].append(ids)
+            n += b.num_rows
+            if n >= PACK_WORDS:
+                yield _packed(*held)
+                held, n = ([], [], []), 0
+        if n:
+            yield _packed(*held)
 
     return run
 
 
+def _packed(blocks: list[np.ndarray], numbers: list[np.ndarray], ids: list[bytes]) -> pa.RecordBatch:
+    """A row for each block: steps between its word numbers, bytes of ids of each, and the ids."""
+    block, number = np.concatenate(blocks), np.concatenate(numbers)
+    order = np.lexsort((number, block))
+    block, number = block[order], number[order]
+    sizes = np.fromiter(map(len, ids), np.int32, len(ids))[order]
+    ends = np.flatnonzero(np.r_[block[1:] != block[:-1], True]) + 1
+    rows = [(block[a], _planes(np.diff(number[a:e], prepend=0)), _planes(sizes[a:e]), b"".join([ids[i] for i in order[a:e]])) for a, e in zip(np.r_[0, ends[:-1]], ends)]
+    cols = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["block", "steps", "sizes", "ids"])
+
+
 def _placed(width: str):
     def run(words, rows):
         """Token ids of each text of a block, in order of position."""
-        number = words["number"].to_numpy()
-        blobs = pa.concat_arrays(words["ids"].chunks) if words.num_rows else pa.array([], pa.binary())
-        ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1] if len(blobs) else np.zeros(1, np.int32)
-        flat = np.frombuffer(blobs.buffers()[2], width) if len(blobs) else np.zeros(0, width)
-        ends = ends.astype(np.int64) // np.dtype(width).itemsize
+        parts = [(np.cumsum(_unplanes(s.as_py())), _unplanes(z.as_py()), i.as_py()) for s, z, i in zip(words["steps"], words["sizes"], words["ids"])]
+        number = np.concatenate([x[0] for x in parts]) if parts else np.zeros(0, np.int64)
+        lens = np.concatenate([x[1] for x in parts]).astype(np.int64) // np.dtype(width).itemsize if parts else number
+        flat = np.frombuffer(b"".join(x[2] for x in parts), width)
         n = int(number.max()) + 1 if len(number) else 0
         size, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        size[number], start[number] = np.diff(ends), ends[:-1]
+        size[number], start[number] = lens, np.cumsum(lens) - lens
         out = []
         for ids, counts, numbers in zip(rows["ids"], rows["counts"], rows["numbers"]):
             x = _unplanes(numbers.as_py())
@@ -205,7 +224,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     width = "<u2" if max(table.values()) < 1 << 16 else "<i4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     words = rows.mapInArrow(_word_rows(pattern), "block long, number int, word string")
-    words = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_rows(ranks, width), "block long, number int, ids binary")
+    words = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_rows(ranks, width), "block long, steps binary, sizes binary, ids binary")
     places = rows.mapInArrow(_position_rows(pattern), "block long, ids array<long>, counts array<int>, numbers binary")
     return words.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_placed(width), "doc_id long, ids array<int>")
 
