@@ -50,10 +50,15 @@ def _path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    The driver deletes it when it ends, if ``dropped`` hasn't before.
+    """
     spark = df.sparkSession
     path = _path(spark, name)
     df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilesmith.llm.common import small, written
+from tilesmith.llm.common import dropped, small, written
 
 WINDOW = 10
 #: Extra words between the terms of a window that a proximity match allows.
@@ -195,10 +195,11 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col:
     """
     tests = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(text_col))
     parts = _test_parts(tests)
-    out = None
+    out, indexes = None, []
     for part in parts:
         terms = frozenset(t for _, w in part for t in w)
         index = positional_index(docs, terms, id_col, text_col)
+        indexes.append(index)
         # frequencies of the test's terms only: no more rows than the part has words
         df = {r.term: r.n for r in index.where("term is not null").groupBy("term").agg(F.sum("n_words").alias("n")).collect()}
         df = {bytes(k): v for k, v in df.items()}
@@ -206,6 +207,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col:
         out = found if out is None else out.unionByName(found)
     if len(parts) > 1:  # blocks are the same in every part
         out = out.groupBy("block", "seq", "doc_id", "n_words").agg(*(_union_of(c) for c in ("hit_at", "items", "near_items")))
+    out._indexes = indexes  # may be dropped once the matches are stored
     return out
 
 
@@ -218,6 +220,9 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Rows with a null doc_id stay only if no row with a null doc_id is hit.
     """
-    bad = written(matches(docs, items).where(F.size("hit_at") > 0).select(F.col("doc_id").alias("_bad")).distinct(), "bad")
+    found = matches(docs, items)
+    bad = written(found.where(F.size("hit_at") > 0).select(F.col("doc_id").alias("_bad")).distinct(), "bad")
+    for index in found._indexes:
+        dropped(index)
     side = small(bad)
     return docs.join(side, docs["doc_id"].eqNullSafe(side["_bad"]), "left_anti").select(docs.columns)
