@@ -5,7 +5,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 from tests.llm.test_bpe import ENC
 from tests.llm.test_decontam import brute as brute_leaks
-from tests.llm.test_simhash import brute_groups
+from tests.llm.test_similar import brute as brute_groups
 from tilesmith.llm import linededup, quality
 
 
@@ -22,7 +22,7 @@ def brute(spark, docs, sf):
     texts = {d.doc_id: "\n".join(x for x in d.text.split("\n") if (d.source, x.strip(" ")) not in gone) for d in docs}
     assert gone
     groups = brute_groups(texts.items())
-    texts = {i: t for i, t in texts.items() if groups[i][1] == i}
+    texts = {i: t for i, t in texts.items() if groups[i] == i}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     hit = {r[0] for r in brute_leaks(texts.items(), items) if r[-1]}
     assert hit

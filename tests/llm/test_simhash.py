@@ -50,10 +50,10 @@ def test_edges(spark):
     got = simhash.simhash_groups(df).collect()
     assert len(got) == len(rows)
     assert all((f"{r.fp % 2**64:016x}", r.component_id) == want[r.doc_id] for r in got)
-    kept = simhash.near_deduplicated(df.withColumn("fp", df.doc_id))
+    kept = simhash.near_deduplicated(df.withColumn("fp", df.doc_id), k=3, similarity=None)
     assert kept.columns == [*df.columns, "fp"]
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 5]
-    assert simhash.near_deduplicated(df.limit(0)).count() == 0
+    assert simhash.near_deduplicated(df.limit(0), similarity=None).count() == 0
 
 
 def test_forest_finds_every_pair():

@@ -8,13 +8,21 @@ following only edges within the radius. Each pair in reach meets in at least one
 result is exact. Trees go to the shard's task by the shuffle instead of a broadcast, because
 their total size grows with the corpus. A shard gives one edge per member, to the
 smallest member it is linked with inside the shard, so large groups give no pair lists.
+
+``similar_groups`` finds documents of a Jaccard similarity of word shingles instead, which few bits don't
+tell. Its fingerprints have 128 bits, of which texts at the similarity differ in a known share, and
+shards are keyed by sampled bits in as many tables as the wanted recall takes. A BK-tree in each shard
+finds the members within a wide radius; the shard gives their minimum spanning forest, which connects what
+all pairs would connect at any distance, in fewer edges than members. Shingle sets then decide each edge
+exactly, and components are those of the edges that pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, ceil, comb, log, log2, pi
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +40,8 @@ SHARD_MEAN = 64
 SHARD_MOST = 8192
 #: Pairs of query and tree node held at once in a task.
 FRONTIER = 1 << 18
+#: Rows of sorted shards that a task works on at once, or one shard if it is larger.
+SHARD_ROWS = 1 << 16
 #: Shingles of a text hashed at once.
 CHUNK = 1 << 14
 
@@ -65,18 +75,22 @@ def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
 
 
 class Forest:
-    """BK-trees of many shards at once, as arrays; rows sorted by shard, fingerprints distinct in a shard."""
+    """BK-trees of many shards at once, as arrays; rows sorted by shard, fingerprints distinct in a shard.
+
+    fp: a column of 64 bits or several.
+    """
 
     def __init__(self, shard: np.ndarray, fp: np.ndarray) -> None:
-        self.fp, n = fp.view(np.uint64), len(fp)  # bitwise_count takes absolute values of signed numbers
-        fp = self.fp
+        n = len(fp)
+        self.fp = np.ascontiguousarray(fp).reshape(n, -1).view(np.uint64)  # bitwise_count takes absolute values of signed numbers
+        most = BITS * self.fp.shape[1]
         first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
         self.root = np.repeat(first, np.diff(np.r_[first, n]))
         parent, edge = np.full(n, -1), np.zeros(n, np.int64)
         rows, at = np.flatnonzero(self.root != np.arange(n)), self.root.copy()
         while len(rows):  # one level of all trees: of the rows below a node, the first at each distance is its child
-            d = np.bitwise_count(fp[rows] ^ fp[at[rows]]).astype(np.int64)
-            slot, head, back = np.unique(at[rows] * (BITS + 1) + d, return_index=True, return_inverse=True)
+            d = self.distance(rows, at[rows])
+            slot, head, back = np.unique(at[rows] * (most + 1) + d, return_index=True, return_inverse=True)
             child = rows[head]
             parent[child], edge[child] = at[rows[head]], d[head]
             at[rows] = child[back]
@@ -86,16 +100,19 @@ class Forest:
         self.lo = np.searchsorted(parent[self.order], np.arange(n), "left")
         self.hi = np.searchsorted(parent[self.order], np.arange(n), "right")
 
-    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Rows of each shard within the radius, in parts."""
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.fp[a] ^ self.fp[b]).sum(1, dtype=np.int64)
+
+    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of each shard within the radius, and their distance, in parts."""
         q = np.arange(len(self.fp))
         stack = [(q[i : i + FRONTIER], self.root[i : i + FRONTIER]) for i in range(0, len(q), FRONTIER)]
         while stack:
             q, node = stack.pop()
-            d = np.bitwise_count(self.fp[q] ^ self.fp[node]).astype(np.int64)
+            d = self.distance(q, node)
             hit = (d <= radius) & (q != node)
             if hit.any():
-                yield q[hit], node[hit]
+                yield q[hit], node[hit], d[hit]
             n = self.hi[node] - self.lo[node]
             ends = np.cumsum(n)
             for a, b in _parts(ends):
@@ -141,7 +158,7 @@ def shard_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
     if not len(fp):
         return fp, fp
     parent = np.arange(len(fp))
-    for a, b in Forest(shard, fp).pairs(radius):
+    for a, b, _ in Forest(shard, fp).pairs(radius):
         _joined(parent, a, b)
     _joined(parent, parent[:1], parent[:1])
     while not np.array_equal(parent[parent], parent):
@@ -150,30 +167,29 @@ def shard_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
     return fp[far], fp[parent[far]]
 
 
+def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of some shards, none of them cut; rows come sorted by the first column."""
+    held: list[list[np.ndarray]] = []
+    rows, wanted = 0, SHARD_ROWS
+    for x in batches:
+        held.append([c.to_numpy() for c in x.columns])
+        rows += x.num_rows
+        if rows >= wanted:
+            cols = [np.concatenate(c) for c in zip(*held)]
+            end = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last shard may go on in the next batch
+            if end:
+                yield [c[:end] for c in cols]
+            held, rows = [[c[end:] for c in cols]], len(cols[0]) - end
+            wanted = max(SHARD_ROWS, 2 * rows)
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def _search(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
-
-        def done(cut_last: bool) -> pa.RecordBatch | None:
-            nonlocal held, rows
-            if not held:
-                return None
-            shard, fp = (np.concatenate(x) for x in zip(*held))
-            end = len(shard)
-            if cut_last:  # the last shard may go on in the next batch
-                end = int(np.searchsorted(shard, shard[-1], "left"))
-            held, rows = [(shard[end:], fp[end:])] if end < len(shard) else [], len(shard) - end
-            a, b = shard_links(shard[:end], fp[:end], radius)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for x in batches:
-            held.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
-            rows += x.num_rows
-            if rows >= 1 << 16 and (out := done(True)) is not None:
-                yield out
-        if (out := done(False)) is not None:
-            yield out
+        for shard, fp in _whole_shards(batches):
+            a, b = shard_links(shard, fp, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
@@ -259,13 +275,195 @@ def simhash_groups(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     return fps.join(near_groups(fps, radius), "fp").select("doc_id", "fp", "component_id")
 
 
-def near_deduplicated(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
+# ---- by similarity of shingle sets ----
+
+WIDE = 128
+#: Chance that a pair at the similarity whose fingerprints differ by one deviation more than expected meets in a
+#: shard; nearer and more similar pairs meet more often.
+RECALL = 0.97
+
+
+def shingles(text: str | None, k: int) -> set[bytes]:
+    """Distinct k-word shingles; of fewer words the whole sequence, of none nothing."""
+    w = text.encode().lower().split() if text else []
+    return set(map(b" ".join, zip(*(w[i:] for i in range(k))))) if len(w) >= k else {b" ".join(w)} if w else set()
+
+
+def wide_fingerprint(text: str | None, k: int) -> bytes:
+    """SimHash of WIDE bits of the distinct shingles; zeros for a text without words."""
+    own = list(shingles(text, k))
+    ones = np.zeros(WIDE, np.int64)
+    for at in range(0, len(own), CHUNK):
+        part = own[at : at + CHUNK]
+        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, SEED) for s in part]), np.uint8)
+        ones += np.unpackbits(h.reshape(len(part), WIDE // 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(own)).tobytes() if own else bytes(WIDE // 8)
+
+
+def _differing(similarity: float) -> float:
+    """Expected share of differing bits of two sets of one size: the angle between them over pi."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def _tables(rows: int, similarity: float, seed: int = 0) -> list[list[int]]:
+    """Sampled bits of each table: so many that shards have SHARD_MEAN random members, so many tables that RECALL is reached."""
+    bits = max(8, ceil(log2(max(rows, 1) / SHARD_MEAN)))
+    p = _differing(similarity)
+    far = p + (p * (1 - p) / WIDE) ** 0.5
+    n = ceil(log(1 - RECALL) / log(1 - (1 - far) ** bits))
+    pick = Random(seed)
+    return [sorted(pick.sample(range(WIDE), min(bits, WIDE))) for _ in range(n)]
+
+
+def _radius(similarity: float) -> int:
+    """Two and a half deviations above the expected distance at the similarity."""
+    p = _differing(similarity)
+    return ceil(WIDE * p + 2.5 * (WIDE * p * (1 - p)) ** 0.5)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _dealt(tables: list[list[int]], salt: int):
+    """Rows (shard, node, f0, f1) for each table, from rows (shard, node, f0, f1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.uint64(1) << np.arange(max(map(len, tables)), dtype=np.uint64)
+        for x in batches:
+            for at in range(0, x.num_rows, 4096):
+                old, node, f0, f1 = (c.to_numpy() for c in x.slice(at, 4096).columns)
+                bits = np.unpackbits(np.stack([f0, f1], 1).astype(">i8").view(np.uint8).reshape(len(f0), WIDE // 8), axis=1).astype(np.uint64)
+                for t, own in enumerate(tables):
+                    key = bits[:, own] @ weights[: len(own)]
+                    shard = _mixed(_mixed(old.view(np.uint64) ^ np.uint64(salt * 1_000_003 + t)) ^ key)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(node), pa.array(f0), pa.array(f1)], ["shard", "node", "f0", "f1"])
+
+    return run
+
+
+def _forest_edges(radius: int):
+    """Minimum spanning forest, by distance, of each shard's pairs within the radius."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, node, f0, f1 in _whole_shards(batches):
+            many = np.r_[False, shard[1:] == shard[:-1]] | np.r_[shard[1:] == shard[:-1], False]
+            shard, node, fp = shard[many], node[many], np.stack([f0[many], f1[many]], 1)
+            kept = tuple(np.zeros(0, np.int64) for _ in range(3))
+            held, n = [], 0
+            for part in Forest(shard, fp).pairs(radius) if len(node) else ():
+                held.append(part)
+                n += len(part[0])
+                if n >= FRONTIER:
+                    kept, held, n = _spanning(len(node), *(np.concatenate(c) for c in zip(kept, *held))), [], 0
+            if held:
+                kept = _spanning(len(node), *(np.concatenate(c) for c in zip(kept, *held)))
+            a, b = node[kept[0]], node[kept[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
+def _spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of a minimum spanning forest over n nodes, nearest first."""
+    parent, out = np.arange(n), []
+    for level in np.unique(d):
+        now = np.flatnonzero(d == level)
+        while len(now):
+            while not np.array_equal(up := parent[parent], parent):
+                parent = up
+            ra, rb = parent[a[now]], parent[b[now]]
+            apart = ra != rb
+            now, ra, rb = now[apart], ra[apart], rb[apart]
+            top, low = np.maximum(ra, rb), np.minimum(ra, rb)
+            roots, first = np.unique(top, return_index=True)  # each root hooks to one smaller root
+            parent[roots] = low[first]
+            out.append(now[first])
+    ix = np.concatenate(out) if out else np.zeros(0, np.int64)
+    return a[ix], b[ix], d[ix]
+
+
+def _by_words(docs: DataFrame, k: int, sets: bool) -> DataFrame:
+    """(doc_id, f0, f1), and with ``sets`` the sorted hashes of the distinct shingles, of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() for t in b.column(1)]
+            fps = np.frombuffer(b"".join([wide_fingerprint(t, k) for t in texts]), ">i8").reshape(-1, 2).astype(np.int64)
+            cols = [b.column(0), pa.array(fps[:, 0].copy()), pa.array(fps[:, 1].copy())]
+            if sets:
+                own = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, k)), np.uint64)).view(np.int64) for t in texts]
+                ends = np.r_[0, np.cumsum([len(x) for x in own])].astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*own, np.zeros(0, np.int64)]))))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "f0", "f1", "shingles"][: len(cols)])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, f0 long, f1 long" + ", shingles array<long>" * sets)
+
+
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, f0, f1, component_id), one row for each row of docs: groups linked by a Jaccard similarity of at least ``similarity``.
+
+    The sets are the distinct k-word shingles; equal fingerprints count as equal sets. Texts
+    without words are alike. component_id is the smallest doc_id of the group; null ids are passed
+    over, and documents without an id are grouped by equal fingerprints only. An empty table gives no rows.
+    """
+    fps = written(_by_words(docs, k, False), "docfps")
+    nodes = fps.groupBy("f0", "f1").agg(F.min("doc_id").alias("least"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    links = _candidates(nodes.select(F.lit(0).cast("long").alias("shard"), "node", "f0", "f1"), nodes.count(), similarity)
+    edges = written(links.repartition("shard").sortWithinPartitions("shard").mapInArrow(_forest_edges(_radius(similarity)), "a long, b long").distinct(), "candidates")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = written(nodes.join(ends, "node", "left_semi").select("least", "f0", "f1", "node"), "asked")
+    # one document stands for each fingerprint; a second row of its id with another text is left out by the join on both
+    ids = small(asked.select("least").where("least is not null").distinct())
+    own = _by_words(docs.join(ids, docs["doc_id"].cast("long") == ids["least"], "left_semi"), k, True).drop("doc_id")
+    own = own.join(asked.select("f0", "f1", "node"), ["f0", "f1"]).dropDuplicates(["node"])
+    own = written(own.select("node", "shingles"), "shingles")
+    x, y = (own.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    alike = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)
+    root = written(components(edges.join(x, "a").join(y, "b").where(alike).select("a", "b")), "roots")
+    grouped = nodes.join(root.withColumnRenamed("root", "r"), "node", "left").select("f0", "f1", "least", F.coalesce("r", "node").alias("root"))
+    grouped = written(grouped, "grouped")
+    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = written(grouped.join(least, "root").select("f0", "f1", "component_id"), "groups")
+    for t in (nodes, edges, asked, own, root, grouped):
+        dropped(t)
+    return fps.join(groups, ["f0", "f1"]).select("doc_id", "f0", "f1", "component_id")
+
+
+def _candidates(rows: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(shard, node, f0, f1): members of a shard agree in its sampled bits. Shards beyond SHARD_MOST are dealt again, by tables of more bits."""
+    kinds = "shard long, node long, f0 long, f1 long"
+    out = rows.mapInArrow(_dealt(_tables(n, similarity), 0), kinds)
+    ready: list[DataFrame] = []
+    p = _differing(similarity)
+    for level in range(1, 4):
+        hot = written(out.groupBy("shard").count().where(F.col("count") > SHARD_MOST).select("shard"), "hot")
+        if hot.isEmpty():
+            break
+        ready.append(out.join(small(hot), "shard", "left_anti"))
+        pick, more = Random(level), ceil(log(0.01) / log(1 - (1 - p) ** 6))
+        tables = [sorted(pick.sample(range(WIDE), 6)) for _ in range(more)]
+        out = out.join(small(hot), "shard", "left_semi").select("shard", "node", "f0", "f1").mapInArrow(_dealt(tables, level), kinds)
+    for x in ready:
+        out = out.unionByName(x)
+    return out
+
+
+def near_deduplicated(docs: DataFrame, k: int = 5, similarity: float | None = 0.8, radius: int = 3) -> DataFrame:
     """docs with one document of each group: that of the smallest doc_id.
 
-    Rows that repeat an id and fingerprint count as one document. Rows with a null id can't be
+    Groups by similarity of shingle sets, or with ``similarity=None`` by fingerprints within
+    the radius. Rows that repeat an id and text count as one document. Rows with a null id can't be
     told apart and stay.
     """
-    groups = written(simhash_groups(docs, k, radius), "members")
+    groups = similar_groups(docs, k, similarity) if similarity is not None else simhash_groups(docs, k, radius)
+    groups = written(groups.select("doc_id", "component_id"), "members")
     gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     again = written(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     dropped(groups)
