@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tilesmith.functions import vectors
 
+#: Parts that a bag's softmax is summed in.
+BAG_PARTS = 32
 
 def instance_scores(instances: DataFrame, weights: list[list[float]], bias: list[float] | None = None, features: str = "features") -> DataFrame:
     """instances with cls and score: a row for each instance and class."""
@@ -44,10 +46,13 @@ def attention(queries: DataFrame, critical: DataFrame, width: int) -> DataFrame:
     """
     logit = vectors.dot("q", "critical") / F.lit(sqrt(width))
     z = queries.select("bag", "inst", "q").join(critical.select("bag", "cls", "critical"), "bag").select("bag", "inst", "cls", logit.alias("logit"))
-    top = z.groupBy("bag", "cls").agg(F.max("logit").alias("top"))
-    raised = z.join(top, ["bag", "cls"]).select("bag", "inst", "cls", "logit", F.exp(F.col("logit") - F.col("top")).alias("e"))
-    whole = raised.groupBy("bag", "cls").agg(F.sum("e").alias("whole"))
-    return raised.join(whole, ["bag", "cls"]).select("bag", "inst", "cls", "logit", (F.col("e") / F.col("whole")).alias("weight"))
+    # maximum and scaled sum of each part of a bag, then of the bag: one pass, and a large bag is many lists
+    part = F.pmod(F.xxhash64("inst"), F.lit(BAG_PARTS))
+    lists = z.groupBy("bag", "cls", part.alias("part")).agg(F.collect_list("logit").alias("z")).select("bag", "cls", F.array_max("z").alias("top"), "z")
+    sums = lists.select("bag", "cls", "top", F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))).alias("part"))
+    bags = sums.groupBy("bag", "cls").agg(F.max("top").alias("top"), F.collect_list(F.struct("top", "part")).alias("parts"))
+    bags = bags.select("bag", "cls", "top", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"] * F.exp(x["top"] - F.col("top"))).alias("whole"))
+    return z.join(bags, ["bag", "cls"]).select("bag", "inst", "cls", "logit", (F.exp(F.col("logit") - F.col("top")) / F.col("whole")).alias("weight"))
 
 
 def bag_representation(weights: DataFrame, values: DataFrame, value: str = "features") -> DataFrame:
