@@ -26,8 +26,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilesmith.llm.common import released, trim
+
 #: Characters of the documents that share one list of distinct words.
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 24 << 20
 #: Pre-tokens in a row of positions.
 PART_WORDS = 1 << 20
 #: Encoded words that are put together by block before they go back to it.
@@ -91,19 +93,16 @@ class _Numbers(dict):
         return n
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """(doc_ids, texts) of a block of documents."""
-    ids, texts, size = [], [], 0
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, bool]]:
+    """(doc_id, text, whether a block of documents ends here); the last block may end with the partition."""
+    size = 0
     for b in batches:
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-            ids.append(doc_id)
-            texts.append(text.as_py() or "")
-            size += len(texts[-1])
+            text = text.as_py() or ""
+            size += len(text)
+            yield doc_id, text, size >= BLOCK_CHARS
             if size >= BLOCK_CHARS:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+                size = 0
 
 
 def _name(words) -> int:
@@ -112,16 +111,21 @@ def _name(words) -> int:
 
 
 def _word_rows(pattern: str):
+    def rows(seen: dict[str, None]) -> Iterator[pa.RecordBatch]:
+        words, name = list(seen), _name(seen)
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part)], ["block", "number", "word"])
+
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        for _, texts in _blocks(batches):
-            seen: dict[str, None] = {}
-            for text in texts:
-                seen.update(dict.fromkeys(find(text)))
-            words, name = list(seen), _name(seen)
-            for i in range(0, len(words), 20_000):
-                part = words[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part)], ["block", "number", "word"])
+        find, seen = regex.compile(pattern).findall, {}
+        for _, text, last in _texts(batches):
+            seen.update(dict.fromkeys(find(text)))
+            if last:
+                yield from rows(seen)
+                seen = {}
+        yield from rows(seen)
 
     return run
 
@@ -135,27 +139,48 @@ def _unplanes(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
+class _Places:
+    """The texts of a block as numbers of its words, in parts of about PART_WORDS."""
+
+    def __init__(self) -> None:
+        self.words, self.parts = _Numbers(), []
+        self.ids, self.counts, self.numbers = [], [], array("i")
+
+    def add(self, doc_id: int | None, found: list[str]) -> None:
+        self.ids.append(doc_id)
+        self.counts.append(len(found))
+        self.numbers.extend(map(self.words.__getitem__, found))
+        if len(self.numbers) >= PART_WORDS:
+            self.cut()
+
+    def cut(self) -> None:
+        if self.ids:
+            self.parts.append((self.ids, self.counts, _planes(np.frombuffer(self.numbers, np.int32))))
+            self.ids, self.counts, self.numbers = [], [], array("i")
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.cut()
+        name = _name(self.words)
+        for ids, counts, blob in self.parts:
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([blob], pa.binary())], ["block", "ids", "counts", "numbers"])
+
+
 def _position_rows(pattern: str):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        for ids, texts in _blocks(batches):
-            words, parts, at = _Numbers(), [], 0
-            while at < len(ids):
-                numbers, counts, start = array("i"), [], at
-                while at < len(ids) and len(numbers) < PART_WORDS:
-                    before = len(numbers)
-                    numbers.extend(map(words.__getitem__, find(texts[at])))
-                    counts.append(len(numbers) - before)
-                    at += 1
-                parts.append((ids[start:at], counts, _planes(np.frombuffer(numbers, np.int32))))
-            name = _name(words)
-            for own, counts, blob in parts:
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([own], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([blob], pa.binary())], ["block", "ids", "counts", "numbers"])
+        find, places = regex.compile(pattern).findall, _Places()
+        for doc_id, text, last in _texts(batches):
+            places.add(doc_id, find(text))
+            if last:
+                yield from places.rows()
+                places = _Places()
+        yield from places.rows()
 
     return run
 
 
 def _encode_rows(ranks, width: str):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, last, ids, held, n = ranks.value, None, b"", ([], [], []), 0
         for b in batches:
@@ -190,6 +215,7 @@ def _packed(blocks: list[np.ndarray], numbers: list[np.ndarray], ids: list[bytes
 def _placed(width: str):
     def run(words, rows):
         """Token ids of each text of a block, in order of position."""
+        trim()
         parts = [(np.cumsum(_unplanes(s.as_py())), _unplanes(z.as_py()), i.as_py()) for s, z, i in zip(words["steps"], words["sizes"], words["ids"])]
         number = np.concatenate([x[0] for x in parts]) if parts else np.zeros(0, np.int64)
         lens = np.concatenate([x[1] for x in parts]).astype(np.int64) // np.dtype(width).itemsize if parts else number
@@ -237,6 +263,7 @@ def decoded(tokens: DataFrame, ranks_path: str) -> DataFrame:
     table = [b for _, b in sorted((r, t) for t, r in read_ranks(ranks_path).items())]
     shared = tokens.sparkSession.sparkContext.broadcast(table)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.__getitem__
         for b in batches:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilesmith.llm.common import dropped, small, written
+from tilesmith.llm.common import dropped, released, small, trim, written
 
 WINDOW = 10
 #: Extra words between the terms of a window that a proximity match allows.
@@ -59,6 +59,7 @@ INDEX = "block string, term binary, doc_id long, seq int, start long, n_words lo
 def _index(terms: frozenset | None):
     from pyspark import TaskContext
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["block", "term", "doc_id", "seq", "start", "n_words", "positions"]
         for k_block, docs in enumerate(blocks(batches)):
@@ -140,6 +141,7 @@ MATCHES = "doc_id long, block string, seq int, n_words long, hit_at array<int>,
 
 def _matched(windows: list):
     def run(table):
+        trim()
         own = table.filter(pc.is_null(table["term"])).sort_by("seq")
         rest = table.filter(pc.is_valid(table["term"]))
         lists = rest["positions"].combine_chunks()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilesmith.llm.common import dropped, fresh, written
+from tilesmith.llm.common import dropped, fresh, released, written
 
 #: Entities that drew again beyond which they are joined to documents instead of broadcast.
 BROADCAST_AGAIN = 500_000
@@ -184,6 +184,7 @@ def replaced(key: bytes, text: str | None, attempts: dict[tuple[str, str], int])
     return "".join(out) + text[at:], [k for _, _, k, _ in found]
 
 
+@released
 def _entity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [(i, h, k, e) for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)) for k, e in sorted({(k, e) for _, _, k, e in entities(t.as_py())})]
@@ -194,6 +195,7 @@ def _entity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def assigned(known: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, attempt) of distinct entities, such that surrogates are distinct and none is an entity."""
 
+    @released
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [surrogate(key, *x) for x in zip(*(c.to_pylist() for c in b.columns))]
@@ -239,6 +241,7 @@ def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
         by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), more)
         own = docs.join(by_doc, docs[id_col].cast("long").eqNullSafe(by_doc["_id"]) & (F.xxhash64(docs[text_col]) == by_doc["_hash"]), "left").select(*(docs[c] for c in docs.columns), by_doc[more])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, last = b.schema.get_field_index(text_col), b.num_columns - 1

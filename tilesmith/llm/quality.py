@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilesmith.llm.common import dropped, small, written
+from tilesmith.llm.common import dropped, released, small, written
 
 #: Bounds of the two samples that the classifier is fitted on: rows labelled good, rows without label.
 POSITIVES = 20_000
@@ -64,6 +64,7 @@ def features(text: str | None) -> np.ndarray:
 def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, features), a stored row for each row of docs."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = np.stack([features(t.as_py()) for t in b.column(2)]) if b.num_rows else np.zeros((0, N_FEATURES), np.float32)
@@ -171,6 +172,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     rows = featured(docs)
     model = learn(rows, labels)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(2).flatten().to_numpy().reshape(-1, N_FEATURES)

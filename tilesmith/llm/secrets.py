@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilesmith.llm.common import written
+from tilesmith.llm.common import released, written
 
 #: Base kinds, in the order in which spans of one start are listed.
 BASE = ("assign", "access", "hex")
@@ -88,6 +88,7 @@ def added_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[
 FOUND = "array<struct<kind:string,start:int,end:int,value:string,base:boolean>>"
 
 
+@released
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("base", pa.bool_())]))
     for b in batches:

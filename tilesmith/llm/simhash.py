@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilesmith.llm.common import components, dropped, small, written
+from tilesmith.llm.common import components, dropped, released, small, written
 
 SEED = 42
 BITS = 64
@@ -65,6 +65,7 @@ def fingerprint(text: str | None, k: int = 3) -> int:
 def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long) of every row. A null text counts as empty."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), k) for t in b.column(1)), np.int64, b.num_rows)
@@ -186,6 +187,7 @@ def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
 
 
 def _search(radius: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, fp in _whole_shards(batches):
             a, b = shard_links(shard, fp, radius)
@@ -331,6 +333,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def _dealt(tables: list[list[int]], salt: int):
     """Rows (shard, node, f0, f1) for each table, from rows (shard, node, f0, f1)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.uint64(1) << np.arange(max(map(len, tables)), dtype=np.uint64)
         for x in batches:
@@ -348,6 +351,7 @@ def _dealt(tables: list[list[int]], salt: int):
 def _forest_edges(radius: int):
     """Minimum spanning forest, by distance, of each shard's pairs within the radius."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, node, f0, f1 in _whole_shards(batches):
             many = np.r_[False, shard[1:] == shard[:-1]] | np.r_[shard[1:] == shard[:-1], False]
@@ -389,6 +393,7 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.n
 def _by_words(docs: DataFrame, k: int, sets: bool) -> DataFrame:
     """(doc_id, f0, f1), and with ``sets`` the sorted hashes of the distinct shingles, of each row."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t.as_py() for t in b.column(1)]
