@@ -283,6 +283,8 @@ WIDE = 128
 #: Chance that a pair at the similarity whose fingerprints differ by one deviation more than expected meets in a
 #: shard; nearer and more similar pairs meet more often.
 RECALL = 0.97
+#: Sampled bits of a table at least.
+LEAST_BITS = 12
 
 
 def shingles(text: str | None, k: int) -> set[bytes]:
@@ -309,7 +311,7 @@ def _differing(similarity: float) -> float:
 
 def _tables(rows: int, similarity: float, seed: int = 0) -> list[list[int]]:
     """Sampled bits of each table: so many that shards have SHARD_MEAN random members, so many tables that RECALL is reached."""
-    bits = max(8, ceil(log2(max(rows, 1) / SHARD_MEAN)))
+    bits = max(LEAST_BITS, ceil(log2(max(rows, 1) / SHARD_MEAN)))
     p = _differing(similarity)
     far = p + (p * (1 - p) / WIDE) ** 0.5
     n = ceil(log(1 - RECALL) / log(1 - (1 - far) ** bits))
