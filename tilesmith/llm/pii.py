@@ -49,7 +49,7 @@ LETTERS = {"LATIN": "abcdefghijklmnopqrstuvwxyz", "LATIN+": "àáâãäåçèé
 MAIL = re.compile(r"[^\W_](?:[\w.+%-]*\w)?@\w[\w-]*(?:\.\w[\w-]*)+")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)", re.A)
 NATIONAL = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)
-CARD = re.compile(r"(?<!\w)(?<!\d[.-])\d(?:[ -]?\d){12,18}(?!\w)", re.A)
+CARD = re.compile(r"(?<!\w)(?<!\d[.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\w)", re.A)
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A)
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)", re.A)
 NAME = re.compile(r"(?<!\w)(" + "|".join(sorted((t for ts in TITLES.values() for t in ts.split()), key=len, reverse=True)) + r")\.? ([^\W\d_]\w+(?: [^\W\d_]\w+)?)")
