@@ -26,7 +26,7 @@ from tilesmith.llm.common import dropped, written
 
 BINS = 4096
 #: Sums of bins that reach the driver at once; more nodes have fewer bins each.
-MOST_SUMS = 1 << 20
+MOST_SUMS = 1 << 18
 TOLERANCE = 1e-3
 HEAVY = 0.02
 #: Rows of a shard numbered in one task.
