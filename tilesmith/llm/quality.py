@@ -30,8 +30,8 @@ UNLABELLED = 40_000
 #: A score from here on is accepted.
 THRESHOLD = 0.3
 HIDDEN = 32
-STEPS = 1500
-BATCH = 2048
+STEPS = 600
+BATCH = 1024
 #: Characters whose share of the text is a feature of its own.
 MARKS = b"!?.,;:|*$%&#@<>{}[]()=+/\\\"'_-~^`"
 N_FEATURES = 26 + len(MARKS)
