@@ -47,3 +47,15 @@ def test_both_ways_of_merging_agree(word):
 def test_unknown_ids_stop_the_job(spark):
     with pytest.raises(Exception, match="IndexError"):
         bpe.decoded(spark.sql("select 1L as doc_id, array(999999) as ids"), PATH).collect()
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(alphabet=st.characters(max_codepoint=255), max_size=60), st.text(alphabet="a1é' \n\t\x1c\x85\xa0²'st", max_size=40)))
+def test_both_engines_find_the_same(text):
+    assert bpe.finder(P.PATTERN)(text) == bpe.regex.findall(P.PATTERN, text)
+
+
+def test_patterns_that_only_one_engine_knows():
+    assert bpe._latin(P.PATTERN)
+    assert bpe._latin(r"\w+|\p{Lu}") is None
+    assert bpe.finder(r"\p{Lu}\p{Ll}+")("Ab éÉé") == ["Ab", "Éé"]

@@ -14,6 +14,7 @@ size the vocabulary fixes.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterator
 from hashlib import md5
@@ -87,6 +88,45 @@ def _heap_merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _latin(pattern: str) -> str | None:
+    """The pattern with its Unicode classes spelt out for characters up to U+00FF, or None if it has others."""
+
+    def members(one: str) -> str:
+        return "".join(f"\\x{c:02x}" for c in range(256) if regex.fullmatch(one, chr(c)))
+
+    known = {one: members(one) for one in (r"\p{L}", r"\p{N}", r"\s")}
+    out, inside = [], False
+    for m in re.finditer(r"\\[pP]\{\w+\}|\\.|.", pattern, re.S):
+        x = m[0]
+        if x in known:
+            x = known[x] if inside else f"[{known[x]}]"
+        elif x == r"\S" and not inside:
+            x = f"[^{known[r'\s']}]"
+        elif x[0] == "\\" and x[1].isalnum():
+            return None
+        inside = x == "[" or inside and x != "]"
+        out.append(x)
+    return "".join(out)
+
+
+def finder(pattern: str):
+    """All matches of the pattern in a text. Texts of Latin-1 characters take the faster of two engines with the same result."""
+    slow, latin = regex.compile(pattern).findall, _latin(pattern)
+    if latin is None:
+        return slow
+    fast = re.compile(latin).findall
+
+    def find(text: str) -> list[str]:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return slow(text)
+        return fast(text)
+
+    return find
+
+
 class _Numbers(dict):
     def __missing__(self, key):
         n = self[key] = len(self)
@@ -119,7 +159,7 @@ def _word_rows(pattern: str):
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = regex.compile(pattern).findall, {}
+        find, seen = finder(pattern), {}
         for _, text, last in _texts(batches):
             seen.update(dict.fromkeys(find(text)))
             if last:
@@ -168,7 +208,7 @@ class _Places:
 def _position_rows(pattern: str):
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, places = regex.compile(pattern).findall, _Places()
+        find, places = finder(pattern), _Places()
         for doc_id, text, last in _texts(batches):
             places.add(doc_id, find(text))
             if last:
