@@ -32,7 +32,7 @@ from tilesmith.llm.common import released, trim
 #: Characters of the documents that share one list of distinct words.
 BLOCK_CHARS = 24 << 20
 #: Pre-tokens in a row of positions.
-PART_WORDS = 1 << 20
+PART_WORDS = 1 << 18
 #: Encoded words that are put together by block before they go back to it.
 PACK_WORDS = 1 << 18
 #: Longer words are merged by a heap instead of scans.
