@@ -86,3 +86,21 @@ def test_edges(spark, monkeypatch, most):
     kept = simhash.near_deduplicated(df)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "5", "6", "None"]
     assert simhash.near_deduplicated(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rounds", [None, (1, 2, None)])
+def test_families_around_the_limit_have_all_their_links(spark, monkeypatch, rounds):
+    """One shard and no radius leave nothing to chance: a checked pair that fails must not hide another."""
+    monkeypatch.setattr(simhash, "_tables", lambda rows, similarity, seed=0: [[]])
+    monkeypatch.setattr(simhash, "_radius", lambda similarity: simhash.WIDE)
+    if rounds:
+        monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    rng = random.Random(6)
+    rows = []
+    for g, n in enumerate((30, 80, 200)):
+        base = [f"g{g}w{i}" for i in range(120)]
+        rows += [(1000 * g + i, " ".join(varied(rng, base, 0.03))) for i in range(n)]
+    want = brute(rows)
+    assert 30 < len(set(want.values())) < len(rows) - 30
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == want

@@ -12,9 +12,10 @@ smallest member it is linked with inside the shard, so large groups give no pair
 ``similar_groups`` finds documents of a Jaccard similarity of word shingles instead, which few bits don't
 tell. Its fingerprints have 128 bits, of which texts at the similarity differ in a known share, and
 shards are keyed by sampled bits in as many tables as the wanted recall takes. A BK-tree in each shard
-finds the members within a wide radius; the shard gives their minimum spanning forest, which connects what
-all pairs would connect at any distance, in fewer edges than members. Shingle sets then decide each edge
-exactly, and components are those of the edges that pass.
+finds the members within a wide radius; the shard first gives their minimum spanning forest, in fewer edges than
+members. Shingle sets decide each edge exactly, and components are those of the edges that pass. As an edge that
+fails says nothing of the other pairs, the search goes on with the pairs within the radius that the components
+still part: each member's nearest ones first, in the end all, until no pair is left unchecked that could join two.
 """
 
 from __future__ import annotations
@@ -285,6 +286,8 @@ WIDE = 128
 RECALL = 0.97
 #: Sampled bits of a table at least.
 LEAST_BITS = 12
+#: Partners in other components that each member of a shard is checked with, by round; None: all.
+ROUNDS = (8, 64, None)
 
 
 def shingles(text: str | None, k: int) -> set[bytes]:
@@ -333,19 +336,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _dealt(tables: list[list[int]], salt: int):
-    """Rows (shard, node, f0, f1) for each table, from rows (shard, node, f0, f1)."""
+    """Rows (shard, node, f0, f1) for each table, from rows (shard, node, f0, f1); more columns go along."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.uint64(1) << np.arange(max(map(len, tables)), dtype=np.uint64)
         for x in batches:
             for at in range(0, x.num_rows, 4096):
-                old, node, f0, f1 = (c.to_numpy() for c in x.slice(at, 4096).columns)
+                old, node, f0, f1, *more = (c.to_numpy() for c in x.slice(at, 4096).columns)
                 bits = np.unpackbits(np.stack([f0, f1], 1).astype(">i8").view(np.uint8).reshape(len(f0), WIDE // 8), axis=1).astype(np.uint64)
                 for t, own in enumerate(tables):
                     key = bits[:, own] @ weights[: len(own)]
                     shard = _mixed(_mixed(old.view(np.uint64) ^ np.uint64(salt * 1_000_003 + t)) ^ key)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(node), pa.array(f0), pa.array(f1)], ["shard", "node", "f0", "f1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (shard.view(np.int64), node, f0, f1, *more)], x.schema.names)
 
     return run
 
@@ -392,6 +395,53 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.n
     return a[ix], b[ix], d[ix]
 
 
+def _apart_pairs(radius: int, most: int | None):
+    """Pairs of each shard within the radius whose roots differ, a < b: of each member the nearest ``most``, or all.
+
+    A row of a member with itself tells that it has more.
+    """
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for shard, node, f0, f1, root in _whole_shards(batches):
+            first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])[: len(shard)]
+            if not len(first):
+                continue
+            mixed = np.repeat(np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first), np.diff(np.r_[first, len(shard)]))
+            shard, node, root, fp = shard[mixed], node[mixed], root[mixed], np.stack([f0[mixed], f1[mixed]], 1)
+            kept, over = tuple(np.zeros(0, np.int64) for _ in range(3)), np.zeros(len(node), bool)
+            held, n = [], 0
+            for q, x, d in Forest(shard, fp).pairs(radius) if len(node) else ():
+                apart = root[q] != root[x]
+                if most is None:  # each pair is met from both ends
+                    apart &= node[q] < node[x]
+                    yield rows(node[q[apart]], node[x[apart]])
+                    continue
+                held.append((q[apart], x[apart], d[apart]))
+                n += len(held[-1][0])
+                if n >= FRONTIER:
+                    kept, held, n = _nearest(most, over, *(np.concatenate(c) for c in zip(kept, *held))), [], 0
+            if held:
+                kept = _nearest(most, over, *(np.concatenate(c) for c in zip(kept, *held)))
+            yield rows(node[kept[0]], node[kept[1]])
+            yield rows(node[over], node[over])
+
+    return run
+
+
+def _nearest(most: int, over: np.ndarray, q: np.ndarray, x: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest ``most`` pairs of each q; marks in ``over`` those that have more."""
+    order = np.lexsort((x, d, q))
+    q, x, d = q[order], x[order], d[order]
+    first = np.searchsorted(q, q, "left")
+    fits = np.arange(len(q)) - first < most
+    over[q[~fits]] = True
+    return q[fits], x[fits], d[fits]
+
+
 def _by_words(docs: DataFrame, k: int, sets: bool) -> DataFrame:
     """(doc_id, f0, f1), and with ``sets`` the sorted hashes of the distinct shingles, of each row."""
 
@@ -421,8 +471,14 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
     fps = written(_by_words(docs, k, False), "docfps")
     nodes = fps.groupBy("f0", "f1").agg(F.min("doc_id").alias("least"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    links = _candidates(nodes.select(F.lit(0).cast("long").alias("shard"), "node", "f0", "f1"), nodes.count(), similarity)
-    edges = written(links.repartition("shard").sortWithinPartitions("shard").mapInArrow(_forest_edges(_radius(similarity)), "a long, b long").distinct(), "candidates")
+    n, radius = nodes.count(), _radius(similarity)
+
+    def searched(rows: DataFrame, run, name: str) -> DataFrame:
+        dealt = _candidates(rows, n, similarity)
+        return written(dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct(), name)
+
+    zero = F.lit(0).cast("long").alias("shard")
+    edges = searched(nodes.select(zero, "node", "f0", "f1"), _forest_edges(radius), "candidates")
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = written(nodes.join(ends, "node", "left_semi").select("least", "f0", "f1", "node"), "asked")
     # one document stands for each fingerprint; a second row of its id with another text is left out by the join on both
@@ -430,22 +486,43 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
     own = _by_words(docs.join(ids, docs["doc_id"].cast("long") == ids["least"], "left_semi"), k, True).drop("doc_id")
     own = own.join(asked.select("f0", "f1", "node"), ["f0", "f1"]).dropDuplicates(["node"])
     own = written(own.select("node", "shingles"), "shingles")
-    x, y = (own.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    alike = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)
-    root = written(components(edges.join(x, "a").join(y, "b").where(alike).select("a", "b")), "roots")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        x, y = (own.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+        both = F.size(F.array_intersect("sa", "sb"))
+        same = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)
+        return written(pairs.join(x, "a").join(y, "b").where(same).select("a", "b"), "links")
+
+    links = alike(edges)
+    root = written(components(links), "roots")
+    left = asked.where("least is not null") if links.count() < edges.count() else asked.limit(0)
+    for most in ROUNDS:  # no pair outside of left can join two components
+        if left.isEmpty():
+            break
+        rows = left.join(root, "node", "left").select(zero, "node", "f0", "f1", F.coalesce("root", "node").alias("root"))
+        pairs = searched(rows, _apart_pairs(radius, most), "apart")
+        new = alike(pairs.where("a < b"))
+        if not new.isEmpty():
+            links, before = written(links.union(new), "links"), (links, root)
+            root = written(components(links), "roots")
+            for t in before:
+                dropped(t)
+        # a pair that neither end has among its nearest is of two members that have more
+        left = written(asked.join(pairs.where("a = b").select(F.col("a").alias("node")), "node", "left_semi"), "left")
+        for t in (pairs, new):
+            dropped(t)
     grouped = nodes.join(root.withColumnRenamed("root", "r"), "node", "left").select("f0", "f1", "least", F.coalesce("r", "node").alias("root"))
     grouped = written(grouped, "grouped")
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = written(grouped.join(least, "root").select("f0", "f1", "component_id"), "groups")
-    for t in (nodes, edges, asked, own, root, grouped):
+    for t in (nodes, edges, asked, own, links, root, grouped):
         dropped(t)
     return fps.join(groups, ["f0", "f1"]).select("doc_id", "f0", "f1", "component_id")
 
 
 def _candidates(rows: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(shard, node, f0, f1): members of a shard agree in its sampled bits. Shards beyond SHARD_MOST are dealt again, by tables of more bits."""
-    kinds = "shard long, node long, f0 long, f1 long"
+    """(shard, node, f0, f1) and more columns of rows: members of a shard agree in its sampled bits. Shards beyond SHARD_MOST are dealt again, by tables of more bits."""
+    kinds = ", ".join(f"{c} long" for c in rows.columns)
     out = rows.mapInArrow(_dealt(_tables(n, similarity), 0), kinds)
     ready: list[DataFrame] = []
     p = _differing(similarity)
@@ -456,7 +533,7 @@ def _candidates(rows: DataFrame, n: int, similarity: float) -> DataFrame:
         ready.append(out.join(small(hot), "shard", "left_anti"))
         pick, more = Random(level), ceil(log(0.01) / log(1 - (1 - p) ** 6))
         tables = [sorted(pick.sample(range(WIDE), 6)) for _ in range(more)]
-        out = out.join(small(hot), "shard", "left_semi").select("shard", "node", "f0", "f1").mapInArrow(_dealt(tables, level), kinds)
+        out = out.join(small(hot), "shard", "left_semi").select(rows.columns).mapInArrow(_dealt(tables, level), kinds)
     for x in ready:
         out = out.unionByName(x)
     return out
