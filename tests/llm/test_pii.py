@@ -67,3 +67,14 @@ def test_collisions_and_edges(spark, monkeypatch, limit):
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
     assert len(got) == 5 and got[1][1] == got[2][1] != "at 10.0.0.1" and (None, None) in got
     assert pii.pseudonymised(docs.limit(0), KEY).count() == 0
+
+
+def test_no_name_of_the_corpus_is_given_to_another(spark, monkeypatch):
+    real, first = pii.surrogate, {"m:adler": "romano", ":berg": "marino", "f:anna smith": "clara diaz", "m:otto lang": "emil kuhn"}
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, entity, attempt=0: first[entity] if attempt == 0 and entity in first else real(key, kind, entity, attempt))
+    names = [*first, "f:romano", "m:carlo marino", ":clara diaz"]
+    rows = pii.assigned(spark.createDataFrame([("name", x) for x in names], "kind string, entity string"), KEY).collect()
+    attempts = {r.entity: r.attempt for r in rows}
+    assert len(rows) == len(names)
+    # the bare name, a word of a full name and a full name under another gender are taken; a free one is kept
+    assert min(attempts["m:adler"], attempts[":berg"], attempts["f:anna smith"]) > 0 and attempts["m:otto lang"] == 0

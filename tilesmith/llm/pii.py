@@ -8,10 +8,10 @@ gender; it is written back in the mention's own format and case. As it depends o
 the entity only, texts need no join to get it, and mentions in all documents agree.
 
 Distinctness is checked over the whole corpus: the distinct entities are shuffled by their
-surrogate, and where two meet, or a surrogate is itself an entity of the corpus, all but the first draw
-again with the next attempt number, until no such pair is left. Only entities that had to draw
-again, a small share, must be known when texts are rewritten: they are broadcast if they are
-few and joined by document if not.
+surrogate, and where two meet, or a surrogate is itself an entity of the corpus (of names: of any gender, and a
+single word also if it is a word of a full name), all but the first draw again with the next attempt number,
+until no such pair is left. Only entities that had to draw again, a small share, must be known when texts are
+rewritten: they are broadcast if they are few and joined by document if not.
 """
 
 from __future__ import annotations
@@ -203,11 +203,15 @@ def assigned(known: DataFrame, key: bytes) -> DataFrame:
 
     kinds = "kind string, entity string, attempt int"
     now = written(known.withColumn("attempt", F.lit(0)).select("kind", "entity", "attempt").mapInArrow(draw, f"{kinds}, made string"), "surrogates")
+    # names are known by gender and name, surrogates are names only; one of a single word may be anyone's first or last name
+    bare = F.when(F.col("kind") == "name", F.regexp_replace("entity", "^[^:]*:", "")).otherwise(F.col("entity"))
+    forms = F.when(F.col("kind") == "name", F.array_union(F.array(bare), F.split(bare, " "))).otherwise(F.array(bare))
+    taken = known.select("kind", F.explode(forms).alias("made"))
     while True:
         # the first of those that share a surrogate keeps it: the one that has had it longest
         firsts = now.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "entity")).alias("keep")).where("n > 1")
         shared = now.join(firsts, ["kind", "made"]).where("entity <> keep.entity").select("kind", "entity")
-        real = now.join(known.select("kind", F.col("entity").alias("made")), ["kind", "made"], "left_semi").select("kind", "entity")
+        real = now.join(taken, ["kind", "made"], "left_semi").select("kind", "entity")
         again = written(shared.union(real).distinct(), "again")
         if again.isEmpty():
             return now.select("kind", "entity", "attempt")
