@@ -10,19 +10,19 @@ their total size grows with the corpus. A shard gives one edge per member, to th
 smallest member it is linked with inside the shard, so large groups give no pair lists.
 
 ``similar_groups`` finds documents of a Jaccard similarity of word shingles instead, which few bits don't
-tell. Its fingerprints have 128 bits, of which texts at the similarity differ in a known share, and
-shards are keyed by sampled bits in as many tables as the wanted recall takes. A BK-tree in each shard
-finds the members within a wide radius; the shard first gives their minimum spanning forest, in fewer edges than
-members. Shingle sets decide each edge exactly, and components are those of the edges that pass. As an edge that
-fails says nothing of the other pairs, the search goes on with the pairs within the radius that the components
-still part: each member's nearest ones first, in the end all, until no pair is left unchecked that could join two.
+tell. Its fingerprints have 128 bits, and shards are keyed by bands of min-hashes, a fixed number of them at any size of
+the corpus, since unlike texts hardly ever share one. A BK-tree in each shard finds the members within a wide radius,
+and the shard gives their minimum spanning forest, in fewer edges than members. Shingle sets decide each edge
+exactly. As an edge that fails says nothing of the other pairs, shards whose members then are of several components get the
+members' shingle sets, and every pair within the radius that components still part is decided there. A hot shard is first
+checked against a few pivots; where components still part it, it is dealt out by further bands, in the end by blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, ceil, comb, log, log2, pi
+from math import acos, ceil, comb, log, pi
 from random import Random
 
 import numpy as np
@@ -66,14 +66,20 @@ def fingerprint(text: str | None, k: int = 3) -> int:
 def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long) of every row. A null text counts as empty."""
 
+    return _hashed_fingerprints(docs, k, id_col, text_col).select("doc_id", "fp")
+
+
+def _hashed_fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """With a hash of the text beside."""
+
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), k) for t in b.column(1)), np.int64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), k) for t in b.column(2)), np.int64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["doc_id", "hash", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, hash long, fp long")
 
 
 class Forest:
@@ -250,9 +256,9 @@ def sharded(fps: DataFrame, radius: int, rows: int) -> DataFrame:
 
 
 def near_groups(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """(fp long, component_id long) of every distinct fingerprint of (doc_id, fp) rows.
+    """(fp long, root long, component_id long) of every distinct fingerprint of (doc_id, fp) rows.
 
-    component_id is the smallest doc_id among all documents reachable by links of at most
+    root: a fingerprint that stands for the group. component_id is the smallest doc_id among all documents reachable by links of at most
     ``radius`` bits. Null ids are passed over; a group of null ids only has a null id.
     """
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
@@ -262,7 +268,7 @@ def near_groups(fps: DataFrame, radius: int = 3) -> DataFrame:
     own = nodes.join(root, nodes.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     own = written(own, "own")
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = written(own.join(least, "root").select("fp", "component_id"), "groups")
+    out = written(own.join(least, "root").select("fp", "root", "component_id"), "groups")
     for x in (nodes, root, own):
         dropped(x)
     return out
@@ -281,13 +287,18 @@ def simhash_groups(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
 # ---- by similarity of shingle sets ----
 
 WIDE = 128
-#: Chance that a pair at the similarity whose fingerprints differ by one deviation more than expected meets in a
-#: shard; nearer and more similar pairs meet more often.
-RECALL = 0.97
-#: Sampled bits of a table at least.
-LEAST_BITS = 12
-#: Partners in other components that each member of a shard is checked with, by round; None: all.
-ROUNDS = (8, 64, None)
+#: Min-hashes of a band. A pair at similarity s shares a band with a chance of s ** BAND; as many bands are made as RECALL takes.
+BAND = 4
+#: Chance that a pair at the similarity shares a band; more similar pairs share one more often.
+RECALL = 0.999
+#: Distinct shingles of all members together beyond which a shard is hot, as it is beyond SHARD_MOST members.
+SHARD_SHINGLES = 1 << 22
+#: Members of a hot shard that all others are checked with first.
+PIVOTS = 4
+#: Times that a hot shard in which components still differ is dealt out by further bands, before it is searched in blocks.
+DEEPER = 2
+#: Distinct words whose hashes a task keeps.
+KNOWN_WORDS = 1 << 20
 
 
 def shingles(text: str | None, k: int) -> set[bytes]:
@@ -296,15 +307,63 @@ def shingles(text: str | None, k: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(w[i:] for i in range(k))))) if len(w) >= k else {b" ".join(w)} if w else set()
 
 
-def wide_fingerprint(text: str | None, k: int) -> bytes:
-    """SimHash of WIDE bits of the distinct shingles; zeros for a text without words."""
-    own = list(shingles(text, k))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+def shingle_hashes(text: str | None, k: int, known: WordHashes) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles, made of the hashes of their words."""
+    w = text.encode().lower().split() if text else []
+    if not w:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
+    m = min(k, len(w))
+    out = np.full(len(w) - m + 1, m, np.uint64)
+    for i in range(m):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - m + 1 + i]
+    return np.unique(_mixed(out))
+
+
+def wide_fingerprint(own: np.ndarray) -> np.ndarray:
+    """SimHash of WIDE bits of a set of shingle hashes, as two int64; zeros for an empty set."""
     ones = np.zeros(WIDE, np.int64)
     for at in range(0, len(own), CHUNK):
         part = own[at : at + CHUNK]
-        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, SEED) for s in part]), np.uint8)
-        ones += np.unpackbits(h.reshape(len(part), WIDE // 8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(own)).tobytes() if own else bytes(WIDE // 8)
+        h = np.stack([_mixed(part ^ np.uint64(salt)) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], 1)
+        ones += np.unpackbits(h.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(own)).view(np.int64)
+
+
+def _bands(similarity: float) -> int:
+    return ceil(log(1 - RECALL) / log(1 - similarity**BAND))
+
+
+def _factors(n: int, salt: int) -> np.ndarray:
+    """Odd factors: a product modulo 2 ** 64 permutes the hashes."""
+    pick = Random(salt)
+    return np.array([pick.getrandbits(64) | 1 for _ in range(n)], np.uint64)[:, None]
+
+
+def band_keys(own: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """A key for each band of min-hashes; none for an empty set."""
+    if not len(own):
+        return np.zeros(0, np.int64)
+    least = np.min([(factors * own[at : at + CHUNK]).min(1) for at in range(0, len(own), CHUNK)], axis=0).reshape(-1, BAND)
+    key = np.arange(len(least), dtype=np.uint64)
+    for i in range(BAND):
+        key = _mixed(key ^ least[:, i])
+    return key.view(np.int64)
 
 
 def _differing(similarity: float) -> float:
@@ -312,47 +371,41 @@ def _differing(similarity: float) -> float:
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
-def _tables(rows: int, similarity: float, seed: int = 0) -> list[list[int]]:
-    """Sampled bits of each table: so many that shards have SHARD_MEAN random members, so many tables that RECALL is reached."""
-    bits = max(LEAST_BITS, ceil(log2(max(rows, 1) / SHARD_MEAN)))
-    p = _differing(similarity)
-    far = p + (p * (1 - p) / WIDE) ** 0.5
-    n = ceil(log(1 - RECALL) / log(1 - (1 - far) ** bits))
-    pick = Random(seed)
-    return [sorted(pick.sample(range(WIDE), min(bits, WIDE))) for _ in range(n)]
-
-
 def _radius(similarity: float) -> int:
-    """Two and a half deviations above the expected distance at the similarity."""
-    p = _differing(similarity)
-    return ceil(WIDE * p + 2.5 * (WIDE * p * (1 - p)) ** 0.5)
-
+    """Four deviations above the expected distance at the similarity, which ties in very small sets raise by a quarter at most."""
+    p = 1.25 * _differing(similarity)
+    return ceil(WIDE * p + 4 * (WIDE * p * (1 - p)) ** 0.5)
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
 
-def _dealt(tables: list[list[int]], salt: int):
-    """Rows (shard, node, f0, f1) for each table, from rows (shard, node, f0, f1); more columns go along."""
 
+def _described(k: int, factors: np.ndarray):
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.uint64(1) << np.arange(max(map(len, tables)), dtype=np.uint64)
-        for x in batches:
-            for at in range(0, x.num_rows, 4096):
-                old, node, f0, f1, *more = (c.to_numpy() for c in x.slice(at, 4096).columns)
-                bits = np.unpackbits(np.stack([f0, f1], 1).astype(">i8").view(np.uint8).reshape(len(f0), WIDE // 8), axis=1).astype(np.uint64)
-                for t, own in enumerate(tables):
-                    key = bits[:, own] @ weights[: len(own)]
-                    shard = _mixed(_mixed(old.view(np.uint64) ^ np.uint64(salt * 1_000_003 + t)) ^ key)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (shard.view(np.int64), node, f0, f1, *more)], x.schema.names)
+        known = WordHashes()
+        for b in batches:
+            sets = [shingle_hashes(t.as_py(), k, known) for t in b.column(2)]
+            fps = np.stack([wide_fingerprint(x) for x in sets]) if sets else np.zeros((0, 2), np.int64)
+            same = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets]), np.int64).reshape(-1, 2)
+            cols = [pa.array(x.copy()) for x in (*same.T, *fps.T)]
+            size = pa.array(np.array([len(x) for x in sets], np.int64))
+            own = [x.view(np.int64) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, size, _lists([band_keys(x, factors) for x in sets]), _lists(own)], ["doc_id", "hash", "s0", "s1", "f0", "f1", "size", "bands", "shingles"])
 
     return run
 
 
+def described(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """A stored row for each row of docs: a number of its own, doc_id, hash of its text, 128-bit hash of its shingle set, SimHash, size, band keys and shingle hashes."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), F.col("text").alias("text"))
+    kinds = "doc_id long, hash long, s0 long, s1 long, f0 long, f1 long, size long, bands array<long>, shingles array<long>"
+    rows = rows.mapInArrow(_described(k, _factors(BAND * _bands(similarity), 0)), kinds)
+    return written(rows.withColumn("row", F.monotonically_increasing_id()), "shingled")
+
+
 def _forest_edges(radius: int):
     """Minimum spanning forest, by distance, of each shard's pairs within the radius."""
 
@@ -395,166 +448,220 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.n
     return a[ix], b[ix], d[ix]
 
 
-def _apart_pairs(radius: int, most: int | None):
-    """Pairs of each shard within the radius whose roots differ, a < b: of each member the nearest ``most``, or all.
+def _shard_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole shards, of about SHARD_SHINGLES shingles together; rows come sorted by the first column."""
+    held, n, wanted = [], 0, SHARD_SHINGLES
+    for x in batches:
+        held.append(x)
+        n += x.num_rows + len(x.column(x.num_columns - 1).flatten())
+        if n >= wanted:
+            t = pa.Table.from_batches(held).combine_chunks()
+            shard = t.column(0).to_numpy()
+            end = int(np.searchsorted(shard, shard[-1], "left"))  # the last shard may go on in the next batch
+            if end:
+                yield t.slice(0, end)
+            held = t.slice(end).to_batches()
+            n = sum(y.num_rows + len(y.column(y.num_columns - 1).flatten()) for y in held)
+            wanted = max(SHARD_SHINGLES, 2 * n)
+    if held:
+        yield pa.Table.from_batches(held)
 
-    A row of a member with itself tells that it has more.
+
+def _joining(similarity: float, radius: int):
+    """Pairs of roots (a < b) that some pair of similar members of a shard joins, from rows (shard, node, f0, f1, root, shingles).
+
+    Every pair within the radius whose roots still differ is decided by its shingles.
     """
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        for shard, node, f0, f1, root in _whole_shards(batches):
-            first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])[: len(shard)]
-            if not len(first):
-                continue
-            mixed = np.repeat(np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first), np.diff(np.r_[first, len(shard)]))
-            shard, node, root, fp = shard[mixed], node[mixed], root[mixed], np.stack([f0[mixed], f1[mixed]], 1)
-            kept, over = tuple(np.zeros(0, np.int64) for _ in range(3)), np.zeros(len(node), bool)
-            held, n = [], 0
-            for q, x, d in Forest(shard, fp).pairs(radius) if len(node) else ():
-                apart = root[q] != root[x]
-                if most is None:  # each pair is met from both ends
-                    apart &= node[q] < node[x]
-                    yield rows(node[q[apart]], node[x[apart]])
-                    continue
-                held.append((q[apart], x[apart], d[apart]))
-                n += len(held[-1][0])
-                if n >= FRONTIER:
-                    kept, held, n = _nearest(most, over, *(np.concatenate(c) for c in zip(kept, *held))), [], 0
-            if held:
-                kept = _nearest(most, over, *(np.concatenate(c) for c in zip(kept, *held)))
-            yield rows(node[kept[0]], node[kept[1]])
-            yield rows(node[over], node[over])
+        for t in _shard_tables(batches):
+            shard, _, f0, f1, root = (t.column(i).to_numpy() for i in range(5))
+            lists = t.column(5).combine_chunks()
+            lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+            sizes = np.diff(lists.offsets.to_numpy())
+            ends = np.cumsum(sizes)
+            flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+            seen = np.zeros(int(flat.max(initial=0)) + 1, bool)
+            roots, at = np.unique(root, return_inverse=True)
+            parent, out = np.arange(len(roots)), []
+
+            def up(x: int) -> int:
+                while parent[x] != x:
+                    x = parent[x] = parent[parent[x]]
+                return x
+
+            for q, x, _ in Forest(shard, np.stack([f0, f1], 1)).pairs(radius):
+                while not np.array_equal(top := parent[parent], parent):
+                    parent[:] = top
+                # each pair is met from both ends; sizes too unlike rule the similarity out
+                ok = (q < x) & (parent[at[q]] != parent[at[x]]) & (np.minimum(sizes[q], sizes[x]) >= similarity * np.maximum(sizes[q], sizes[x]))
+                q, x = q[ok], x[ok]
+                order = np.argsort(q, kind="stable")
+                q, x = q[order], x[order]
+                for i, j in _runs(q):
+                    for s in range(i, j, 4096):
+                        one, many = q[i], x[s : min(j, s + 4096)]
+                        mine = flat[ends[one] - sizes[one] : ends[one]]
+                        seen[mine] = True
+                        m = sizes[many]
+                        last = np.cumsum(m)
+                        hits = seen[flat[np.repeat(ends[many] - last, m) + np.arange(last[-1])]]
+                        both = np.diff(np.r_[0, np.cumsum(hits)[last - 1]])
+                        seen[mine] = False
+                        for y in many[both >= similarity * (sizes[one] + m - both)]:
+                            a, b = up(at[one]), up(at[y])
+                            if a != b:
+                                parent[max(a, b)] = min(a, b)
+                                out.append((roots[min(a, b)], roots[max(a, b)]))
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
     return run
 
 
-def _nearest(most: int, over: np.ndarray, q: np.ndarray, x: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The nearest ``most`` pairs of each q; marks in ``over`` those that have more."""
-    order = np.lexsort((x, d, q))
-    q, x, d = q[order], x[order], d[order]
-    first = np.searchsorted(q, q, "left")
-    fits = np.arange(len(q)) - first < most
-    over[q[~fits]] = True
-    return q[fits], x[fits], d[fits]
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    cuts = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True]) if len(x) else np.zeros(1, np.int64)
+    return zip(cuts[:-1].tolist(), cuts[1:].tolist())
 
 
-def _by_words(docs: DataFrame, k: int, sets: bool) -> DataFrame:
-    """(doc_id, f0, f1), and with ``sets`` the sorted hashes of the distinct shingles, of each row."""
+def _deeper(factors: np.ndarray):
+    """Rows (shard, node, f0, f1, root, size) for each further band, from the same rows with their shingles."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.as_py() for t in b.column(1)]
-            fps = np.frombuffer(b"".join([wide_fingerprint(t, k) for t in texts]), ">i8").reshape(-1, 2).astype(np.int64)
-            cols = [b.column(0), pa.array(fps[:, 0].copy()), pa.array(fps[:, 1].copy())]
-            if sets:
-                own = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, k)), np.uint64)).view(np.int64) for t in texts]
-                ends = np.r_[0, np.cumsum([len(x) for x in own])].astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*own, np.zeros(0, np.int64)]))))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "f0", "f1", "shingles"][: len(cols)])
+            for i in range(b.num_rows):
+                own = b.column(6)[i].values.to_numpy().view(np.uint64)
+                keys = band_keys(own, factors).view(np.uint64)
+                shard = _mixed(keys ^ _mixed(np.full(len(keys), b.column(0)[i].as_py(), np.int64).view(np.uint64))).view(np.int64)
+                same = [pa.array(np.full(len(keys), b.column(c)[i].as_py(), np.int64)) for c in range(1, 6)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard), *same], b.schema.names[:6])
+
+    return run
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, f0 long, f1 long" + ", shingles array<long>" * sets)
 
+def _is_hot() -> F.Column:
+    return (F.col("n") > SHARD_MOST) | (F.col("sizes") > SHARD_SHINGLES)
 
-def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, f0, f1, component_id), one row for each row of docs: groups linked by a Jaccard similarity of at least ``similarity``.
 
-    The sets are the distinct k-word shingles; equal fingerprints count as equal sets. Texts
-    without words are alike. component_id is the smallest doc_id of the group; null ids are passed
-    over, and documents without an id are grouped by equal fingerprints only. An empty table gives no rows.
-    """
-    fps = written(_by_words(docs, k, False), "docfps")
-    nodes = fps.groupBy("f0", "f1").agg(F.min("doc_id").alias("least"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    n, radius = nodes.count(), _radius(similarity)
-
-    def searched(rows: DataFrame, run, name: str) -> DataFrame:
-        dealt = _candidates(rows, n, similarity)
-        return written(dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct(), name)
-
-    zero = F.lit(0).cast("long").alias("shard")
-    edges = searched(nodes.select(zero, "node", "f0", "f1"), _forest_edges(radius), "candidates")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = written(nodes.join(ends, "node", "left_semi").select("least", "f0", "f1", "node"), "asked")
-    # one document stands for each fingerprint; a second row of its id with another text is left out by the join on both
-    ids = small(asked.select("least").where("least is not null").distinct())
-    own = _by_words(docs.join(ids, docs["doc_id"].cast("long") == ids["least"], "left_semi"), k, True).drop("doc_id")
-    own = own.join(asked.select("f0", "f1", "node"), ["f0", "f1"]).dropDuplicates(["node"])
-    own = written(own.select("node", "shingles"), "shingles")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        x, y = (own.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-        both = F.size(F.array_intersect("sa", "sb"))
-        same = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)
-        return written(pairs.join(x, "a").join(y, "b").where(same).select("a", "b"), "links")
-
-    links = alike(edges)
-    root = written(components(links), "roots")
-    left = asked.where("least is not null") if links.count() < edges.count() else asked.limit(0)
-    for most in ROUNDS:  # no pair outside of left can join two components
-        if left.isEmpty():
-            break
-        rows = left.join(root, "node", "left").select(zero, "node", "f0", "f1", F.coalesce("root", "node").alias("root"))
-        pairs = searched(rows, _apart_pairs(radius, most), "apart")
-        new = alike(pairs.where("a < b"))
-        if not new.isEmpty():
-            links, before = written(links.union(new), "links"), (links, root)
-            root = written(components(links), "roots")
-            for t in before:
-                dropped(t)
-        # a pair that neither end has among its nearest is of two members that have more
-        left = written(asked.join(pairs.where("a = b").select(F.col("a").alias("node")), "node", "left_semi"), "left")
-        for t in (pairs, new):
-            dropped(t)
-    grouped = nodes.join(root.withColumnRenamed("root", "r"), "node", "left").select("f0", "f1", "least", F.coalesce("r", "node").alias("root"))
-    grouped = written(grouped, "grouped")
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = written(grouped.join(least, "root").select("f0", "f1", "component_id"), "groups")
-    for t in (nodes, edges, asked, own, links, root, grouped):
-        dropped(t)
-    return fps.join(groups, ["f0", "f1"]).select("doc_id", "f0", "f1", "component_id")
+def _hot(dealt: DataFrame) -> DataFrame:
+    return written(dealt.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("sizes")).where(_is_hot()).select("shard"), "hot")
 
 
-def _candidates(rows: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(shard, node, f0, f1) and more columns of rows: members of a shard agree in its sampled bits. Shards beyond SHARD_MOST are dealt again, by tables of more bits."""
-    kinds = ", ".join(f"{c} long" for c in rows.columns)
-    out = rows.mapInArrow(_dealt(_tables(n, similarity), 0), kinds)
-    ready: list[DataFrame] = []
-    p = _differing(similarity)
-    for level in range(1, 4):
-        hot = written(out.groupBy("shard").count().where(F.col("count") > SHARD_MOST).select("shard"), "hot")
+def _pivot_edges(rows: DataFrame, radius: int) -> DataFrame:
+    """(a, b): the members of each hot shard with each of its pivots, within the radius."""
+    least = rows.groupBy("shard", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct("node", "f0", "f1")).alias("p"))
+    pivots = small(written(least.select("shard", F.col("p.node").alias("pivot"), F.col("p.f0").alias("p0"), F.col("p.f1").alias("p1")), "pivots"))
+    far = F.bit_count(F.col("f0").bitwiseXOR(F.col("p0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("p1")))
+    return rows.join(pivots, "shard").where((F.col("node") != F.col("pivot")) & (far <= radius)).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+
+
+def _mixed_shards(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(shard, node, f0, f1, root): shards of bounded size of rows (shard, node, f0, f1, root, size) in which roots differ.
+
+    Each pair of members with different roots stays in one of them: surely where blocks are made, else with the chance RECALL
+    for each time that a hot shard is dealt out.
+    """
+    factors, ready = _bands(similarity) * BAND, []
+    columns = ["shard", "node", "f0", "f1", "root", "size"]
+    for level in range(DEEPER + 1):
+        sums = rows.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        sums = written(sums.where("lo <> hi").select("shard", "n", "sizes", _is_hot().alias("hot")), "mixed")
+        ready.append(rows.join(small(sums.where("not hot").select("shard")), "shard", "left_semi").select(columns))
+        hot = sums.where("hot")
         if hot.isEmpty():
             break
-        ready.append(out.join(small(hot), "shard", "left_anti"))
-        pick, more = Random(level), ceil(log(0.01) / log(1 - (1 - p) ** 6))
-        tables = [sorted(pick.sample(range(WIDE), 6)) for _ in range(more)]
-        out = out.join(small(hot), "shard", "left_semi").select(rows.columns).mapInArrow(_dealt(tables, level), kinds)
-    for x in ready:
+        if level < DEEPER:
+            again = rows.join(small(hot.select("shard")), "shard", "left_semi").select(columns).join(sets, "node")
+            again = again.select(*columns, "shingles").mapInArrow(_deeper(_factors(factors, level + 1)), ", ".join(f"{c} long" for c in columns))
+            rows = written(again, "deeper")
+        else:  # pairs of blocks: each pair of members meets once
+            most = F.greatest(F.ceil(2 * F.col("n") / SHARD_MOST), F.ceil(2 * F.col("sizes") / SHARD_SHINGLES)).cast("int")
+            own = rows.join(small(hot.select("shard", most.alias("m"))), "shard").withColumn("p", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+            own = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+            ready.append(own.withColumn("shard", F.xxhash64("shard", F.least("p", "o"), F.greatest("p", "o"))).select(columns))
+    out = ready[0]
+    for x in ready[1:]:
         out = out.unionByName(x)
+    return out.drop("size")
+
+
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, hash, root, component_id), a stored row for each row of docs: groups linked by a Jaccard similarity of at least ``similarity``.
+
+    The sets are the distinct k-word shingles. Texts without words are alike. hash is that of the
+    text, root numbers the group, component_id is its smallest doc_id, null if none has one. Repeated rows and equal texts share
+    a group; an empty table gives no rows; other columns are not read.
+    """
+    rows = described(docs, k, similarity)
+    about = F.struct("row", "f0", "f1", "size", "bands").alias("one")
+    nodes = rows.groupBy("s0", "s1").agg(F.min("doc_id").alias("least"), F.min_by(about, "row").alias("one"))
+    nodes = written(nodes.select("s0", "s1", "least", F.col("one.row").alias("node"), "one.f0", "one.f1", "one.size", "one.bands"), "nodes")
+    radius = _radius(similarity)
+    dealt = nodes.select(F.explode("bands").alias("shard"), "node", "f0", "f1", "size")
+    hot = _hot(dealt)
+    any_hot = not hot.isEmpty()
+    cool = dealt.join(small(hot), "shard", "left_anti") if any_hot else dealt
+    cool = cool.select("shard", "node", "f0", "f1").repartition("shard").sortWithinPartitions("shard")
+    edges, crowded = cool.mapInArrow(_forest_edges(radius), "a long, b long"), None
+    if any_hot:
+        crowd = dealt.join(small(hot), "shard", "left_semi")
+        edges, crowded = edges.union(_pivot_edges(crowd.select("shard", "node", "f0", "f1"), radius)), crowd.select("node").distinct()
+    edges = written(edges.distinct(), "candidates")
+    asked = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = written(asked.union(crowded).distinct() if crowded is not None else asked, "asked")
+    sets = rows.select(F.col("row").alias("node"), "shingles").join(small(asked), "node", "left_semi")
+    sets = written(sets, "sets")
+    x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    same = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)
+    links = written(edges.join(x, "a").join(y, "b").where(same).select("a", "b"), "links")
+    root = written(components(links), "roots")
+    # an edge that fails says nothing of a shard's other pairs: those that components still part are decided too
+    own = F.coalesce("root", "node").alias("root")
+    left = nodes.join(asked, "node", "left_semi").join(root, "node", "left").select("node", "f0", "f1", "size", "bands", own)
+    left = written(left.select(F.explode("bands").alias("shard"), "node", "f0", "f1", "root", "size"), "left")
+    mixed = _mixed_shards(left, sets, similarity).join(sets, "node").select("shard", "node", "f0", "f1", "root", "shingles")
+    more = mixed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_joining(similarity, radius), "a long, b long")
+    more = components(written(more.distinct(), "joined")).select(F.col("node").alias("_r"), F.col("root").alias("_top"))
+    grouped = nodes.join(root, "node", "left").select("s0", "s1", "least", own)
+    grouped = written(grouped.join(more, grouped["root"] == more["_r"], "left").select("s0", "s1", "least", F.coalesce("_top", "root").alias("root")), "grouped")
+    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = grouped.join(least, "root").select("s0", "s1", "root", "component_id")
+    out = written(rows.select("doc_id", "hash", "s0", "s1").join(groups, ["s0", "s1"]).select("doc_id", "hash", "root", "component_id"), "similar")
+    for t in (rows, nodes, hot, edges, asked, sets, links, root, left, grouped):
+        dropped(t)
     return out
 
 
 def near_deduplicated(docs: DataFrame, k: int = 5, similarity: float | None = 0.8, radius: int = 3) -> DataFrame:
-    """docs with one document of each group: that of the smallest doc_id.
+    """docs with one row of each group: that of the smallest doc_id, of these the one of the smallest hash of its text.
 
-    Groups by similarity of shingle sets, or with ``similarity=None`` by fingerprints within
-    the radius. Rows that repeat an id and text count as one document. Rows with a null id can't be
-    told apart and stay.
+    Groups by similarity of shingle sets, or with ``similarity=None`` by fingerprints within the radius. Rows are judged by
+    doc_id and text: rows of one doc_id with unlike texts are in groups of their own, null ids come last. Of rows that repeat
+    both, one stays. An empty table stays empty.
     """
-    groups = similar_groups(docs, k, similarity) if similarity is not None else simhash_groups(docs, k, radius)
-    groups = written(groups.select("doc_id", "component_id"), "members")
-    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    again = written(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    dropped(groups)
+    if similarity is not None:
+        members = similar_groups(docs, k, similarity)
+    else:
+        fps = written(_hashed_fingerprints(docs, k), "docfps")
+        members = fps.join(near_groups(fps.select("doc_id", "fp"), radius), "fp").select("doc_id", "hash", "root")
+    keys = written(members.groupBy("doc_id", "hash").agg(F.min("root").alias("root"), F.count("*").alias("n")), "keys")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
+    best = keys.groupBy("root").agg(F.min(order).alias("best"))
+    judged = keys.join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("hash") == F.col("best.hash")))
+    judged = written(judged.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "stays", "n"), "judged")
+    for t in (keys, members):
+        dropped(t)
+
+    def by_row(rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
+        side = small(side.select("_id", "_hash"))
+        return rows.join(side, rows["doc_id"].cast("long").eqNullSafe(side["_id"]) & (F.xxhash64(rows["text"]) == side["_hash"]), how).select(rows.columns)
+
+    kept = by_row(docs, judged.where("not stays"), "left_anti")
+    again = judged.where("stays and n > 1")
     if again.isEmpty():
-        return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
-    # ids that several rows carry: of these, each distinct text is judged by its own row
-    once = docs.join(small(again), "doc_id", "left_anti").join(small(gone), "doc_id", "left_anti").select(docs.columns)
-    many = docs.join(small(again), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    many = many.join(small(gone), "doc_id", "left_anti").select(docs.columns)
-    return once.unionByName(many)
+        return kept
+    return by_row(kept, again, "left_anti").unionByName(by_row(kept, again, "left_semi").dropDuplicates(["doc_id", "text"]))
