@@ -70,6 +70,25 @@ def test_edges(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 7, 8]
 
 
+def test_rows_are_judged_and_not_ids(spark):
+    hit, clean = "x " + ITEMS[0][1], "nothing of that kind"
+    rows = [(7, hit), (7, clean), (None, hit), (None, clean), (None, None), (8, clean)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in decontam.decontaminated(d, frames(spark)[1]).collect()}
+    assert kept == {(7, clean), (None, clean), (None, None), (8, clean)}
+
+
+def test_one_index_serves_several_test_sets(spark, monkeypatch):
+    d, b = frames(spark)
+    told = lambda df: sorted((str(r.doc_id), r.hit_at, r["items"], r.near_items) for r in df.collect())
+    whole = decontam.positional_index(d)
+    for tests in (b, b.where("item_id = 2")):
+        assert told(decontam.matches(d, tests, index=whole)) == told(decontam.matches(d, tests))
+    want = told(decontam.matches(d, b))
+    monkeypatch.setattr(decontam, "MOST_TERMS", 3)
+    assert told(decontam.matches(d, b)) == want
+
+
 def test_parts_and_blocks_agree(spark, monkeypatch):
     d, b = frames(spark)
     want = sorted((str(r.doc_id), r.hit_at, r["items"], r.near_items) for r in decontam.matches(d, b).collect())
