@@ -1,6 +1,6 @@
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -15,42 +15,34 @@ def tok(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
 
 
-def brute(rows, least_share):
-    """rows: (doc_id, target, lang, text) -> doc_id, n, losses."""
+def brute(rows):
+    """rows: (doc_id, target, lang, text) -> doc_id, n, losses by the counts of all other rows."""
     size = defaultdict(lambda: [0, 0])
     for _, t, lang, text in rows:
         size[lang or ""][not t] += len((text or "").encode())
     all_t, all_b = (sum(x[c] for x in size.values()) for c in (0, 1))
     weight = {k: math.floor((t / all_t * all_b / b if b and all_t else 1) * 1024 + 0.5) / 1024 for k, (t, b) in size.items()}
-    uni = defaultdict(lambda: [0.0, 0.0])
+    one, two, whole = Counter(), Counter(), Counter()
     for _, t, lang, text in rows:
-        for w in tok(text):
-            uni[w][not t] += 1 if t else weight[lang or ""]
-    least = max(2, least_share * sum(map(sum, uni.values())))
-    kept = {w for w, c in uni.items() if sum(c) >= least}
-    vocab = kept | {None, "<s>"}
-    one, two = defaultdict(lambda: [0.0, 0.0]), defaultdict(lambda: [0.0, 0.0])
-    for _, t, lang, text in rows:
-        ws = [w if w in kept else None for w in tok(text)]
+        ws, n = tok(text), 1 if t else weight[lang or ""]
         for a, b in zip(["<s>", *ws], ws):
-            n = 1 if t else weight[lang or ""]
-            one[b][not t] += n
-            two[a, b][not t] += n
-    two = {k: c for k, c in two.items() if sum(c) >= least}
+            one[b, not t] += n
+            two[a, b, not t] += n
+        if ws:
+            one["<s>", not t] += n
+        whole[not t] += n * len(ws)
+    vocabulary = {w for w, _ in one}
     out = []
-    for i, _, _, text in rows:
-        ws = [w if w in kept else None for w in tok(text)]
+    for i, t, lang, text in rows:
+        ws = tok(text)
+        single, double = Counter(["<s>", *ws]), Counter(zip(["<s>", *ws], ws))
         loss = [0.0, 0.0]
         for c in (0, 1):
-            whole = sum(x[c] for x in one.values())
-            start = defaultdict(float)
-            for (a, _), x in two.items():
-                start[a] += x[c]
+            f = (1 if t else weight[lang or ""]) if c == (not t) else 0
             for a, b in zip(["<s>", *ws], ws):
-                n = max(one[a][c] if a in one else 0, start[a])
-                p = (one[b][c] + 1) / (whole + len(vocab)) * (1 - 0.7 * start[a] / n if n else 1)
-                if n and (a, b) in two:
-                    p += 0.7 * two[a, b][c] / n
+                p = (one[b, c] - f * single[b] + 1) / (whole[c] - f * len(ws) + len(vocabulary))
+                if (first := one[a, c] - f * single[a]) > 0:
+                    p = 0.3 * p + 0.7 * (two[a, b, c] - f * double[a, b]) / first
                 loss[c] -= math.log(p) / len(ws)
         out.append((i, len(ws), *loss))
     return sorted(out, key=str)
@@ -66,7 +58,7 @@ def test_query_equals_brute_force(spark, sf):
     c = duckdb.connect()
     rows = c.execute(f"select d.doc_id, coalesce(l.quality = 1 and l.toxic = 0, false), lang, text from '{sf}/documents.parquet' d left join '{sf}/labels.parquet' l using (doc_id)").fetchall()
     got = QUERIES["op2_lm_cross_entropy"](spark, sf).collect()
-    close(sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got), key=str), brute(rows, lmscore.LEAST_SHARE))
+    close(sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got), key=str), brute(rows))
     assert all(r.score == pytest.approx(r.background_loss - r.target_loss) for r in got)
 
 
@@ -80,7 +72,24 @@ def test_a_target_like_text_scores_higher(spark):
 def test_edges(spark):
     rows = [(None, True, "en", None), (1, None, None, ""), (2, False, "de", "... !"), (3, True, "en", "word " * 80_000 + "other"), (4, False, "en", "word other"), (4, False, "en", "word other"), (5, True, "fr", "seul mot seul mot"), (6, False, "de", "Ünder ünder")]
     df = spark.createDataFrame(rows, "doc_id long, target boolean, lang string, text string").selectExpr("*", "1 as t", "2 as b", "3 as word", "4 as score", "5 as n_tokens")
-    got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lmscore.scored(df, F.col("target"), least_share=1e-6).collect()), key=str)
-    close(got, brute([(i, bool(t), lang, x) for i, t, lang, x in rows], 1e-6))
+    got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lmscore.scored(df, F.col("target")).collect()), key=str)
+    close(got, brute([(i, bool(t), lang, x) for i, t, lang, x in rows]))
     assert lmscore.scored(df.limit(0), F.col("target")).count() == 0
     assert lmscore.scored(df, F.lit(False)).count() == len(rows)
+
+
+def test_blocks_ranges_and_slices_agree(spark, sf, monkeypatch):
+    d = spark.read.parquet(f"{sf}/documents.parquet").withColumn("target", F.col("doc_id") % 3 == 0)
+    told = lambda: sorted((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lmscore.scored(d, F.col("target")).collect())
+    want = told()
+    for name, value in (("BLOCK_CHARS", 20_000), ("RANGE_TOKENS", 2000), ("SLICE_TOKENS", 100)):
+        monkeypatch.setattr(lmscore, name, value)
+    close(told(), want)
+
+
+def test_copies_are_told_from_single_texts(spark):
+    text = lambda i: " ".join(f"w{(i * 31 + j * j * 7) % 997}" for j in range(80))
+    rows = [(i, i % 2 == 0, "en", text(i)) for i in range(100)] + [(100 + i, False, "en", text(1 + 2 * i)) for i in range(5)]
+    got = {r.doc_id: r.background_loss for r in lmscore.scored(spark.createDataFrame(rows, "doc_id long, target boolean, lang string, text string"), F.col("target")).collect()}
+    twice = {1 + 2 * i for i in range(5)} | {100 + i for i in range(5)}
+    assert max(got[i] for i in twice) < min(got[i] for i in set(got) - twice)
