@@ -126,8 +126,9 @@ def windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text")
 def _ordered(tests: DataFrame, index: DataFrame) -> DataFrame:
     """(terms array<struct<n, term, at>>, items): the windows of which the index holds each term, terms from rarest to most frequent in it."""
     asked = tests.select("window", F.posexplode("words").alias("at", "term"))
-    n = index.where("term is not null").groupBy("term").agg(F.sum("n_words").alias("n"))
-    order = asked.join(n, "term").groupBy("window").agg(F.sort_array(F.collect_list(F.struct("n", "term", "at"))).alias("terms"))
+    terms = small(written(asked.select("term").distinct(), "terms"))
+    n = index.where("term is not null").groupBy("term").agg(F.sum("n_words").alias("n")).join(terms, "term", "left_semi")
+    order = asked.join(small(written(n, "frequencies")), "term").groupBy("window").agg(F.sort_array(F.collect_list(F.struct("n", "term", "at"))).alias("terms"))
     return written(tests.join(order, "window").where(F.size("terms") == F.size("words")).select("window", "terms", "items"), "ordered")
 
 

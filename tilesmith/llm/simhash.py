@@ -267,9 +267,9 @@ def near_groups(fps: DataFrame, radius: int = 3) -> DataFrame:
     root = written(components(found), "roots")
     own = nodes.join(root, nodes.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     own = written(own, "own")
-    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = written(own.join(least, "root").select("fp", "root", "component_id"), "groups")
-    for x in (nodes, root, own):
+    least = written(own.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    out = written(own.join(small(least), "root").select("fp", "root", "component_id"), "groups")
+    for x in (nodes, root, own, least):
         dropped(x)
     return out
 
@@ -628,10 +628,10 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
     more = components(written(more.distinct(), "joined")).select(F.col("node").alias("_r"), F.col("root").alias("_top"))
     grouped = nodes.join(root, "node", "left").select("s0", "s1", "least", own)
     grouped = written(grouped.join(more, grouped["root"] == more["_r"], "left").select("s0", "s1", "least", F.coalesce("_top", "root").alias("root")), "grouped")
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = grouped.join(least, "root").select("s0", "s1", "root", "component_id")
+    least = written(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    groups = grouped.join(small(least), "root").select("s0", "s1", "root", "component_id")
     out = written(rows.select("doc_id", "hash", "s0", "s1").join(groups, ["s0", "s1"]).select("doc_id", "hash", "root", "component_id"), "similar")
-    for t in (rows, nodes, hot, edges, asked, sets, links, root, left, grouped):
+    for t in (rows, nodes, hot, edges, asked, sets, links, root, left, grouped, least):
         dropped(t)
     return out
 
@@ -650,10 +650,10 @@ def near_deduplicated(docs: DataFrame, k: int = 5, similarity: float | None = 0.
         members = fps.join(near_groups(fps.select("doc_id", "fp"), radius), "fp").select("doc_id", "hash", "root")
     keys = written(members.groupBy("doc_id", "hash").agg(F.min("root").alias("root"), F.count("*").alias("n")), "keys")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
-    best = keys.groupBy("root").agg(F.min(order).alias("best"))
-    judged = keys.join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("hash") == F.col("best.hash")))
+    best = written(keys.groupBy("root").agg(F.min(order).alias("best")), "best")
+    judged = keys.join(small(best), "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("hash") == F.col("best.hash")))
     judged = written(judged.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "stays", "n"), "judged")
-    for t in (keys, members):
+    for t in (keys, best, members):
         dropped(t)
 
     def by_row(rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
