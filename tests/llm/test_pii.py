@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from tilesmith.llm import pii
@@ -36,7 +37,7 @@ def test_query_replaces_all_and_only_entities(spark):
 def test_formats():
     text = "Write MS. ANNA SMITH or Mr Иван Петров, anna.s@Mail.example.com, +44 (020) 555-1234, 4111 1111 1111 1111, 4111111111111112, 10.0.0.7, 123-45-6789. Version 1.2.3 of 2024, 1 2 3 4 5 6 7 8 9 10 11 12 13 14."
     out, kinds = pii.replaced(KEY, text, {})
-    assert sorted(kinds) == sorted(["mail", "phone", "card", "card", "ip", "national", "name"] + ["name"] * ("MS" in pii.GENDER))
+    assert sorted(kinds) == sorted(["mail", "phone", "card", "card", "ip", "national", "name"] + ["name"])
     assert "Version 1.2.3 of 2024, 1 2 3 4 5 6 7 8 9 10 11 12 13 14." in out and "+4" in out and re.search(r"Mr [А-Я][а-я]+ [А-Я][а-я]+,", out)
     cards = [re.sub(" ", "", x) for x in re.findall(r"(?:\d{4} ){3}\d{4}|\d{16}", out)]
     assert [pii._luhn(c) == 0 for c in cards] == [True, False]
@@ -47,6 +48,48 @@ def test_formats():
     assert given <= set(pii.GIVEN["f", "LATIN"])
 
 
+def spoken(text):
+    """Words of the text and of its replacement, side by side."""
+    out, kinds = pii.replaced(KEY, text, {})
+    a, b = (re.findall(r"[\w’'@:/-]+", x) for x in (text, out))
+    assert len(a) == len(b)
+    return list(zip(a, b)), kinds
+
+
+def test_one_person_keeps_one_surrogate_in_all_forms():
+    pairs, kinds = spoken("Mr John Smith came. Mr Smith left. Smith slept, Smith's dog too. Dr John Smith, J. Smith and JOHN SMITH; John again. Mrs Smith stayed.")
+    made = {}
+    for x, y in pairs:
+        made.setdefault(x.casefold(), set()).add(y.casefold())
+    assert len(made["smith"]) == len(made["john"]) == 1 and made["smith"] != {"smith"} and made["john"] != {"john"}
+    assert next(iter(made["john"])).capitalize() in pii.GIVEN["m", "LATIN"]
+    assert next(iter(made["smith"])) not in ("smith",) and all(x == y for x, y in pairs if x in ("came", "left", "slept", "dog", "Mr", "Dr", "Mrs", "stayed"))
+    assert made["j"] == {next(iter(made["john"]))[0]} and len(kinds) == 9
+    assert {e for *_, e in pii.entities("Mr John Smith, Mrs Jane Smith. Mr Smith, Mrs Smith, J. Smith. Smith")} == {"m:john smith", "f:jane smith"}
+
+
+def test_entities_told_by_words_beside_them():
+    text = "Jane Doe and Mary O'Neil met. Tel 0171 2345678, born 12/03/1980, 2001:db8::ff00:42:8329, at 12:30:45 std::vector. The Black cat and May Day. Anna. On 12/03/1980."
+    assert [(k, text[a:b]) for a, b, k, _ in pii.entities(text)] == [("name", "Jane Doe"), ("name", "Mary O'Neil"), ("phone", "0171 2345678"), ("birth", "12/03/1980"), ("ip6", "2001:db8::ff00:42:8329")]
+    out = pii.replaced(KEY, text, {})[0]
+    assert re.search(r"born \d\d/\d\d/\d{4}, [0-9a-f]{4}:[0-9a-f]{3}::", out) and out.endswith("On 12/03/1980.")
+    assert "Mary" not in out and "Neil" not in out and "Doe" not in out
+
+
+@pytest.mark.parametrize("text", ["a" * 10**6 + "@", "x." * 500_000 + "@b", "@" * 10**6, "A" * 10**6, "1" * 10**6, "a:" * 500_000, "A-" * 500_000, "Mr Smith " * 30_000, "John " * 60_000])
+def test_long_words_take_no_square_time(text):
+    start = time.time()
+    pii.entities(text)
+    assert time.time() - start < 10
+
+
+def test_a_full_format_stops_instead_of_drawing_for_ever(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_ATTEMPTS", 3)
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, entity, attempt=0: "same")
+    with pytest.raises(ValueError, match="too few"):
+        pii.assigned(spark.createDataFrame([("ip", "1.1.1.1"), ("ip", "2.2.2.2")], "kind string, entity string"), KEY)
+
+
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_collisions_and_edges(spark, monkeypatch, limit):
     monkeypatch.setattr(pii, "BROADCAST_AGAIN", limit)
@@ -70,11 +113,11 @@ def test_collisions_and_edges(spark, monkeypatch, limit):
 
 
 def test_no_name_of_the_corpus_is_given_to_another(spark, monkeypatch):
-    real, first = pii.surrogate, {"m:adler": "romano", ":berg": "marino", "f:anna smith": "clara diaz", "m:otto lang": "emil kuhn"}
+    real, first = pii.surrogate, {"adler": "romano", "berg": "marino", "lang": "clara", "m:carlo marino": "adam marino", "m:otto marino": "adam marino"}
     monkeypatch.setattr(pii, "surrogate", lambda key, kind, entity, attempt=0: first[entity] if attempt == 0 and entity in first else real(key, kind, entity, attempt))
-    names = [*first, "f:romano", "m:carlo marino", ":clara diaz"]
-    rows = pii.assigned(spark.createDataFrame([("name", x) for x in names], "kind string, entity string"), KEY).collect()
+    known = [("surname", x) for x in ("adler", "berg", "lang", "romano", "marino", "diaz")] + [("name", x) for x in ("m:carlo marino", "m:otto marino", ":clara diaz")]
+    rows = pii.assigned(spark.createDataFrame(known, "kind string, entity string"), KEY).collect()
     attempts = {r.entity: r.attempt for r in rows}
-    assert len(rows) == len(names)
-    # the bare name, a word of a full name and a full name under another gender are taken; a free one is kept
-    assert min(attempts["m:adler"], attempts[":berg"], attempts["f:anna smith"]) > 0 and attempts["m:otto lang"] == 0
+    assert len(rows) == len(known)
+    # any word of a name is taken for surnames; of two persons of one surname one draws another given name
+    assert min(attempts[x] for x in ("adler", "berg", "lang")) > 0 and sorted((attempts["m:carlo marino"], attempts["m:otto marino"])) == [0, 1]

@@ -1,16 +1,21 @@
 """PII surrogates: keyed, type-consistent replacements.
 
-One pass finds entities (mail addresses, IPv4 addresses, card and account numbers, national ids, phone
-numbers, names after a title) and reduces each to a canonical form, so that all mentions of an entity
+One pass finds entities (mail addresses, IP addresses, card and account numbers, national ids, phone
+numbers, birth dates, names of persons) and reduces each to a canonical form, so that all mentions of an entity
 are one. A surrogate is drawn from an HMAC of the canonical form: digits for digits, letters for letters
-of the same script, octets for octets, a check digit where there was one, a given name of the title's
-gender; it is written back in the mention's own format and case. As it depends on the key and
+of the same script, octets for octets, a check digit where there was one; it is written back in the mention's own
+format and case. As it depends on the key and
 the entity only, texts need no join to get it, and mentions in all documents agree.
 
+A name stands after a title, or is a known given name and a capitalised word. Inside a document its short forms are the
+same person: a surname after a title, an initial, and the bare surname or given name belong to the
+full name that bears them (of several, to one of the title's gender, else the last before). A surname's surrogate depends on
+the surname alone, so all forms agree; the given name's is of the person's gender, which a title or the given name tells.
+
 Distinctness is checked over the whole corpus: the distinct entities are shuffled by their
-surrogate, and where two meet, or a surrogate is itself an entity of the corpus (of names: of any gender, and a
-single word also if it is a word of a full name), all but the first draw again with the next attempt number,
-until no such pair is left. Only entities that had to draw again, a small share, must be known when texts are
+surrogate, and where two meet, or a surrogate is itself an entity of the corpus (a surname: any word of a name), all but the
+first draw again with the next attempt number, until no such pair is left; persons of one surname draw other given names. Only
+entities that had to draw again, a small share, must be known when texts are
 rewritten: they are broadcast if they are few and joined by document if not.
 """
 
@@ -30,8 +35,10 @@ from tilesmith.llm.common import dropped, fresh, released, written
 
 #: Entities that drew again beyond which they are joined to documents instead of broadcast.
 BROADCAST_AGAIN = 500_000
-#: From this attempt on a surrogate may be longer than its entity, as its format has too few values.
+#: From this attempt on a surrogate may be longer than its entity, or leave its network, as its format has too few values.
 LONGER_FROM = 8
+#: An entity that finds no free surrogate in so many attempts stops the job.
+MOST_ATTEMPTS = 64
 
 # Titles by gender, given names by gender and script.
 TITLES = {"m": "Mr Mister Herr Monsieur Sr Señor", "f": "Mrs Ms Miss Frau Madame Mme Mademoiselle Sra Señora", "": "Dr Prof"}
@@ -43,46 +50,147 @@ GIVEN = {
     ("m", "GREEK"): "Ανδρέας Γιώργος Δημήτρης Ηλίας Κώστας".split(),
     ("f", "GREEK"): "Άννα Ελένη Ζωή Κατερίνα Μαρία".split(),
 }
+# Further given names by which a person is known.
+KNOWN = {
+    "m": "Alexander Andrew Anthony Arthur Benjamin Charles Christopher Daniel Edward Frank George Hans Harry Henry Jack Jacob James Jean John Joseph José Juan Klaus Kevin Louis Lucas Luis Mark Martin Matthew Michael Nicholas Patrick Paul Peter Philip Pierre Richard Robert Samuel Stefan Steven Thomas Timothy William".split(),
+    "f": "Alice Amanda Amelia Angela Anna Anne Barbara Carmen Catherine Charlotte Christine Claire Deborah Elizabeth Emily Emma Eva Hannah Helena Isabel Jane Jennifer Jessica Karen Katherine Linda Lisa Louise Lucy Margaret Marie Martha Mary Michelle Monika Nancy Nicole Olivia Patricia Rachel Rebecca Sandra Sarah Sophie Susan Teresa Ursula Victoria".split(),
+}
 #: Letters that stand in for lower-case letters of a script; others keep to their own block of 32.
 LETTERS = {"LATIN": "abcdefghijklmnopqrstuvwxyz", "LATIN+": "àáâãäåçèéêëìíîïñòóôõöùúûü", "CYRILLIC": "абвгдежзиклмнопрстуфхцчшщэюя", "GREEK": "αβγδεζηθικλμνξοπρστυφχψω"}
 
-MAIL = re.compile(r"[^\W_](?:[\w.+%-]*\w)?@\w[\w-]*(?:\.\w[\w-]*)+")
+DOMAIN = re.compile(r"\w[\w-]*(?:\.\w[\w-]*)+")
+LOCAL_BACK = re.compile(r"\w[\w.+%-]*")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)", re.A)
+IP6 = re.compile(r"(?<![\w:.])(?=[0-9a-f:]{0,39}:)(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,5})?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,5})?)(?![\w:]|\.\d)", re.I | re.A)
+BIRTH = re.compile(r"\b(?:born|birth|birthday|d\.?o\.?b|geboren|geb|née?|nacido|nacida)\b[^\w\n]{0,3}(?:(?:on|am|le|el|date)\b[^\w\n]{1,3})?(\d{4}([-/.])\d{1,2}\2\d{1,2}|\d{1,2}([-/.])\d{1,2}\3\d{4})(?!\w)", re.I)
+TOLD_PHONE = re.compile(r"\b(?:tel|telephone|telefon|teléfono|téléphone|phone|mobile|handy|fax)\b[.:]{0,2} ?(\+?[\d(][\d ()./-]{4,20}\d)(?![\w])", re.I)
 NATIONAL = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)
 CARD = re.compile(r"(?<!\w)(?<!\d[.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\w)", re.A)
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A)
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)", re.A)
-NAME = re.compile(r"(?<!\w)(" + "|".join(sorted((t for ts in TITLES.values() for t in ts.split()), key=len, reverse=True)) + r")\.? ([^\W\d_]\w+(?: [^\W\d_]\w+)?)")
+BIG = "A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ"
+REST = r"(?:\w|[’'-](?!s\b)\w)"  # of a word, less a possessive s
+WORD = rf"[{BIG}]{REST}+"
+NAME = re.compile(r"(?<!\w)(" + "|".join(sorted((t for ts in TITLES.values() for t in ts.split()), key=len, reverse=True)) + rf")\.? ((?:[{BIG}]\. ?){{0,2}}[^\W\d_]{REST}+(?: {WORD}){{0,2}})")
+#: A capitalised word before another; whether it is a given name is looked up.
+PERHAPS = re.compile(rf"\b[{BIG}]\w++(?= (?:[{BIG}]\. ?)?[{BIG}][\w’'])")
+INITIALS = re.compile(rf"(?<!\w)(?:[{BIG}]\. ?){{1,2}}\Z")
+FULL = re.compile(rf"[{BIG}]\w+ (?:[{BIG}]\. ?)?{WORD}")
+PIECE = re.compile(rf"[^\W\d_](?=\.)|[^\W_]{REST}*")
 GENDER = {t: g for g, ts in TITLES.items() for t in ts.split()}
+GIVEN_GENDER = {n.casefold(): g for g in "mf" for n in [*KNOWN[g], *(x for (h, _), xs in GIVEN.items() if h == g for x in xs)]}
 DIGIT = re.compile("[0-9]")
 
 
+def mails(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of mail addresses, in time that grows with the text alone: each is sought from its @, back to the one before."""
+    last = 0
+    at = text.find("@")
+    while at >= 0:
+        back = LOCAL_BACK.match(text[last:at][::-1])
+        local = back[0][::-1].lstrip("_.+%-") if back else ""
+        if local and (m := DOMAIN.match(text, at + 1)):
+            yield at - len(local), m.end()
+            last = m.end()
+            at = text.find("@", last)
+        else:
+            last = at + 1
+            at = text.find("@", at + 1)
+
+
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """Mentions of persons: (start, end, "name", "gender:given names surname" of the person)."""
+    found: list[tuple[int, int, str]] = []  # start, end, the title's gender
+    for m in NAME.finditer(text):
+        if m[2][0].isupper():
+            found.append((*m.span(2), GENDER[m[1]]))
+    for m in PERHAPS.finditer(text):
+        if m[0].casefold() in GIVEN_GENDER:
+            full = FULL.match(text, m.start())
+            if full and not any(a < full.end() and full.start() < b for a, b, _ in found[-64:]):
+                found.append((*full.span(), ""))
+    if not found:
+        return []
+    mentions, people = [], {}  # people: (given names, surname) -> gender
+    for a, b, gender in sorted(found):
+        words = [x.casefold() for x in PIECE.findall(text[a:b])]
+        if len(words) == 1 and words[0] in GIVEN_GENDER:
+            words.append("")
+        mentions.append((a, b, gender, words))
+        given = [x for x in words[:-1] if len(x) > 1]
+        if given:
+            key = (given[0], words[-1])
+            people[key] = people.get(key) or gender or GIVEN_GENDER.get(given[0], "")
+    out, last = [], {}
+    for a, b, gender, words in mentions:
+        surname, given = words[-1], [x for x in words[:-1] if len(x) > 1]
+        known = [k for k in people if k[1] == surname and (not words[:-1] or k[0].startswith(words[0][0]))]
+        if given:
+            who = (given[0], surname)
+        else:
+            fits = [k for k in known if gender and people[k] == gender] or [k for k in known if not gender or not people[k]]
+            who = last.get(surname) if last.get(surname) in fits else fits[0] if fits else ("", surname)
+        if who[0] and gender and not people[who]:
+            people[who] = gender
+        last[surname] = who
+        out.append((a, b, who, gender))
+    # words of these persons that stand alone
+    alone = {}
+    for who in [*people, *(w for _, _, w, _ in out)]:
+        for x in who:
+            if len(x) > 1:
+                alone.setdefault(x, []).append(who)
+    taken = [(a, b) for a, b, *_ in out]
+    i = 0
+    for m in re.finditer(rf"(?<!\w){WORD}", text) if alone else ():
+        while i < len(taken) and taken[i][1] <= m.start():
+            i += 1
+        if (i == len(taken) or m.end() <= taken[i][0]) and (fits := alone.get(m[0].casefold())):
+            start = m.start()
+            if m[0].casefold() == fits[0][1] and (first := INITIALS.search(text, max(start - 6, taken[i - 1][1] if i else 0), start)):
+                start = first.start()
+                fits = [w for w in fits if w[0][:1] == first[0][0].casefold()] or fits
+            out.append((start, m.end(), fits[0], ""))
+    return [(a, b, "name", f"{people.get(who) or gender}:{' '.join(x for x in who if x)}" if who[0] else f"{gender}:{who[1]}") for a, b, who, gender in out]
+
+
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form), by start, without overlap; an earlier kind goes first."""
     text, found = text or "", []
     if "@" in text:
-        found += [(*m.span(), "mail", m[0].lower()) for m in MAIL.finditer(text)]
+        found += [(a, b, "mail", text[a:b].lower()) for a, b in mails(text)]
     if DIGIT.search(text):
         found += [(*m.span(), "ip", m[0]) for m in IP.finditer(text)]
+        if "::" in text or text.count(":") > 6:
+            found += [(*m.span(), "ip6", m[0].lower()) for m in IP6.finditer(text) if m[0].count(":") > 2]
+        found += [(*m.span(1), "birth", m[1]) for m in BIRTH.finditer(text)]
         found += [(*m.span(), "national", m[0]) for m in NATIONAL.finditer(text)]
         found += [(*m.span(), "card", re.sub(r"\D", "", m[0])) for m in CARD.finditer(text)]
         found += [(*m.span(), "iban", m[0].replace(" ", "")) for m in IBAN.finditer(text)]
         found += [(*m.span(), "phone", re.sub(r"[^\d+]", "", m[0])) for m in PHONE.finditer(text)]
-    for m in NAME.finditer(text):
-        name = m[2].split(" ")
-        name = name if all(x[0].isupper() for x in name) else name[:1]
-        if name[0][0].isupper():
-            found.append((m.start(2), m.start(2) + len(" ".join(name)), "name", f"{GENDER[m[1]]}:{' '.join(name).casefold()}"))
-    order = ("mail", "ip", "national", "card", "iban", "phone", "name")
+        found += [(*m.span(1), "phone", re.sub(r"[^\d+]", "", m[1])) for m in TOLD_PHONE.finditer(text) if sum(map(str.isdigit, m[1])) >= 6]
+    found += _names(text)
     out: list[tuple[int, int, str, str]] = []
     taken = bytearray(len(text)) if found else b""
-    for x in sorted(found, key=lambda x: (order.index(x[2]), x[0])):
+    for x in sorted(found, key=lambda x: (ORDER.index(x[2]), x[0])):
         if not any(taken[x[0] : x[1]]):
             taken[x[0] : x[1]] = b"\1" * (x[1] - x[0])
             out.append(x)
     return sorted(out)
 
 
+ORDER = ("mail", "ip", "ip6", "birth", "national", "card", "iban", "phone", "name")
+
+
+def parts(kind: str, entity: str) -> list[tuple[str, str]]:
+    """What draws a surrogate of its own: a name's surname, and its given names beside it."""
+    if kind != "name":
+        return [(kind, entity)]
+    gender, name = entity.split(":", 1)
+    words = name.split(" ")
+    return [("surname", words[-1])] + [("name", entity)] * (len(words) > 1)
+
+
 class _Draw:
     """Numbers from HMACs of an entity and attempt."""
 
@@ -134,8 +242,15 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         return f"{_shaped(draw, local)}{more}@{_shaped(near, host)}.{top}"
     if kind == "ip":
         own = entity.split(".")
-        first = own[0] if own[0] in ("10", "127") else str(1 + draw.below(223))
+        first = own[0] if own[0] in ("10", "127") and attempt < LONGER_FROM else str(1 + draw.below(223))
         return ".".join([first, *(str(draw.below(256)) for _ in range(2)), str(1 + draw.below(254))])
+    if kind == "ip6":
+        made = "".join("0123456789abcdef"[draw.below(16)] if c != ":" else c for c in entity)
+        return made if attempt < LONGER_FROM else ":".join(f"{1 + draw.below(0xFFFF):x}" for _ in range(8))
+    if kind == "birth":
+        first, mark, rest = re.match(r"(\d+)(\D)(.*)", entity).groups()
+        year, month, day = str(1930 + draw.below(80 + 20 * attempt)), f"{1 + draw.below(12):02}", f"{1 + draw.below(28):02}"
+        return mark.join((year, month, day) if len(first) == 4 else (day, month, year))
     if kind == "card":
         x = _shaped(draw, entity)[:-1] + more
         check = next(d for d in "0123456789" if _luhn(x + d) == 0)
@@ -146,17 +261,27 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     if kind == "phone":
         keep = 2 if entity.startswith("+") else 0  # the plus and the first digit of the country
         return entity[:keep] + _shaped(draw, entity[keep:]) + more
-    if kind == "name":
-        gender, name = entity.split(":", 1)
-        parts = name.split(" ")
-        script = _script(next((c for c in name if ord(c) > 127 and _script(c) != "LATIN+"), "a"))
-        given = GIVEN.get((gender or "mf"[draw.below(2)], script))
+    if kind == "surname":
+        script = _script_of(entity)
+        if ("m", script) not in GIVEN:
+            return _shaped(draw, entity) + more
         vowels, others = _syllables(script)
-        surname = "".join(others[draw.below(len(others))] + vowels[draw.below(len(vowels))] for _ in range(3 + attempt // 4))
-        return f"{given[draw.below(len(given))].lower()} {surname}" if given and len(parts) > 1 else surname if given else _shaped(draw, name)
+        return "".join(others[draw.below(len(others))] + vowels[draw.below(len(vowels))] for _ in range(3 + attempt // 4))
+    if kind == "name":  # given names, before the true surname: they need to differ among persons of one surname only
+        gender, name = entity.split(":", 1)
+        *own, surname = name.split(" ")
+        given = GIVEN.get((gender or "mf"[draw.below(2)], _script_of(own[0])))
+        if not given:
+            return " ".join([*(_shaped(draw, x) for x in own), surname])
+        names = [x.lower() for x in given if x.lower() not in own]
+        return " ".join([*("-".join(names[draw.below(len(names))] for _ in range(1 + max(0, attempt - 3) // 4)) for _ in own), surname])
     return _shaped(draw, entity) + more
 
 
+def _script_of(name: str) -> str:
+    return _script(next((c for c in name if ord(c) > 127 and _script(c) != "LATIN+"), "a"))
+
+
 def _syllables(script: str) -> tuple[str, str]:
     return {"CYRILLIC": ("аеиоу", "бвгдзклмнпрст"), "GREEK": ("αεηιο", "βγδκλμνπρστ")}.get(script, ("aeiou", "bdfgklmnprst"))
 
@@ -167,9 +292,31 @@ def rendered(mention: str, kind: str, made: str) -> str:
         own = iter(made)
         out = [next(own, "") if c.isalnum() or (c == "+" and kind == "phone") else c for c in mention]
         return "".join([*out, *own])
-    if mention.isupper():
-        return made.upper()
-    return " ".join(x[:1].upper() + x[1:] for x in made.split(" ")) if kind == "name" else made
+    return made.upper() if mention.isupper() else made
+
+
+def _cased(mention: str, made: str) -> str:
+    return made.upper() if mention.isupper() and len(mention) > 1 else re.sub(r"(^|-)(\w)", lambda m: m[1] + m[2].upper(), made)
+
+
+def _name(key: bytes, mention: str, entity: str, attempts: dict[tuple[str, str], int]) -> str:
+    """The mention with the surrogates of its words; an initial stays an initial."""
+    made = {k: surrogate(key, k, e, attempts.get((k, e), 0)) for k, e in parts("name", entity)}
+    *given, surname = entity.split(":", 1)[1].split(" ")
+    firsts = made["name"].split(" ")[:-1] if given else []
+    known = {surname: made["surname"]} | dict(zip(given, firsts))
+
+    def word(m: re.Match) -> str:
+        x = m[0].casefold()
+        if x in known:
+            return _cased(m[0], known[x])
+        if len(x) == 1 and firsts:
+            return firsts[0][0].upper()
+        if len(x) == 1:
+            return _letter(_Draw(key, "initial", f"{x} {surname}", 0), x).upper()
+        return _cased(m[0], surrogate(key, "surname", x, attempts.get(("surname", x), 0)))
+
+    return PIECE.sub(word, mention)
 
 
 def replaced(key: bytes, text: str | None, attempts: dict[tuple[str, str], int]) -> tuple[str | None, list[str]]:
@@ -179,15 +326,30 @@ def replaced(key: bytes, text: str | None, attempts: dict[tuple[str, str], int])
         return text, []
     out, at = [], 0
     for start, end, kind, entity in found:
-        out += [text[at:start], rendered(text[start:end], kind, surrogate(key, kind, entity, attempts.get((kind, entity), 0)))]
+        mention = text[start:end]
+        made = _name(key, mention, entity, attempts) if kind == "name" else rendered(mention, kind, surrogate(key, kind, entity, attempts.get((kind, entity), 0)))
+        out += [text[at:start], made]
         at = end
     return "".join(out) + text[at:], [k for _, _, k, _ in found]
 
 
+def _drawn(mention: str, kind: str, entity: str) -> list[tuple[str, str]]:
+    """Of a mention: the parts of its entity, and words of a name that are no part of it."""
+    out = parts(kind, entity)
+    if kind == "name":
+        own = entity.split(":", 1)[1].split(" ")
+        out += [("surname", x) for m in PIECE.finditer(mention) if len(x := m[0].casefold()) > 1 and x not in own]
+    return out
+
+
+def _all_drawn(text: str | None) -> list[tuple[str, str]]:
+    return sorted({x for a, b, k, e in entities(text) for x in _drawn(text[a:b], k, e)})
+
+
 @released
 def _entity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(i, h, k, e) for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)) for k, e in sorted({(k, e) for _, _, k, e in entities(t.as_py())})]
+        rows = [(i, h, k, e) for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)) for k, e in _all_drawn(t.as_py())]
         cols = list(zip(*rows)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "hash", "kind", "entity"])
 
@@ -203,23 +365,26 @@ def assigned(known: DataFrame, key: bytes) -> DataFrame:
 
     kinds = "kind string, entity string, attempt int"
     now = written(known.withColumn("attempt", F.lit(0)).select("kind", "entity", "attempt").mapInArrow(draw, f"{kinds}, made string"), "surrogates")
-    # names are known by gender and name, surrogates are names only; one of a single word may be anyone's first or last name
-    bare = F.when(F.col("kind") == "name", F.regexp_replace("entity", "^[^:]*:", "")).otherwise(F.col("entity"))
-    forms = F.when(F.col("kind") == "name", F.array_union(F.array(bare), F.split(bare, " "))).otherwise(F.array(bare))
-    taken = known.select("kind", F.explode(forms).alias("made"))
-    while True:
+    # a surname's surrogate is no word of any name; given names differ among persons of one surname, whose own surrogate is no one's
+    bare = F.regexp_replace("entity", "^[^:]*:", "")
+    taken = known.where("kind not in ('name', 'surname')").select("kind", F.col("entity").alias("made"))
+    taken = taken.union(known.where("kind in ('name', 'surname')").select(F.lit("surname").alias("kind"), F.explode(F.split(bare, " ")).alias("made"))).distinct()
+    taken = written(taken, "taken")
+    for _ in range(MOST_ATTEMPTS):
         # the first of those that share a surrogate keeps it: the one that has had it longest
         firsts = now.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "entity")).alias("keep")).where("n > 1")
         shared = now.join(firsts, ["kind", "made"]).where("entity <> keep.entity").select("kind", "entity")
         real = now.join(taken, ["kind", "made"], "left_semi").select("kind", "entity")
         again = written(shared.union(real).distinct(), "again")
         if again.isEmpty():
+            dropped(taken)
             return now.select("kind", "entity", "attempt")
         drawn = now.join(again, ["kind", "entity"], "left_semi").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, f"{kinds}, made string")
         new = written(now.join(again, ["kind", "entity"], "left_anti").select("kind", "entity", "attempt", "made").unionByName(drawn), "surrogates")
         dropped(now)
         dropped(again)
         now = new
+    raise ValueError("a kind of entity has too few free surrogates")
 
 
 def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
