@@ -1,7 +1,10 @@
 import hashlib
 import re
+import time
+from collections import defaultdict
 
 import duckdb
+import pytest
 from tilesmith.llm import secrets
 from tilesmith.llm.registry import QUERIES
 
@@ -54,3 +57,38 @@ def test_edges(spark):
     assert secrets.scanned(df.limit(0)).count() == 0
     many = secrets.scanned(df.unionByName(df.where("doc_id = 3").crossJoin(spark.range(5)).selectExpr("doc_id + 100 + id as doc_id", "text", "concat('o', id) as source", "rid", "value", "owner", "spans")))
     assert {x.verdict for r in many.where("doc_id = 3").collect() for x in r.spans} == {"copied"}
+
+
+def test_owners_and_repositories_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = duckdb.connect().execute(f"select doc_id, source, text from '{sf}/documents.parquet'").fetchall()
+    held = defaultdict(lambda: (set(), set()))
+    value = lambda kind, text: PLAIN["assign"].match(text)[2] if kind == "assign" else text
+    for i, owner, text in docs:
+        for x in brute(text):
+            kind, a, b = x.split(":")
+            for side, own in zip(held[value(kind, text[int(a) : int(b)])], (i, owner)):
+                side.add(own)
+    seen = set()
+    text_of = {i: t for i, _, t in docs}
+    for r in secrets.scanned(spark.read.parquet(f"{sf}/documents.parquet")).collect():
+        for x in r.spans:
+            if x.base:
+                repos, owners = held[value(x.kind, text_of[r.doc_id][x.start : x.end])]
+                assert x.n_repos >= len(repos) and x.n_owners >= len(owners)  # an added candidate may hold the value too
+                assert (x.verdict == "copied") == (x.n_owners > secrets.MOST_OWNERS or x.n_owners > 1 and x.n_repos > secrets.MOST_REPOS)
+                seen.add((x.n_repos, x.n_owners) == (len(repos), len(owners)))
+    assert True in seen
+
+
+def test_both_counts_decide(spark):
+    rows = [(i, "token = onlyone1", "a") for i in range(30)] + [(100 + i, "token = twohold2", "ab"[i % 2]) for i in range(30)] + [(200 + i, "token = fewrepo3", "ab"[i % 2]) for i in range(4)]
+    got = {r.doc_id: (r.spans[0].n_repos, r.spans[0].n_owners, r.spans[0].verdict) for r in secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert (got[0], got[100], got[200]) == ((30, 1, "live"), (30, 2, "copied"), (4, 2, "live"))
+
+
+@pytest.mark.parametrize("text", ["a" * 10**6 + "://", "a.b" * 300_000, "eyJ" * 300_000, "://" * 300_000, "token " * 200_000, "-----BEGIN PRIVATE KEY-----" * 30_000, "0f" * 500_000])
+def test_long_words_take_no_square_time(text):
+    start = time.time()
+    secrets.added_spans(text, secrets.base_spans(text))
+    assert time.time() - start < 10

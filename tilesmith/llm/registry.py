@@ -41,13 +41,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document is a repository, its source the owner."""
+    """Each document is a repository, its source the owner. counts: repositories and owners of each span's value."""
     rows = secrets.scanned(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["base"])
     n = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     live = F.size(F.filter("spans", lambda x: x["verdict"] == "live")).cast("long").alias("n_live")
-    return rows.select("doc_id", *map(n, secrets.BASE), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), live, (F.size("spans") - live).cast("long").alias("n_copied"))
+    counts = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["n_repos"].cast("string"), x["n_owners"].cast("string"))), ",").alias("counts")
+    return rows.select("doc_id", *map(n, secrets.BASE), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), live, (F.size("spans") - live).cast("long").alias("n_copied"), counts)
 
 
 def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:

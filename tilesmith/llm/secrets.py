@@ -4,7 +4,8 @@ One pass over the texts finds candidates: the base kinds, and further ones that
 if their ownership looks live (other vendor key forms, private key blocks, passwords in URLs, and
 long mixed tokens of high entropy). A candidate's value is kept only as a hash. Hashes are
 aggregated over the whole corpus by distinct repositories and distinct owners: a value that many
-owners share is an example that was copied widely, one that few own is a live-looking credential.
+owners share, or several owners in many repositories, is an example that was copied widely; one that few own is a
+live-looking credential, in however many repositories of a single owner it stands.
 Values are joined back to their spans by hash; texts are neither shuffled nor kept.
 """
 
@@ -29,6 +30,8 @@ ADDED = ("key_block", "url_password", "vendor", "entropy")
 ORDER = {k: i for i, k in enumerate(BASE + ADDED)}
 #: A value on record with more owners than this is a widely copied example.
 MOST_OWNERS = 3
+#: ... and so is one of more than one owner in more repositories than this.
+MOST_REPOS = 10
 #: Bits a character that a token of mixed letters and digits needs.
 LEAST_ENTROPY = 3.5
 
@@ -37,8 +40,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END (?:[A-Z]+ )?PRIVATE KEY-----")
-URL_PASSWORD = re.compile(r"[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s:/@]{4,})@")
-VENDOR = re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")
+URL_PASSWORD = re.compile(r"://[^\s:/@]+:([^\s:/@]{4,})@")
+#: What stands before a URL's mark, in its last characters.
+SCHEME = re.compile(r"[a-z][a-z0-9+.-]{0,30}\Z")
+VENDOR = re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 
@@ -64,7 +69,7 @@ def added_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[
     if "PRIVATE KEY-----" in text:
         found += [("key_block", m.start(), m.end(), m[0]) for m in KEY_BLOCK.finditer(text)]
     if "://" in text:
-        found += [("url_password", m.start(1), m.end(1), m[1]) for m in URL_PASSWORD.finditer(text)]
+        found += [("url_password", m.start(1), m.end(1), m[1]) for m in URL_PASSWORD.finditer(text) if SCHEME.search(text, max(0, m.start() - 31), m.start())]
     found += [("vendor", m.start(), m.end(), m[0]) for m in VENDOR.finditer(text)]
     for m in TOKEN.finditer(text):
         s = m[0]
@@ -122,18 +127,19 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.join(repos, "value").select("value", "n_repos", "n_owners", "n_spans")
 
 
-def scanned(docs: DataFrame, repo: str | Column = "doc_id", owner: str | Column = "source", most_owners: int = MOST_OWNERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scanned(docs: DataFrame, repo: str | Column = "doc_id", owner: str | Column = "source", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end, base, n_repos, n_owners, verdict>>), a row for each row of docs.
 
     spans, by start, then kind as listed: all base spans, and of the method's candidates the
-    live-looking ones. verdict: "live" if at most ``most_owners`` owners hold the value in
-    the corpus, else "copied". Null and empty texts have no spans; repeated rows are rows of one
+    live-looking ones. verdict: "copied" if more than ``most_owners`` owners hold the value in
+    the corpus, or more than one in more than ``most_repos`` repositories, else "live". Null and empty texts have no spans; repeated rows are rows of one
     repository; an empty table gives no rows; other columns are not read.
     """
     found = candidates(docs, repo, owner, id_col, text_col)
     known = ownership(found)
     spans = found.select("rid", F.explode("found").alias("s")).select("rid", "s.*").join(known, "value")
-    verdict = F.when(F.col("n_owners") <= most_owners, "live").otherwise("copied")
+    copied = (F.col("n_owners") > most_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") > most_repos))
+    verdict = F.when(copied, "copied").otherwise("live")
     spans = spans.withColumn("verdict", verdict).where("base or verdict = 'live'")
     rank = F.create_map(*(F.lit(x) for kv in ORDER.items() for x in kv))
     row = F.struct("start", rank[F.col("kind")].alias("rank"), "kind", "end", "base", "n_repos", "n_owners", "verdict")
