@@ -38,3 +38,47 @@ def test_edges(spark):
     assert kept.where("doc_id = 5").count() == 2 and kept.where("doc_id >= 600").count() == 0
     assert quality.scored(docs.limit(0), labels).count() == 0
     assert {r.score for r in quality.scored(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_the_risks_gradient(monkeypatch):
+    rng = np.random.default_rng(5)
+    p, u = rng.normal(0.5, 1, (30, 4)), rng.normal(0, 1, (50, 4))
+    signs = set()
+    for prior, shift in ((0.3, 0.0), (0.9, 3.0), (0.9, -3.0), (0.5, 0.5)):
+        w = [rng.normal(0, 1, (4, 3)), rng.normal(0, 1, 3), rng.normal(0, 1, 3), np.array([shift])]
+        p2, u2 = p, u
+        if shift > 1:  # where positives have the higher logits, the inner term is below 0
+            z = np.tanh(np.concatenate([p, u]) @ w[0] + w[1]) @ w[2]
+            order = np.argsort(z)
+            p2, u2 = np.concatenate([p, u])[order[50:]], np.concatenate([p, u])[order[:50]]
+        _, inner, grads = quality.risk(w, p2, u2, prior)
+        signs.add(inner >= 0)
+        aim = (lambda: quality.risk(w, p2, u2, prior)[0]) if inner >= 0 else (lambda: -quality.risk(w, p2, u2, prior)[1])
+        for x, g in zip(w, grads):
+            for i in np.ndindex(x.shape):
+                old, e = x[i], 1e-6
+                x[i] = old + e
+                up = aim()
+                x[i] = old - e
+                low = aim()
+                x[i] = old
+                assert abs((up - low) / (2 * e) - g[i]) < 1e-5
+    assert signs == {True, False}
+
+
+def test_the_prior_is_found_without_negative_labels():
+    rng = np.random.default_rng(2)
+    for prior in (0.2, 0.5, 0.8):
+        n = 4000
+        good = rng.random(n) < prior
+        web = rng.normal(np.where(good, 3.0, -3.0)[:, None], 1, (n, 5))
+        trusted = rng.normal(3.0, 1, (1500, 5))
+        assert abs(quality.estimated_prior(trusted, web, web.mean(0), web.std(0)) - prior) < 0.08
+
+
+def test_repeated_rows_do_not_fill_the_sample(spark):
+    docs = spark.range(60_000).selectExpr("7L as doc_id", "'the very same text' as text").unionByName(spark.range(1000).selectExpr("id + 100 as doc_id", "concat('a text of its own ', id) as text"))
+    rows = quality.featured(docs)
+    same = spark.sql("select 1").count() and rows.where("doc_id = 7").first()["features"]
+    got = quality._sample(rows, 10_000)
+    assert abs(len(got) - (got == np.array(same, np.float32)).all(1).sum() - 10_000 / 61) < 50

@@ -6,9 +6,10 @@ small network minimises the non-negative unbiased risk
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)])
 
 with logistic loss, so its output estimates the chance that a text is good. No labelled negative
-enters the risk; labels of both kinds give the class prior. Features come from the text
-alone, in one pass over all rows that is stored; the fit runs on two bounded samples of them on
-the driver, scoring on all rows.
+enters the risk. The class prior is estimated from positives and unlabelled rows alone: a network of the same form tells
+the two apart, so that its odds estimate the ratio of their densities, which is 1 / prior where all texts are good. Features
+come from the text alone, in one pass over all rows that is stored, and their mean and scale are those of all rows; the fits
+run on two bounded samples of them on the driver, scoring on all rows.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ UNLABELLED = 40_000
 #: A score from here on is accepted.
 THRESHOLD = 0.3
 HIDDEN = 32
-STEPS = 600
-BATCH = 1024
+STEPS = 1500
+BATCH = 2048
+#: Steps of the network that the prior is estimated with.
+PRIOR_STEPS = 200
 #: Characters whose share of the text is a feature of its own.
 MARKS = b"!?.,;:|*$%&#@<>{}[]()=+/\\\"'_-~^`"
 N_FEATURES = 26 + len(MARKS)
@@ -62,7 +65,7 @@ def features(text: str | None) -> np.ndarray:
 
 
 def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, features), a stored row for each row of docs."""
+    """(doc_id, text_hash, features, row), a stored row with a number of its own for each row of docs."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +75,22 @@ def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["doc_id", "text_hash", "features"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    return written(rows.mapInArrow(run, "doc_id long, text_hash long, features array<float>"), "features")
+    made = rows.mapInArrow(run, "doc_id long, text_hash long, features array<float>")
+    return written(made.withColumn("row", F.monotonically_increasing_id()), "features")
+
+
+def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of each feature over all rows; sums are decimal, so their order tells nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(0).flatten().to_numpy().reshape(-1, N_FEATURES).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(range(N_FEATURES), pa.int32()), pa.array(x.sum(0)), pa.array((x * x).sum(0))], ["i", "s", "q"])
+
+    sums = rows.select("features").mapInArrow(run, "i int, s double, q double").groupBy("i")
+    exact = lambda c: F.sum(F.col(c).cast("decimal(38, 8)")).cast("double").alias(c)
+    got = np.array([(r.s, r.q) for r in sums.agg(exact("s"), exact("q")).orderBy("i").collect()]).reshape(-1, 2) / max(1, rows.count())
+    return got[:, 0], np.sqrt(np.maximum(got[:, 1] - got[:, 0] ** 2, 0))
 
 
 class Model:
@@ -92,29 +110,56 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 0) -> Model:
-    """Minimise the non-negative risk by Adam; where the inner term is below 0, its gradient is turned round."""
+def risk(weights: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, list[np.ndarray]]:
+    """The non-negative risk of positive and unlabelled inputs, its inner term, and the gradient that is descended.
+
+    Where the inner term is below 0, the gradient is that of its negative.
+    """
+    w1, b1, w2, b2 = weights
+    x, n, m = np.concatenate([p, u]), len(p), len(u)
+    hid = np.tanh(x @ w1 + b1)
+    z = hid @ w2 + b2
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    soft = np.logaddexp(0, z)  # loss(-); its slope is s, that of loss(+) is s - 1
+    inner = soft[n:].mean() - prior * soft[:n].mean()
+    plus = prior * (soft[:n] - z[:n]).mean()
+    if inner >= 0:
+        g = np.concatenate([prior * (s[:n] - 1 - s[:n]) / n, s[n:] / m])
+    else:
+        g = np.concatenate([prior * s[:n] / n, -s[n:] / m])
+    return plus + max(0.0, inner), inner, _back(x, hid, w2, g)
+
+
+def apart(weights: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float = 0.5) -> tuple[float, float, list[np.ndarray]]:
+    """Logistic loss of telling positive from unlabelled inputs, both of one weight, and its gradient."""
+    w1, b1, w2, b2 = weights
+    x, n, m = np.concatenate([p, u]), len(p), len(u)
+    hid = np.tanh(x @ w1 + b1)
+    z = hid @ w2 + b2
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    soft = np.logaddexp(0, z)
+    loss = (soft[:n] - z[:n]).mean() / 2 + soft[n:].mean() / 2
+    return loss, loss, _back(x, hid, w2, np.concatenate([(s[:n] - 1) / (2 * n), s[n:] / (2 * m)]))
+
+
+def _back(x: np.ndarray, hid: np.ndarray, w2: np.ndarray, g: np.ndarray) -> list[np.ndarray]:
+    gh = np.outer(g, w2) * (1 - hid**2)
+    return [x.T @ gh, gh.sum(0), hid.T @ g, np.array([g.sum()])]
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, mean: np.ndarray, scale: np.ndarray, seed: int = 0, steps: int = STEPS, loss=risk) -> Model:
+    """Minimise the loss, by default the non-negative risk, by Adam with a little weight decay."""
     rng = np.random.default_rng(seed)
-    both = np.concatenate([positive, unlabelled])
-    k = both.shape[1]
-    model = Model(both.mean(0), both.std(0) + 1e-3, [rng.normal(0, k**-0.5, (k, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)])
+    k = positive.shape[1]
+    model = Model(mean, scale + 1e-3, [rng.normal(0, k**-0.5, (k, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)])
     xp, xu = model.inputs(positive.astype(np.float64)), model.inputs(unlabelled.astype(np.float64))
     first, second = ([np.zeros_like(w) for w in model.weights] for _ in range(2))
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
         p, u = xp[rng.integers(0, len(xp), min(BATCH, len(xp)))], xu[rng.integers(0, len(xu), min(BATCH, len(xu)))]
-        x = np.concatenate([p, u])
-        w1, b1, w2, b2 = model.weights
-        hid = np.tanh(x @ w1 + b1)
-        z = hid @ w2 + b2
-        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        soft = np.logaddexp(0, z)  # loss(-); its slope is s, that of loss(+) is s - 1
-        np_, nu = len(p), len(u)
-        inner = soft[np_:].mean() - prior * soft[:np_].mean()
-        sign = 1.0 if inner >= 0 else -1.0
-        g = np.concatenate([(prior * (s[:np_] - 1) * (sign > 0) - sign * prior * s[:np_]) / np_, sign * s[np_:] / nu])
-        gh = np.outer(g, w2) * (1 - hid**2)
-        grads = [x.T @ gh + 1e-4 * w1, gh.sum(0), hid.T @ g + 1e-4 * w2, np.array([g.sum()])]
-        rate = 0.01 * (1 - step / (STEPS + 1))
+        grads = loss(model.weights, p, u, prior)[2]
+        for i in (0, 2):
+            grads[i] = grads[i] + 1e-4 * model.weights[i]
+        rate = 0.01 * (1 - step / (steps + 1))
         for w, d, a, b in zip(model.weights, grads, first, second):
             a += 0.1 * (d - a)
             b += 0.001 * (d * d - b)
@@ -122,18 +167,32 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return model
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> float:
+    """Share of good texts among unlabelled rows: 1 / the ratio of densities at positives.
+
+    Each half of the positives trains a network; the median log ratio is taken at both halves and averaged, since overfit raises
+    it at those seen as it lowers it at the others.
+    """
+    halves = [positive[::2], positive[1::2]] if len(positive) > 1 else [positive]
+    seen = []
+    for own in halves:
+        model = fit(own, unlabelled, 0.5, mean, scale, seed=1, steps=PRIOR_STEPS, loss=apart)
+        seen += [np.median(model.logits(x)) for x in halves]
+    return float(np.clip(np.exp(-np.mean(seen)), 0.02, 0.98))
+
+
 def _held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def _sample(rows: DataFrame, most: int) -> np.ndarray:
-    """At most ``most`` rows' features: those of the smallest hashes, so the same each time.
+    """At most ``most`` rows' features: those of the smallest hashes of their number, so that repeated rows are drawn one by one.
 
     Hashes are cut off first where about 1.2 times as many rows are expected, so that the tasks
     don't send ``most`` rows each.
     """
     n = rows.count()
-    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", "text_hash"), 11))
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(17), "row"), 11))
     if n > most:
         rows = rows.where(F.col("h") < int(min(1, (1.2 * most + 500) / n) * 2**53))
     got = rows.orderBy("h").limit(most).select("features").toArrow()["features"].combine_chunks()
@@ -145,21 +204,18 @@ def learn(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
     Of labels (doc_id, quality) only those of rows that aren't held out are read; several
     labels of a document count as good if one is; nulls are passed over. Unlabelled are all rows
-    that aren't held out and aren't trusted positives by label, sampled without looking at
-    whether they have a label.
+    that aren't held out, sampled without looking at whether they have a label. Labels that aren't good are not used.
     """
     own = labels.where("doc_id is not null and quality is not null").where(~_held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     own = written(own, "labels")
-    n, good = own.agg(F.count("*"), F.sum((F.col("quality") > 0).cast("int"))).first()
-    if not n or not good:
-        return None
+    mean, scale = moments(rows)
     rows = rows.where(~_held_out())
     trusted = _sample(rows.join(own.where("quality > 0").select("doc_id"), "doc_id", "left_semi"), positives)
     web = _sample(rows, unlabelled)
     dropped(own)
     if not len(trusted) or not len(web):
         return None
-    return fit(trusted, web, min(0.98, good / n))
+    return fit(trusted, web, estimated_prior(trusted, web, mean, scale), mean, scale)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
