@@ -36,6 +36,17 @@ def test_query(spark):
     assert max(total.values()) - min(total.values()) < 0.02 * sum(total.values()) / 8
 
 
+def test_slots_over_many_parts_and_many_heavy_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 3)
+    df = spark.range(3000).selectExpr("id as doc_id", "concat('text of ', id % 1500) as text", "'s' as source", "'en' as lang")
+    rows = sharding.kd_shards(df, shards=8).collect()
+    assert len(rows) == 3000 and gapless(rows)
+    monkeypatch.setattr(sharding, "HEAVY", 1e-9)  # each group is placed by itself, the heaviest first
+    rows = sharding.kd_shards(df, shards=7).collect()
+    total = loads(rows)
+    assert len(rows) == 3000 and gapless(rows) and max(total.values()) - min(total.values()) <= 2 * max(r.size for r in rows)
+
+
 def test_cuts_follow_the_tree(spark):
     """With unit weights, even counts and no heavy groups, the first cut is the median of the widest dimension."""
     df = spark.range(4096).selectExpr("id as doc_id", "concat('t', lpad(id, 6, '0')) as text", "'s' as source", "'en' as lang")

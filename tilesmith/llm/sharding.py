@@ -17,6 +17,7 @@ of doc_id into pieces, which are then groups of their own.
 
 from __future__ import annotations
 
+from heapq import heapify, heapreplace
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,6 +67,9 @@ NONE_LEFT, ALL_LEFT = -1e300, 1e300
 
 def _values(spark, rows: list[tuple], names: str) -> DataFrame:
     """A small table of numbers; its rows are bounded by the number of shards."""
+    if len(rows) > 1000:  # too many for a literal
+        kinds = ", ".join(f"{c} {'double' if isinstance(x, float) else 'long'}" for c, x in zip(names.split(", "), rows[0]))
+        return F.broadcast(spark.createDataFrame(rows, kinds))
     told = ", ".join("(" + ", ".join(f"{x!r}D" if isinstance(x, float) else f"{x}L" if abs(x) > 1 << 30 else str(x) for x in r) + ")" for r in rows)
     return F.broadcast(spark.sql(f"SELECT * FROM VALUES {told} AS t({names})"))
 
@@ -122,12 +126,13 @@ def _cuts(groups: DataFrame, nodes: dict[int, _Node], room: list[float], spans:
 
 def _placed(groups: DataFrame, n: int, goal: float, same: list[str]) -> tuple[list[tuple], list[float]]:
     """Groups too heavy for an even cut, with their shard, and the room that is left in each shard."""
-    room, placed = [goal] * n, []
+    emptiest, placed = [(-goal, s) for s in range(n)], []
+    heapify(emptiest)
     for g in groups.where(F.col("weight") > goal * HEAVY).orderBy(F.desc("weight"), *same).collect():  # at most n / HEAVY
-        best = max(range(n), key=lambda s: (room[s], -s))
-        room[best] -= g["weight"]
+        room, best = emptiest[0]
+        heapreplace(emptiest, (room + g["weight"], best))
         placed.append((*(g[c] for c in same), best))
-    return placed, [max(0.0, x) for x in room]
+    return placed, [max(0.0, -room) for room, _ in sorted(emptiest, key=lambda x: x[1])]
 
 
 def kd_shards(docs: DataFrame, target_bytes: int | None = None, shards: int | None = None, dims: tuple[str, ...] = ("doc_id", "source", "lang"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,11 +205,9 @@ def _slotted(rows: DataFrame) -> DataFrame:
     parts = max(1, ceil((rows.groupBy("shard").count().agg(F.max("count")).first()[0] or 0) / SLOT_ROWS))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int"))
     counts = rows.groupBy("shard", "part").count().select(F.col("shard").alias("_s"), F.col("part").alias("_p"), F.col("count").alias("n"))
-    own = F.struct(F.col("_p").alias("p"), F.col("n").alias("n"))
-    # the parts of a shard before each part: parts rows a shard, so rows / SLOT_ROWS in all
-    lists = counts.groupBy("_s").agg(F.sort_array(F.collect_list(own)).alias("l")).select("_s", F.explode("l").alias("x"), "l")
-    start = F.aggregate(F.filter("l", lambda y: y["p"] < F.col("x.p")), F.lit(0).cast("long"), lambda a, y: a + y["n"])
-    starts = lists.select("_s", F.col("x.p").alias("_p"), start.alias("start"))
+    # rows in the parts of a shard before each part: rows / SLOT_ROWS counts in all, summed in order
+    before = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_s", "_p", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("start"))
     w = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")
     numbered = rows.withColumn("i", F.row_number().over(w))
     joined = numbered.join(starts, (F.col("shard") == F.col("_s")) & (F.col("part") == F.col("_p")))
