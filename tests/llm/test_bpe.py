@@ -49,6 +49,15 @@ def test_unknown_ids_stop_the_job(spark):
         bpe.decoded(spark.sql("select 1L as doc_id, array(999999) as ids"), PATH).collect()
 
 
+@pytest.mark.parametrize("ids", ["array(-1)", "array(2)", "array(0, 1)"])
+def test_ids_outside_the_ranks_stop_the_job_and_gaps_shift_nothing(spark, tmp_path, ids):
+    path = tmp_path / "gap.tiktoken"
+    path.write_text("YQ== 1\nYg== 3\n")  # a and b, no rank 0 and 2
+    with pytest.raises(Exception, match="IndexError"):
+        bpe.decoded(spark.sql(f"select 1L as doc_id, {ids} as ids"), str(path)).collect()
+    assert bytes(bpe.decoded(spark.sql("select 1L as doc_id, array(3, 1, 3) as ids"), str(path)).first().bytes) == b"bab"
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.one_of(st.text(alphabet=st.characters(max_codepoint=255), max_size=60), st.text(alphabet="a1é' \n\t\x1c\x85\xa0²'st", max_size=40)))
 def test_both_engines_find_the_same(text):

@@ -295,20 +295,33 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     return words.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_placed(width), "doc_id long, ids array<int>")
 
 
+def _bytes_of(ids: np.ndarray, known: list[bytes | None]) -> bytes:
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(known)):
+        raise IndexError("a token id that the vocabulary doesn't have")
+    try:
+        return b"".join(map(known.__getitem__, ids.tolist()))
+    except TypeError:
+        raise IndexError("a token id in a gap of the vocabulary's ranks") from None
+
+
 def decoded(tokens: DataFrame, ranks_path: str) -> DataFrame:
     """tokens and bytes binary: the token bytes of ids in a row, whatever they encode. Null ids give null.
 
-    An id outside the vocabulary stops the job.
+    An id outside the vocabulary (a negative one, or one of a gap in the ranks) stops the job. The token-byte table goes to
+    the tasks whole, as the vocabulary bounds it, and is joined to the ids there, so that no token is a row of a shuffle.
     """
-    table = [b for _, b in sorted((r, t) for t, r in read_ranks(ranks_path).items())]
+    ranks = read_ranks(ranks_path)
+    table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
     shared = tokens.sparkSession.sparkContext.broadcast(table)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.__getitem__
+        known = shared.value
         for b in batches:
             at = b.schema.get_field_index("ids")
-            made = [None if x is None else b"".join(map(get, x)) for x in (v.values.to_numpy().tolist() if v.is_valid else None for v in b.column(at))]
+            made = [_bytes_of(v.values.to_numpy(), known) if v.is_valid else None for v in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], [*b.schema.names, "bytes"])
 
     tokens = tokens.drop("bytes")
