@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tilesmith.llm.common import released, trim
 
 #: Characters of the documents that share one list of distinct words.
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 14 << 20
 #: Pre-tokens in a row of positions.
 PART_WORDS = 1 << 18
 #: Encoded words that are put together by block before they go back to it.

@@ -27,7 +27,7 @@ WINDOW = 10
 #: Extra words between the terms of a window that a proximity match allows.
 SLOP = 5
 #: Bytes of documents in a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 #: Bytes of the test set's windows that go to the tasks at once; more go in further parts.
 PART_BYTES = 16 << 20
 #: Distinct terms of the test set beyond which all terms are posted.

@@ -292,13 +292,15 @@ BAND = 4
 #: Chance that a pair at the similarity shares a band; more similar pairs share one more often.
 RECALL = 0.999
 #: Distinct shingles of all members together beyond which a shard is hot, as it is beyond SHARD_MOST members.
-SHARD_SHINGLES = 1 << 22
+SHARD_SHINGLES = 1 << 21
 #: Members of a hot shard that all others are checked with first.
 PIVOTS = 4
+#: Shingles of whole shards that a task decides at once, or those of one shard if it is larger.
+TASK_SHINGLES = 1 << 19
 #: Times that a hot shard in which components still differ is dealt out by further bands, before it is searched in blocks.
 DEEPER = 2
 #: Distinct words whose hashes a task keeps.
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 18
 
 
 def shingles(text: str | None, k: int) -> set[bytes]:
@@ -449,8 +451,8 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.n
 
 
 def _shard_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Whole shards, of about SHARD_SHINGLES shingles together; rows come sorted by the first column."""
-    held, n, wanted = [], 0, SHARD_SHINGLES
+    """Whole shards, of about TASK_SHINGLES shingles together; rows come sorted by the first column."""
+    held, n, wanted = [], 0, TASK_SHINGLES
     for x in batches:
         held.append(x)
         n += x.num_rows + len(x.column(x.num_columns - 1).flatten())
@@ -462,7 +464,7 @@ def _shard_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
                 yield t.slice(0, end)
             held = t.slice(end).to_batches()
             n = sum(y.num_rows + len(y.column(y.num_columns - 1).flatten()) for y in held)
-            wanted = max(SHARD_SHINGLES, 2 * n)
+            wanted = max(TASK_SHINGLES, 2 * n)
     if held:
         yield pa.Table.from_batches(held)
 
