@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tilesmith.operators import tiling
+from tilesmith.operators import cohort
 from tilesmith.sources import files, slides
 from tilesmith.streaming import ingest
 
@@ -97,3 +98,17 @@ def test_stream_takes_each_slide_once(spark, tmp_path):
     tree(tmp_path / "in", "cls/c.svs")
     assert ingest.ingest(spark, *args) == 3 == ingest.ingest(spark, *args)
     assert {r.slide_name for r in spark.read.parquet(args[1]).collect()} == {"a", "b", "c"}
+
+
+def test_damaged_images_keep_their_row(spark, tmp_path):
+    d = tmp_path / "c" / "s"
+    d.mkdir(parents=True)
+    (d / "1_2.png").write_bytes(b"not an image")
+    (r,) = files.patch_images(spark, str(tmp_path)).collect()
+    assert (r.col, r.row, r.pixels, r.width, r.error) == (1, 2, None, None, "not an image")
+
+
+def test_a_cohort_with_its_own_outcome(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("ESKD,Mors,Mors_year,Transplant,Dialysis,RRT_or_death,First_event_RRT_death\nYes,Nei,2001,No,No,1,3\n")
+    (r,) = cohort.cohort(files.csv(spark, str(tmp_path / "c.csv"), files.COHORT_WITH_OUTCOME)).collect()
+    assert (r.ESKD, r.Death, r.RRT_or_death, r.First_event_RRT_death) == (1, 0, 1, 3)

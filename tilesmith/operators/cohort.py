@@ -15,7 +15,7 @@ def cohort(raw: DataFrame) -> DataFrame:
     df = raw.withColumnsRenamed({"Mors": "Death", "Mors_year": "Death_year"})
     words = {"Death": ("Nei", "Ja")}
     df = df.withColumns({e: flag(e, *words.get(e, ("No", "Yes"))) for e in EVENTS if e in df.columns})
-    return df.withColumn("RRT_or_death", rrt_or_death())
+    return df if "RRT_or_death" in df.columns else df.withColumn("RRT_or_death", rrt_or_death())
 
 
 def rrt_or_death() -> Column:

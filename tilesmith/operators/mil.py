@@ -6,15 +6,16 @@ partial aggregates, and no bag is gathered in one task. Weights are small litera
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilesmith.functions import vectors
 
-#: Parts that a bag's softmax is summed in.
-BAG_PARTS = 32
 
 def instance_scores(instances: DataFrame, weights: list[list[float]], bias: list[float] | None = None, features: str = "features") -> DataFrame:
     """instances with cls and score: a row for each instance and class."""
@@ -34,6 +35,24 @@ def query_map(x: str, hidden: list[list[float]], query: list[list[float]] | None
     return first if query is None else vectors.tanh(vectors.linear(vectors.relu(first), query, query_bias))
 
 
+def mapped_queries(instances: DataFrame, hidden: list[list[float]], query: list[list[float]], features: str = "features") -> DataFrame:
+    """(bag, inst, q): ``query_map`` of every instance as matrix products over Arrow batches; null features give null."""
+    first, second = np.array(hidden, np.float64).T, np.array(query, np.float64).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(2)
+            flat = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(first))
+            q = np.tanh(np.maximum(flat @ first, 0) @ second)
+            ends = np.r_[0, np.cumsum(x.is_valid().to_numpy(zero_copy_only=False))] * q.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=np.r_[x.is_null().to_numpy(zero_copy_only=False), False]), pa.array(q.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["bag", "inst", "q"])
+
+    rows = instances.select("bag", "inst", features)
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"bag {kinds['bag']}, inst {kinds['inst']}, q array<double>")
+
+
 def value_map(x: str, weights: list[list[float]] | None = None, bias: list[float] | None = None):
     """Identity, or linear and ReLU; dropout does nothing outside training."""
     return F.col(x) if weights is None else vectors.relu(vectors.linear(x, weights, bias))
@@ -46,12 +65,10 @@ def attention(queries: DataFrame, critical: DataFrame, width: int) -> DataFrame:
     """
     logit = vectors.dot("q", "critical") / F.lit(sqrt(width))
     z = queries.select("bag", "inst", "q").join(critical.select("bag", "cls", "critical"), "bag").select("bag", "inst", "cls", logit.alias("logit"))
-    # maximum and scaled sum of each part of a bag, then of the bag: one pass, and a large bag is many lists
-    part = F.pmod(F.xxhash64("inst"), F.lit(BAG_PARTS))
-    lists = z.groupBy("bag", "cls", part.alias("part")).agg(F.collect_list("logit").alias("z")).select("bag", "cls", F.array_max("z").alias("top"), "z")
-    sums = lists.select("bag", "cls", "top", F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))).alias("part"))
-    bags = sums.groupBy("bag", "cls").agg(F.max("top").alias("top"), F.collect_list(F.struct("top", "part")).alias("parts"))
-    bags = bags.select("bag", "cls", "top", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"] * F.exp(x["top"] - F.col("top"))).alias("whole"))
+    # logits are dealt by instance, so that a large bag is many tasks, and this exchange is read for maximum, sum and weights
+    z = z.repartition("bag", "inst")
+    top = z.groupBy("bag", "cls").agg(F.max("logit").alias("top"))
+    bags = z.join(top, ["bag", "cls"]).groupBy("bag", "cls").agg(F.max("top").alias("top"), F.sum(F.exp(F.col("logit") - F.col("top"))).alias("whole"))
     return z.join(bags, ["bag", "cls"]).select("bag", "inst", "cls", "logit", (F.exp(F.col("logit") - F.col("top")) / F.col("whole")).alias("weight"))
 
 
@@ -74,7 +91,7 @@ def bag_scores(representation: DataFrame, kernel: list[list[list[float]]], bias:
 def milnet(instances: DataFrame, classes: list[list[float]], hidden: list[list[float]], query: list[list[float]], kernel: list[list[list[float]]], digits: int | None = None) -> dict[str, DataFrame]:
     """The whole forward pass over (bag, inst, features): scores, attention, representation and bag scores."""
     scored = instance_scores(instances, classes)
-    queries = instances.select("bag", "inst", query_map("features", hidden, query).alias("q"))
+    queries = mapped_queries(instances, hidden, query)
     # only the critical instances are mapped again, not every instance once a class
     critical = critical_instances(scored, "features", digits)
     mapped = critical.select("bag", "cls", "inst", query_map("critical", hidden, query).alias("critical"))

@@ -19,6 +19,16 @@ def objective_power(properties: Column | str = "properties", key: str = "opensli
     return F.coalesce(F.element_at(_c(properties), key).cast("int").cast("double"), F.lit(float(default)))
 
 
+def with_objective(slides: DataFrame, properties: str = "properties", key: str = "openslide.objective-power", default: float = 40.0) -> DataFrame:
+    """slides with objective and error: a slide whose property is no whole number above 0 keeps its row, without an objective and with an error."""
+    told = F.element_at(F.col(properties), key)
+    power = told.try_cast("int")
+    bad = told.isNotNull() & ~F.coalesce(power > 0, F.lit(False))
+    before = F.col("error") if "error" in slides.columns else F.lit(None).cast("string")
+    rows = slides.withColumn("error", F.coalesce(before, F.when(bad, F.concat(F.lit("bad objective power: "), told))))
+    return rows.withColumn("objective", F.when(~bad, F.coalesce(power.cast("double"), F.lit(float(default)))))
+
+
 def level_plan(slides: DataFrame, base_mag: float = 20, levels: tuple[int, ...] = (0,)) -> DataFrame:
     """slides with depth (halvings from full size), mag, dz_level (from 1 x 1 up) and position, one row for each level that exists.
 
@@ -48,12 +58,18 @@ def tile_grid(plan: DataFrame, tile_size: int = 224) -> DataFrame:
 
 
 def tile_geometry(grid: DataFrame, tile_size: int = 224, overlap: int = 0) -> DataFrame:
-    """grid with x0, y0, w, h in pixels of its level: tiles reach over inner edges by the overlap and end with the level."""
+    """grid with x0, y0, w, h in pixels of its level: tiles reach over inner edges by the overlap and end with the level.
+
+    Where the slide is ``bounded``, read_x and read_y give where the tile begins at full size, the bounds' offset included.
+    """
     out = grid
     for at, size, name, length in (("col", "width", "x0", "w"), ("row", "height", "y0", "h")):
         start = F.greatest(F.col(at) * tile_size - overlap, F.lit(0))
         end = F.least((F.col(at) + 1) * tile_size + overlap, level_size(size))
         out = out.withColumn(name, start.cast("int")).withColumn(length, (end - start).cast("int"))
+    for at, offset, name in (("x0", "offset_x", "read_x"), ("y0", "offset_y", "read_y")):
+        if offset in grid.columns:
+            out = out.withColumn(name, (F.col(offset) + F.col(at) * F.pow(F.lit(2), F.col("depth"))).cast("int"))
     return out
 
 

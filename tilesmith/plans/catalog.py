@@ -258,6 +258,28 @@ def tile_geometry(spark: SparkSession, d: str) -> DataFrame:
     return tiling.tile_geometry(tiling.tile_grid(_plan(spark, d)), 224, 8).select("slide_name", "mag", "col", "row", "x0", "y0", "w", "h")
 
 
+@query(
+    f"""WITH {GRID.replace("1000 + 37 * p_size AS width, 700 + 29 * p_size AS height", "900 + 37 * p_size AS width, 640 + 29 * p_size AS height")}
+SELECT slide_name, mag, col, "row", (60 + p_off + greatest(col * 224 - 8, 0) * pow(2, depth))::INT AS read_x, (40 + greatest("row" * 224 - 8, 0) * pow(2, depth))::INT AS read_y
+FROM grid JOIN (SELECT p_partkey, p_size % 7 AS p_off FROM part) ON p_partkey = slide_name"""
+)
+def tile_geometry_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """Slides cut down to bounds; tiles begin at the bounds' offset."""
+    size = _table(spark, d, "part").select(F.col("p_partkey").alias("slide_name"), (60 + F.col("p_size") % 7).alias("x"))
+    bounds = F.struct("x", F.lit(40).alias("y"), (F.col("width") - 100).alias("width"), (F.col("height") - 60).alias("height"))
+    slides = tiling.bounded(_slides(spark, d).join(size, "slide_name").withColumn("bounds", bounds))
+    grid = tiling.tile_grid(tiling.level_plan(slides, 20, (0, 1)))
+    return tiling.tile_geometry(grid, 224, 8).select("slide_name", "mag", "col", "row", "read_x", "read_y")
+
+
+@query("SELECT p_partkey AS slide_name, TRY_CAST(p AS INT)::DOUBLE AS objective, CASE WHEN TRY_CAST(p AS INT) IS NULL THEN 'bad objective power: ' || p END AS error FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '20' WHEN 1 THEN 'x40' ELSE '40' END AS p FROM part)")
+def slide_objective_errors(spark: SparkSession, d: str) -> DataFrame:
+    """A damaged property is an error of its slide and stops no other."""
+    told = F.when(F.col("p_size") % 4 == 0, "20").when(F.col("p_size") % 4 == 1, "x40").otherwise("40")
+    slides = _table(spark, d, "part").select(F.col("p_partkey").alias("slide_name"), F.create_map(F.lit("openslide.objective-power"), told).alias("properties"))
+    return tiling.with_objective(slides).select("slide_name", "objective", "error")
+
+
 def _two_levels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """High and low tiles; some low ones are dropped by a formula, as the background filter would."""
     grid = tiling.tile_grid(_plan(spark, d))
@@ -439,6 +461,17 @@ def event_value_counts_single(spark: SparkSession, d: str) -> DataFrame:
     return cohort.value_counts_each(_events(spark, d), ["RRT_or_death", *_E, "First_event_RRT_death"]).withColumnRenamed("count", "n")
 
 
+@query(
+    """WITH f AS (SELECT user_id, (user_id % 3 = 0)::INT AS "RRT_or_death", (user_id % 5)::INT AS "First_event_RRT_death" FROM events GROUP BY user_id)
+SELECT 'RRT_or_death' AS "column", "RRT_or_death" AS value, count(*) AS n FROM f GROUP BY 2 UNION ALL SELECT 'First_event_RRT_death', "First_event_RRT_death", count(*) FROM f GROUP BY 2"""
+)
+def event_value_counts_given(spark: SparkSession, d: str) -> DataFrame:
+    """A cohort that brings both columns keeps them."""
+    raw = _table(spark, d, "events").select("user_id").distinct()
+    raw = raw.withColumns({e: F.lit("No") for e in ("ESKD", "Transplant", "Dialysis")} | {"Mors": F.lit("Nei"), "RRT_or_death": (F.col("user_id") % 3 == 0).cast("int"), "First_event_RRT_death": (F.col("user_id") % 5).cast("int")})
+    return cohort.value_counts_each(cohort.cohort(raw), ["RRT_or_death", "First_event_RRT_death"]).withColumnRenamed("count", "n")
+
+
 @query(f"WITH {FLAGS} SELECT {_COLS}, round(count(*) / sum(count(*)) OVER (), 6) AS probability FROM f GROUP BY {_COLS}")
 def event_probabilities(spark: SparkSession, d: str) -> DataFrame:
     return cohort.distribution(_events(spark, d), _E).select(*_E, F.round("probability", 6).alias("probability"))

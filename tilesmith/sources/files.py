@@ -15,26 +15,34 @@ from tilesmith.functions import paths, vectors
 
 IMAGES = ("jpg", "jpeg")
 COHORT = "ESKD string, Mors string, Mors_year int, Transplant string, Dialysis string"
+#: Of tables that bring the outcome and the first event themselves.
+COHORT_WITH_OUTCOME = f"{COHORT}, RRT_or_death int, First_event_RRT_death int"
 PATIENTS = "PasientID string, PersNummer string, EtterNavn string, ForNavn string"
 REGISTER = "patient_id string, patient_fnr string"
 
 
 def patch_images(spark: SparkSession, root: str, depth: str = "*/*", extensions: tuple[str, ...] = (*IMAGES, "png")) -> DataFrame:
-    """(path, class_dir, slide_name, col, row, height, width, pixels array<int>): decoded in the JVM, put from BGR to RGB.
+    """(path, class_dir, slide_name, col, row, height, width, pixels array<int>, error): decoded in the JVM, put from BGR to RGB.
+
+    An image that can't be decoded keeps its row, without pixels and with an error.
 
     depth: directories between root and the images: */* for bags, */*/* for the children of low patches.
     """
-    images = spark.read.format("image").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").option("dropInvalid", True).load(f"{root}/{depth}")
+    images = spark.read.format("image").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").option("dropInvalid", False).load(f"{root}/{depth}")
     at = paths.tile_position("image.origin")
     up = F.split("image.origin", "/")
 
     @F.pandas_udf("array<int>")
     def rgb(data: pd.Series, channels: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(d, np.uint8).reshape(-1, c)[:, :3][:, ::-1].ravel().astype(np.int32) for d, c in zip(data, channels)])
+        return pd.Series([np.frombuffer(d, np.uint8).reshape(-1, c)[:, :3][:, ::-1].ravel().astype(np.int32) if c > 0 else None for d, c in zip(data, channels)])
+
+    damaged = F.col("image.height") < 0
+    known = lambda c: F.when(~damaged, F.col(c))
 
     return images.select(
         F.col("image.origin").alias("path"), F.element_at(up, -3).alias("class_dir"), paths.parent("image.origin").alias("slide_name"), at["col"].alias("col"), at["row"].alias("row"),
-        F.col("image.height").alias("height"), F.col("image.width").alias("width"), rgb("image.data", "image.nChannels").alias("pixels"),
+        known("image.height").alias("height"), known("image.width").alias("width"), rgb("image.data", "image.nChannels").alias("pixels"),
+        F.when(damaged, F.lit("not an image")).alias("error"),
     )
 
 
