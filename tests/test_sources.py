@@ -112,3 +112,10 @@ def test_a_cohort_with_its_own_outcome(spark, tmp_path):
     (tmp_path / "c.csv").write_text("ESKD,Mors,Mors_year,Transplant,Dialysis,RRT_or_death,First_event_RRT_death\nYes,Nei,2001,No,No,1,3\n")
     (r,) = cohort.cohort(files.csv(spark, str(tmp_path / "c.csv"), files.COHORT_WITH_OUTCOME)).collect()
     assert (r.ESKD, r.Death, r.RRT_or_death, r.First_event_RRT_death) == (1, 0, 1, 3)
+
+
+def test_tiles_of_bounded_slides_begin_at_the_offset(spark):
+    whole, n = slides.SyntheticBackend(), 32
+    grid = spark.sql(f"select 'a/b.svs' as path, 0 as depth, 1 as col, 0 as row, {n} as x0, 0 as y0, {n} as w, {n} as h, 100 as offset_x, 60 as offset_y")
+    (r,) = slides.read_tiles(grid, tile_size=n).collect()
+    assert r.error is None and bytes(r.pixels) == whole.region("a/b.svs", 0, n + 100, 60, n, n).tobytes()

@@ -45,7 +45,7 @@ def checked(slides: DataFrame) -> DataFrame:
 class SlideBackend(Protocol):
     def describe(self, path: str) -> tuple[int, int, dict[str, str]]: ...
 
-    def region(self, path: str, depth: int, x: int, y: int, w: int, h: int) -> np.ndarray: ...
+    def region(self, path: str, depth: int, x: int, y: int, w: int, h: int, offset_x: int = 0, offset_y: int = 0) -> np.ndarray: ...
 
 
 class SyntheticBackend:
@@ -55,11 +55,12 @@ class SyntheticBackend:
         d = hashlib.sha256(path.encode()).digest()
         return 600 + 4 * d[0], 500 + 4 * d[1], {"openslide.objective-power": "40"} if d[2] % 4 else {}
 
-    def region(self, path: str, depth: int, x: int, y: int, w: int, h: int) -> np.ndarray:
+    def region(self, path: str, depth: int, x: int, y: int, w: int, h: int, offset_x: int = 0, offset_y: int = 0) -> np.ndarray:
         if "broken" in path:
             raise OSError("unreadable region")
         width, height, _ = self.describe(path)
         yy, xx = (np.mgrid[y : y + h, x : x + w] + 0.5) * 2**depth
+        yy, xx = yy + offset_y, xx + offset_x
         inside = ((xx - width / 2) / (0.4 * width)) ** 2 + ((yy - height / 2) / (0.4 * height)) ** 2 < 1
         check = ((xx // 8 + yy // 8) % 2) * 120
         return np.stack([np.where(inside, 60 + check + 10 * b, 255) for b in range(3)], -1).astype(np.uint8)
@@ -68,22 +69,26 @@ class SyntheticBackend:
 class OpenSlideBackend:
     """Real slides; needs openslide on the executors."""
 
+    opened: tuple = (None, None)
+
     def _open(self, path: str):
         try:
             import openslide
         except ImportError as e:
             raise ImportError("reading real slides needs openslide on the executors") from e
-        return openslide.OpenSlide(path.removeprefix("file:"))
+        if self.opened[0] != path:  # neighbouring tiles are read through one handle
+            self.opened = (path, openslide.OpenSlide(path.removeprefix("file:")))
+        return self.opened[1]
 
     def describe(self, path: str) -> tuple[int, int, dict[str, str]]:
         s = self._open(path)
         return *s.dimensions, dict(s.properties)
 
-    def region(self, path: str, depth: int, x: int, y: int, w: int, h: int) -> np.ndarray:
+    def region(self, path: str, depth: int, x: int, y: int, w: int, h: int, offset_x: int = 0, offset_y: int = 0) -> np.ndarray:
         s, f = self._open(path), 2**depth
         level = s.get_best_level_for_downsample(f)
         d = s.level_downsamples[level]
-        own = s.read_region((x * f, y * f), level, (round(w * f / d), round(h * f / d))).convert("RGB")
+        own = s.read_region((x * f + offset_x, y * f + offset_y), level, (round(w * f / d), round(h * f / d))).convert("RGB")
         return resized(np.asarray(own), h, w)
 
 
@@ -119,11 +124,11 @@ def read_tiles(grid: DataFrame, backend: str = "synthetic", tile_size: int = 224
     Tiles of neighbouring rows of a slide go to one task, so that a slide is read by many tasks and
     each opens it seldom. The edge score is of the tile as read, the pixels are brought to
     tile_size squared. Under a threshold, tiles at or below it are dropped here, before any pixel leaves the
-    worker. A tile that can't be read keeps its row, with an error.
+    worker. A tile that can't be read keeps its row, with an error. Of a ``bounded`` slide, tiles count from its offset.
     """
     keep = [c for c in grid.columns if c not in ("pixels", "edge", "error")]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grid.select(*keep).schema.fields)
-    ix = [keep.index(c) for c in ("path", "depth", "x0", "y0", "w", "h")]
+    ix = [keep.index(c) for c in ("path", "depth", "x0", "y0", "w", "h", *(c for c in ("offset_x", "offset_y") if {"offset_x", "offset_y"} <= set(keep)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = BACKENDS[backend]()
