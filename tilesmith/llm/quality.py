@@ -186,13 +186,18 @@ def _held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def _sample(rows: DataFrame, most: int) -> np.ndarray:
-    """At most ``most`` rows' features: those of the smallest hashes of their number, so that repeated rows are drawn one by one.
+    """At most ``most`` rows' features: those of the smallest hashes of id and text, and of their number for rows that
+    repeat both, so that these are drawn one by one and no other draw depends on how the table is laid out.
 
     Hashes are cut off first where about 1.2 times as many rows are expected, so that the tasks
     don't send ``most`` rows each.
     """
     n = rows.count()
-    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(17), "row"), 11))
+    again = rows.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    again = small(written(again, "again"))
+    rows = rows.join(again, rows["doc_id"].eqNullSafe(again["_id"]) & (rows["text_hash"] == again["_hash"]), "left")
+    salt = F.when(F.col("_hash").isNotNull(), F.col("row")).otherwise(F.lit(-1))
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", "text_hash", salt), 11))
     if n > most:
         rows = rows.where(F.col("h") < int(min(1, (1.2 * most + 500) / n) * 2**53))
     got = rows.orderBy("h").limit(most).select("features").toArrow()["features"].combine_chunks()
