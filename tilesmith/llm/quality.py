@@ -33,8 +33,11 @@ THRESHOLD = 0.3
 HIDDEN = 32
 STEPS = 1500
 BATCH = 2048
-#: Steps of the network that the prior is estimated with.
+#: Passes over the larger sample after which a fit ends before its last step: on few rows more of them learn these rows by heart.
+PASSES = 100
+#: Steps of a network that the prior is estimated with, and how often positives are halved anew.
 PRIOR_STEPS = 200
+PRIOR_SPLITS = 4
 #: Characters whose share of the text is a feature of its own.
 MARKS = b"!?.,;:|*$%&#@<>{}[]()=+/\\\"'_-~^`"
 N_FEATURES = 26 + len(MARKS)
@@ -148,8 +151,12 @@ def _back(x: np.ndarray, hid: np.ndarray, w2: np.ndarray, g: np.ndarray) -> list
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, mean: np.ndarray, scale: np.ndarray, seed: int = 0, steps: int = STEPS, loss=risk) -> Model:
-    """Minimise the loss, by default the non-negative risk, by Adam with a little weight decay."""
+    """Minimise the loss, by default the non-negative risk, by Adam with a little weight decay.
+
+    A fit takes ``steps`` steps, or ``PASSES`` passes over the larger sample where these are fewer.
+    """
     rng = np.random.default_rng(seed)
+    steps = min(steps, PASSES * -(-max(len(positive), len(unlabelled)) // BATCH))
     k = positive.shape[1]
     model = Model(mean, scale + 1e-3, [rng.normal(0, k**-0.5, (k, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)])
     xp, xu = model.inputs(positive.astype(np.float64)), model.inputs(unlabelled.astype(np.float64))
@@ -171,13 +178,15 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, mean: np.ndarr
     """Share of good texts among unlabelled rows: 1 / the ratio of densities at positives.
 
     Each half of the positives trains a network; the median log ratio is taken at both halves and averaged, since overfit raises
-    it at those seen as it lowers it at the others.
+    it at those seen as it lowers it at the others. Several random halvings are averaged, so that the order of rows tells little.
     """
-    halves = [positive[::2], positive[1::2]] if len(positive) > 1 else [positive]
     seen = []
-    for own in halves:
-        model = fit(own, unlabelled, 0.5, mean, scale, seed=1, steps=PRIOR_STEPS, loss=apart)
-        seen += [np.median(model.logits(x)) for x in halves]
+    for split in range(PRIOR_SPLITS):
+        order = np.random.default_rng(split).permutation(len(positive))
+        halves = [positive[order[::2]], positive[order[1::2]]] if len(positive) > 1 else [positive]
+        for own in halves:
+            model = fit(own, unlabelled, 0.5, mean, scale, seed=1 + split, steps=PRIOR_STEPS, loss=apart)
+            seen += [np.median(model.logits(x)) for x in halves]
     return float(np.clip(np.exp(-np.mean(seen)), 0.02, 0.98))
 
 
