@@ -74,8 +74,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def _path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. The driver deletes what is there when it ends."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -84,10 +88,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The driver deletes it when it ends, if ``dropped`` hasn't before.
     """
     spark = df.sparkSession
-    path = _path(spark, name)
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

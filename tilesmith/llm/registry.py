@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilesmith.llm import bpe, decontam, imatch, linededup, lmscore, pii, quality, secrets, sharding, simhash
-from tilesmith.llm.common import table
+from tilesmith.llm import bpe, decontam, imatch, importance, linededup, lmscore, pii, quality, runs, secrets, sharding, simhash, warc
+from tilesmith.llm.common import scratch_path, table
 
 
 def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +91,28 @@ def op10_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_sharding, op2_lm_cross_entropy, op3_byte_bpe, op4_secret_ownership, op5_quality_pu, op6_decontamination_index, op7_imatch, op8_pii_surrogates, op9_site_line_dedup, op10_simhash_bk_trees)}
-ORACLE: dict[str, str] = {"op9_site_line_dedup": linededup.SQL}
+def op11_suffix_tree_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 12 words or more; of every tenth document, by the CRC of its id, the end is made periodic first. A null id's is not."""
+    docs = runs.echoed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = runs.periodic_runs(docs, least=12)
+    first = F.col("longest")
+    milli = F.floor(1000 * first["length"] / first["period"]).cast("long").alias("exponent_milli")
+    return rows.select("doc_id", "n_runs", *(first[c].alias(c) for c in ("start", "length", "period")), milli, "runs_sha256", "collapsed_sha256")
+
+
+def op12_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records, and read back."""
+    path = scratch_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path, least=0)
+    rows = warc.resolved(warc.read_warc(spark, path, payloads=False))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_importance_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single words, the benchmark as target; a tenth of the documents of 20 words or more is drawn."""
+    rows = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most_words=1, buckets=10_000, min_words=20, percent=10, seed=2024)
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_kd_sharding, op2_lm_cross_entropy, op3_byte_bpe, op4_secret_ownership, op5_quality_pu, op6_decontamination_index, op7_imatch, op8_pii_surrogates, op9_site_line_dedup, op10_simhash_bk_trees, op11_suffix_tree_runs, op12_warc_segments, op13_importance_tries)}
+ORACLE: dict[str, str] = {"op9_site_line_dedup": linededup.SQL, "op12_warc_segments": warc.SQL, "op13_importance_tries": importance.SQL}
