@@ -127,7 +127,7 @@ def test_attention(spark):
     assert {(r.bag, r.cls): r.inst for r in crit.collect()} == {("b", 0): 1, ("b", 1): 1, ("c", 0): 5, ("c", 1): 5}
     w = mil.attention(df.withColumnRenamed("features", "q"), crit, 2)
     assert sorted((r.bag, r.inst, r.cls, r.weight) for r in w.collect()) == [("b", i, c, 0.5) for i in (1, 2) for c in (0, 1)] + [("c", 5, 0, 1.0), ("c", 5, 1, 1.0)]
-    scores = mil.bag_scores(mil.bag_representation(w, df), [[[1.0, 1.0], [0.0, 1.0]]], [10.0])
+    scores = mil.bag_scores(mil.bag_representation(mil.attention_states(df, crit, 2)), [[[1.0, 1.0], [0.0, 1.0]]], [10.0])
     assert {r.bag: r.score for r in scores.collect()} == {"b": 10.0, "c": 15.0}
     assert mil.milnet(df.limit(0), [[1.0, 0.0]], [[1.0, 1.0]], [[1.0]], [[[1.0, 1.0]]])["bag"].count() == 0
 

@@ -56,6 +56,15 @@ def mil_instance_scores(spark: SparkSession, d: str) -> DataFrame:
     return mil.instance_scores(_instances(spark, d), CLASSES).select("bag", "inst", "cls", _r("score").alias("score"))
 
 
+@query(
+    f"""WITH {LONG}, s AS (SELECT label, vec_id, j, round(sum(v * (((31 * pos + 17 * j) % 13 - 6) / 13e0)), 9) AS s FROM e, range(2) t(j) GROUP BY label, vec_id, j)
+SELECT label AS bag, j::INT AS cls, arg_max(vec_id, (s, -vec_id)) AS inst, round(arg_max(embedding[1], (s, -vec_id))::DOUBLE, 6) + 0e0 AS head FROM s JOIN embeddings USING (label, vec_id) GROUP BY label, j"""
+)
+def mil_critical_of_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each class's critical instance in one pass, with the first element of its vector."""
+    return mil.critical_of(_instances(spark, d), CLASSES, digits=9).select("bag", "cls", "inst", _r(F.col("critical")[0]).alias("head"))
+
+
 def _first(spark: SparkSession, d: str) -> DataFrame:
     """Instances of one class whose score is the vector's first element."""
     return _instances(spark, d).withColumn("cls", F.lit(0)).withColumn("score", F.col("features")[0].cast("double"))
@@ -77,6 +86,10 @@ def _first_attention(spark: SparkSession, d: str) -> DataFrame:
     return mil.attention(_instances(spark, d).withColumnRenamed("features", "q"), mil.critical_instances(_first(spark, d)), K)
 
 
+def _first_representation(spark: SparkSession, d: str) -> DataFrame:
+    return mil.bag_representation(mil.attention_states(_instances(spark, d), mil.critical_instances(_first(spark, d)), K))
+
+
 @query(f"WITH {ATTENTION} SELECT label AS bag, vec_id AS inst, round(w, 6) + 0e0 AS weight FROM w")
 def mil_attention_weights(spark: SparkSession, d: str) -> DataFrame:
     return _first_attention(spark, d).select("bag", "inst", _r("weight").alias("weight"))
@@ -84,15 +97,15 @@ def mil_attention_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {ATTENTION} SELECT w.label AS bag, pos::INT AS pos, round(sum(w * v), 6) + 0e0 AS value FROM w JOIN e ON w.vec_id = e.vec_id GROUP BY w.label, pos")
 def mil_bag_repr(spark: SparkSession, d: str) -> DataFrame:
-    return mil.bag_representation(_first_attention(spark, d), _instances(spark, d)).select("bag", "pos", _r("value").alias("value"))
+    rows = _first_representation(spark, d).select("bag", F.posexplode("value").alias("pos", "v"))
+    return rows.select("bag", "pos", _r("v").alias("value"))
 
 
 @query(
     f"WITH {ATTENTION}, b AS (SELECT w.label, pos, sum(w * v) AS b FROM w JOIN e ON w.vec_id = e.vec_id GROUP BY w.label, pos) SELECT label AS bag, j::INT AS cls, round(sum(b * (((31 * j + 17 * pos) % 13 - 6) / 13e0)), 5) + 0e0 AS score FROM b, range(2) t(j) GROUP BY label, j"
 )
 def mil_bag_score(spark: SparkSession, d: str) -> DataFrame:
-    rep = mil.bag_representation(_first_attention(spark, d), _instances(spark, d))
-    return mil.bag_scores(rep, [k[:1] for k in KERNEL]).select("bag", "cls", _r("score", 5).alias("score"))
+    return mil.bag_scores(_first_representation(spark, d), [k[:1] for k in KERNEL]).select("bag", "cls", _r("score", 5).alias("score"))
 
 
 MAPPED = f"""{LONG},
