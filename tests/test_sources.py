@@ -6,6 +6,8 @@ from tilesmith.operators import cohort
 from tilesmith.sources import files, slides
 from tilesmith.streaming import ingest
 
+from tests.backends import Bounded
+
 
 def tree(root, *names):
     for n in names:
@@ -119,3 +121,73 @@ def test_tiles_of_bounded_slides_begin_at_the_offset(spark):
     grid = spark.sql(f"select 'a/b.svs' as path, 0 as depth, 1 as col, 0 as row, {n} as x0, 0 as y0, {n} as w, {n} as h, 100 as offset_x, 60 as offset_y")
     (r,) = slides.read_tiles(grid, tile_size=n).collect()
     assert r.error is None and bytes(r.pixels) == whole.region("a/b.svs", 0, n + 100, 60, n, n).tobytes()
+
+
+def test_the_tile_source_reads_only_what_is_asked_for(spark, tmp_path):
+    slides.register(spark)
+    paths = [str(tmp_path / f"{n}.svs") for n in "ab"]
+    table = str(tmp_path / "described")
+    slides.described(spark.createDataFrame([(p,) for p in paths], "path string"), "tests.backends:Counting").write.parquet(table)
+
+    def tiles(**options):
+        return spark.read.format("tilesmith_tiles").options(described=table, tile_size=64, block=3, **{"depths": "0,1"} | options).load()
+
+    every = tiles().collect()
+    want = sorted((r.path, r.depth, r.col, r.row) for r in every)
+    sizes = {p: slides.SyntheticBackend().describe(p)[:2] for p in paths}
+    assert want == sorted((p, d, c, r) for p in paths for d in (0, 1) for cols, rows in [tiling.grid_size(*sizes[p], d, 64)] for c in range(cols) for r in range(rows))
+
+    def asked():
+        out = [f"{p} {line}" for p in paths if (tmp_path / f"{p}.regions").exists() for line in (tmp_path / f"{p}.regions").read_text().split("\n")[:-1]]
+        for p in paths:
+            (tmp_path / f"{p}.regions").unlink(missing_ok=True)
+        return sorted(out)
+
+    for options, test in (({"rows": ":3"}, lambda p, d, c, r: r < 3), ({"depths": "1", "rows": "1:3", "cols": "4:"}, lambda p, d, c, r: d == 1 and 1 <= r < 3 and c >= 4), ({"rows": "0:0"}, lambda *_: False)):
+        got = sorted((r.path, r.depth, r.col, r.row) for r in tiles(backend="tests.backends:Counting", **options).collect())
+        assert got == [t for t in want if test(*t)]
+        assert asked() == sorted(f"{p} {d} {c * 64} {r * 64}" for p, d, c, r in got)
+    # the same with a grid: what a filter leaves out is not read
+    grid = tiling.tile_geometry(tiling.tile_grid(spark.read.parquet(table).withColumn("depth", F.lit(1)), 64), 64).where("row < 2 and col = 3")
+    assert sorted(f"{r.path} 1 192 {r.row * 64}" for r in slides.read_tiles(grid, "tests.backends:Counting", 64).collect()) == asked()
+    # planned from the table: described once, when it was made
+    assert all((tmp_path / f"{p}.described").read_text() == "x\n" for p in paths)
+    edges = sorted(r.edge for r in every)
+    assert sorted(r.edge for r in tiles(above=edges[50]).collect()) == [e for e in edges if e > edges[50]]
+    # filters of one DataFrame don't get in one another's way
+    df = tiles()
+    both = df.where("depth = 0").union(df.where("depth = 1"))
+    assert sorted((r.path, r.depth, r.col, r.row) for r in both.collect()) == want
+    with pytest.raises(Exception, match="is no range"):
+        tiles(rows="3").count()
+
+
+def test_the_tile_source_begins_at_the_bounds(spark, tmp_path):
+    slides.register(spark)
+    table = str(tmp_path / "described")
+    own = slides.described(spark.createDataFrame([("s.svs",), ("s.svs",)], "path string"), "tests.backends:Bounded")
+    assert own.count() == 2  # repeated paths stay two rows
+    known = tiling.bounded(tiling.with_bounds(own.limit(1)))
+    assert [known.first()[c] for c in ("offset_x", "offset_y", "width", "height")] == [64, 32, 300, 800]
+    known.write.parquet(table)
+    for options in ({"described": table}, {"paths": "s.svs"}):
+        df = spark.read.format("tilesmith_tiles").options(backend="tests.backends:Bounded", tile_size=100, **options).load()
+        rows = {(r.col, r.row): bytes(r.pixels) for r in df.collect()}
+        assert set(rows) == {(c, r) for c in range(3) for r in range(8)}
+        assert rows[1, 2] == Bounded().region("s.svs", 0, 100, 200, 100, 100, 64, 32).tobytes()
+    whole = spark.read.format("tilesmith_tiles").options(backend="tests.backends:Bounded", tile_size=100, paths="s.svs", bounds="false").load()
+    assert whole.count() == 80
+
+
+def test_a_backend_must_exist():
+    with pytest.raises(ValueError, match="unknown backend"):
+        slides.opened("nothing")
+
+
+def test_bounds_of_properties(spark):
+    key = "openslide.bounds-"
+    rows = [({f"{key}x": "5", f"{key}y": " 6 ", f"{key}width": "70", f"{key}height": "80"}, None), ({f"{key}x": "a"}, None), ({f"{key}y": "-1"}, None), ({f"{key}height": "0"}, "before"), ({}, None), (None, None)]
+    df = spark.createDataFrame([(i, 100, 90, *r) for i, r in enumerate(rows)], "i int, width int, height int, properties map<string,string>, error string")
+    got = [(r.offset_x, r.offset_y, r.width, r.height, r.error) for r in tiling.bounded(tiling.with_bounds(df)).orderBy("i").collect()]
+    plain = (0, 0, 100, 90)
+    assert got == [(5, 6, 70, 80, None), (*plain, "bad bounds x: a"), (*plain, "bad bounds y: -1"), (*plain, "before"), (*plain, None), (*plain, None)]

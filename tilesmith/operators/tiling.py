@@ -79,6 +79,24 @@ def bounded(slides: DataFrame) -> DataFrame:
     return slides.withColumn("offset_x", F.coalesce(b["x"], F.lit(0))).withColumn("offset_y", F.coalesce(b["y"], F.lit(0))).withColumn("width", F.coalesce(b["width"], F.col("width"))).withColumn("height", F.coalesce(b["height"], F.col("height")))
 
 
+#: Names of the properties that give a slide's bounds.
+BOUNDS = {"x": "openslide.bounds-x", "y": "openslide.bounds-y", "width": "openslide.bounds-width", "height": "openslide.bounds-height"}
+
+
+def with_bounds(slides: DataFrame, properties: str = "properties") -> DataFrame:
+    """slides with bounds struct<x, y, width, height> from their properties, and error: each part may be missing, and is null then.
+
+    A part that is no whole number, or an empty extent, is an error of its slide, whose bounds are null.
+    """
+    told = {k: F.element_at(F.col(properties), name) for k, name in BOUNDS.items()}
+    parts = {k: F.trim(v).try_cast("int") for k, v in told.items()}
+    bad = [F.when(v.isNotNull() & (parts[k].isNull() | (parts[k] < (1 if k in ("width", "height") else 0))), F.concat(F.lit(f"bad bounds {k}: "), v)) for k, v in told.items()]
+    before = F.col("error") if "error" in slides.columns else F.lit(None).cast("string")
+    wrong = F.coalesce(*bad)
+    rows = slides.withColumn("bounds", F.when(wrong.isNull(), F.struct(*(v.alias(k) for k, v in parts.items()))))
+    return rows.withColumn("error", F.coalesce(before, wrong))
+
+
 def foreground(tiles: DataFrame, threshold: float = 15, edge: str = "edge") -> DataFrame:
     """Tiles whose edge score is above the threshold: a higher one drops more."""
     return tiles.where(F.col(edge) > threshold)

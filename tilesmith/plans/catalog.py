@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tilesmith.functions import ids, images, paths, vectors
 from tilesmith.operators import cohort, features, manifest, mil, tiling
+from tilesmith.scratch import scratch_path
+from tilesmith.sources import slides
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -293,6 +295,36 @@ def slide_objective_errors(spark: SparkSession, d: str) -> DataFrame:
     return tiling.with_objective(slides).select("slide_name", "objective", "error")
 
 
+@query(
+    """WITH s AS (SELECT p_partkey, 1000 + 37 * p_size AS width, 700 + 29 * p_size AS height, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN 'wide' ELSE (p_size * 3)::VARCHAR END AS bx, CASE p_size % 4 WHEN 0 THEN '0' WHEN 1 THEN NULL ELSE (900 + p_size)::VARCHAR END AS bw FROM part)
+SELECT p_partkey AS slide_name, CASE WHEN bx = 'wide' THEN 'bad bounds x: wide' WHEN bw = '0' THEN 'bad bounds width: 0' END AS error,
+CASE WHEN bx = 'wide' OR bw = '0' THEN 0 ELSE coalesce(TRY_CAST(bx AS INT), 0) END AS offset_x, CASE WHEN bx = 'wide' OR bw = '0' THEN width ELSE coalesce(TRY_CAST(bw AS INT), width) END AS width, height FROM s"""
+)
+def slide_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Bounds from properties: a part that is missing is the whole slide's, a damaged one is an error of its slide."""
+    x = F.when(F.col("p_size") % 5 == 1, "wide").when(F.col("p_size") % 5 > 1, (F.col("p_size") * 3).cast("string"))
+    w = F.when(F.col("p_size") % 4 == 0, "0").when(F.col("p_size") % 4 > 1, (F.col("p_size") + 900).cast("string"))
+    told = F.map_filter(F.create_map(F.lit("openslide.bounds-x"), x, F.lit("openslide.bounds-width"), w), lambda _, v: v.isNotNull())
+    slides = _table(spark, d, "part").select(F.col("p_partkey").alias("slide_name"), (1000 + 37 * F.col("p_size")).alias("width"), (700 + 29 * F.col("p_size")).alias("height"), told.alias("properties"))
+    return tiling.bounded(tiling.with_bounds(slides)).select("slide_name", "error", "offset_x", "width", "height")
+
+
+@query(
+    """WITH s AS (SELECT 'set/' || s_suppkey || '.svs' AS path, sha256('set/' || s_suppkey || '.svs') AS d FROM supplier),
+l AS (SELECT path, depth::INT AS depth, ceil((600 + 4 * ('0x' || substr(d, 1, 2))::INT) / pow(2, depth))::INT AS w, ceil((500 + 4 * ('0x' || substr(d, 3, 2))::INT) / pow(2, depth))::INT AS h FROM s, (VALUES (1), (2)) t(depth)),
+r AS (SELECT *, unnest(range(ceil(h / 128e0)::BIGINT))::INT AS "row" FROM l), c AS (SELECT *, unnest(range(ceil(w / 128e0)::BIGINT))::INT AS col FROM r)
+SELECT path, depth, col, "row", 128 * 128 * 3 AS n_bytes FROM c WHERE "row" < 2 AND col >= 1 AND col < 3"""
+)
+def tile_source_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of slides that were described once: rows and columns that aren't asked for are neither planned nor read."""
+    names = _table(spark, d, "supplier").select(F.concat(F.lit("set/"), "s_suppkey", F.lit(".svs")).alias("path"))
+    table = scratch_path(spark, "described")
+    slides.described(names).select("path", "width", "height", "error").write.parquet(table)
+    slides.register(spark)
+    tiles = spark.read.format("tilesmith_tiles").options(described=table, depths="1,2", tile_size=128, rows=":2", cols="1:3").load()
+    return tiles.select("path", "depth", "col", "row", F.octet_length("pixels").alias("n_bytes"))
+
+
 def _two_levels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """High and low tiles; some low ones are dropped by a formula, as the background filter would."""
     grid = tiling.tile_grid(_plan(spark, d))

@@ -1,19 +1,23 @@
 """Slides: discovery, and reading of tiles through a Python data source.
 
 Backends open a slide and read regions. The synthetic one makes pixels by a formula and needs
-no library; the one for real slides is used where openslide can be imported.
+no library; the one for real slides is used where openslide can be imported. A backend of one's own is named as
+"module:Class".
 """
 
 from __future__ import annotations
 
 import hashlib
+import importlib
 from collections.abc import Iterator
+from math import ceil
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tilesmith.functions import paths
@@ -28,7 +32,6 @@ def discovered(spark: SparkSession, input_dir: str, extensions: tuple[str, ...]
     Extensions are case-sensitive; names that start with a dot or underscore are hidden, as Spark hides them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(input_dir)
-    files = files.select("path", "length").dropDuplicates(["path"])
     return files.select("path", "length", paths.parent("path").alias("class_dir"), paths.slide_name("path").alias("slide_name"))
 
 
@@ -95,27 +98,37 @@ class OpenSlideBackend:
 BACKENDS = {"synthetic": SyntheticBackend, "openslide": OpenSlideBackend}
 
 
+def opened(backend: str) -> SlideBackend:
+    if backend in BACKENDS:
+        return BACKENDS[backend]()
+    module, _, name = backend.partition(":")
+    if not name:
+        raise ValueError(f"unknown backend {backend!r}: use one of {sorted(BACKENDS)} or module:Class")
+    return getattr(importlib.import_module(module), name)()
+
+
 def described(slides: DataFrame, backend: str = "synthetic") -> DataFrame:
-    """slides with width, height and properties, and error where a slide can't be opened; others go on."""
-    schema = "path string, width int, height int, properties map<string,string>, error string"
+    """slides with width, height and properties, and error where a slide can't be opened; others go on. Each row is opened where it is."""
+    keep = [c for c in slides.columns if c not in ("width", "height", "properties", "error")]
+    at, rest = keep.index("path"), slides.select(*keep)
+    added = "width int, height int, properties map<string,string>, error string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = BACKENDS[backend]()
+        reader = opened(backend)
         for b in batches:
             rows = []
-            for path in b.column(0).to_pylist():
+            for path in b.column(at).to_pylist():
                 try:
                     w, h, props = reader.describe(path)
-                    rows.append((path, w, h, list(props.items()), None))
+                    rows.append((w, h, list(props.items()), None))
                 except ImportError:
                     raise
                 except Exception as e:  # one damaged slide must not stop the others
-                    rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["path", "width", "height", "properties", "error"])
+                    rows.append((None, None, None, f"{type(e).__name__}: {e}"))
+            kinds = [pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds))], [*keep, "width", "height", "properties", "error"])
 
-    own = slides.select("path").mapInArrow(run, schema)
-    return slides.join(own, "path")
+    return rest.mapInArrow(run, T.StructType([*rest.schema, *T.StructType.fromDDL(added)]))
 
 
 def read_tiles(grid: DataFrame, backend: str = "synthetic", tile_size: int = 224, threshold: float | None = None, block: int = 16) -> DataFrame:
@@ -131,7 +144,7 @@ def read_tiles(grid: DataFrame, backend: str = "synthetic", tile_size: int = 224
     ix = [keep.index(c) for c in ("path", "depth", "x0", "y0", "w", "h", *(c for c in ("offset_x", "offset_y") if {"offset_x", "offset_y"} <= set(keep)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = BACKENDS[backend]()
+        reader = opened(backend)
         for b in batches:
             pick, pixels, scores, errors = [], [], [], []
             for i, at in enumerate(zip(*(b.column(j).to_pylist() for j in ix))):
@@ -155,15 +168,26 @@ def read_tiles(grid: DataFrame, backend: str = "synthetic", tile_size: int = 224
     return dealt.mapInArrow(run, f"{kinds}, pixels binary, edge double, error string")
 
 
-class _Block(InputPartition):
-    def __init__(self, path: str, depth: int, first: int, last: int) -> None:
-        self.path, self.depth, self.first, self.last = path, depth, first, last
+class _Tiles(InputPartition):
+    """Rows of tiles of one level of a slide: its size and offset are known from planning."""
 
+    def __init__(self, path: str, depth: int, rows: range, size: tuple[int, int], offset: tuple[int, int]) -> None:
+        self.path, self.depth, self.rows, self.size, self.offset = path, depth, rows, size, offset
 
-class TileSource(DataSource):
-    """spark.read.format("tilesmith_tiles"): the tiles of a level of slides, a partition for each slide and block of rows.
 
-    Options: paths (separated by ;), depth, tile_size, block (rows of tiles), backend.
+class TileSource(DataSource):
+    """spark.read.format("tilesmith_tiles"): the tiles of levels of slides, a partition for each slide, level and block of rows.
+
+    Options: described, a Parquet table of (path, width, height) with offset_x and offset_y if slides are ``bounded`` (see
+    ``described`` and ``tiling.with_bounds``), so that planning opens no slide; or paths, separated by ;, which the driver opens
+    and cuts down to their bounds (bounds=false: not). depths (a comma between), tile_size, block (rows of tiles in a
+    partition), backend.
+
+    rows and cols ("2:5", either end may be missing), depths and above (tiles of an edge score over it, and those that can't be
+    read) say what to read: nothing else is planned or read, and no pixel of other tiles leaves the worker. They are options and not
+    pushed filters, because Spark keeps what was pushed last with the relation, so that two filters of one DataFrame would both
+    read the rows of one. Filters on top are right as ever, after reading. Slides with an error or without a size in the table give
+    no tile; a tile that can't be read has an error.
     """
 
     @classmethod
@@ -174,40 +198,70 @@ class TileSource(DataSource):
         return "path string, depth int, col int, row int, pixels binary, edge double, error string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _TileReader(self.options)
+        return TileReader(self.options)
 
 
-class _TileReader(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.paths = [p for p in options.get("paths", "").split(";") if p]
-        self.depth, self.size, self.block = (int(options.get(k, d)) for k, d in (("depth", 0), ("tile_size", 224), ("block", 4)))
-        self.backend = options.get("backend", "synthetic")
+def _within(wanted: str | None, n: int) -> range:
+    """The numbers below n of a slice "a:b"."""
+    first, colon, last = (wanted or ":").partition(":")
+    if not colon:
+        raise ValueError(f"{wanted!r} is no range: write first:end")
+    return range(n)[int(first) if first.strip() else None : int(last) if last.strip() else None]
 
-    def _level(self, path: str) -> tuple[int, int]:
-        w, h, _ = BACKENDS[self.backend]().describe(path)
-        return -(-w // 2**self.depth), -(-h // 2**self.depth)
 
-    def partitions(self):
-        out = []
+class TileReader(DataSourceReader):
+    def __init__(self, options) -> None:
+        self.paths = [p for p in options.get("paths", "").split(";") if p]
+        self.described = options.get("described")
+        self.depths = [int(x) for x in str(options.get("depths", options.get("depth", 0))).split(",")]
+        self.size, self.block = (int(options.get(k, d)) for k, d in (("tile_size", 224), ("block", 4)))
+        self.backend, self.bounds = options.get("backend", "synthetic"), options.get("bounds", "true").lower() != "false"
+        self.rows, self.cols = options.get("rows"), options.get("cols")
+        self.above = float(options["above"]) if "above" in options else None
+
+    def _slides(self) -> Iterator[tuple[str, int, int, int, int]]:
+        """(path, width, height, offset_x, offset_y)."""
+        if self.described:
+            import pyarrow.dataset as ds
+
+            table = ds.dataset(self.described)
+            names = ["path", "width", "height", *(c for c in ("offset_x", "offset_y", "error") if c in table.schema.names)]
+            for b in table.to_batches(columns=names):
+                for r in b.to_pylist():
+                    if r["path"] is not None and r["width"] and r["height"] and r.get("error") is None:
+                        yield r["path"], r["width"], r["height"], r.get("offset_x") or 0, r.get("offset_y") or 0
+            return
+        reader = opened(self.backend)
         for p in self.paths:
-            rows = -(-self._level(p)[1] // self.size)
-            out += [_Block(p, self.depth, a, min(rows, a + self.block)) for a in range(0, rows, self.block)]
-        return out or [_Block("", self.depth, 0, 0)]
+            w, h, props = reader.describe(p)
+            own = [int(props.get(f"openslide.bounds-{k}", d)) for k, d in (("width", w), ("height", h), ("x", 0), ("y", 0))] if self.bounds else [w, h, 0, 0]
+            yield p, *own
 
-    def read(self, partition):
-        if not partition.path:
-            return
-        reader, (w, h), n = BACKENDS[self.backend](), self._level(partition.path), self.size
-        for row in range(partition.first, partition.last):
-            for col in range(-(-w // n)):
+    def partitions(self) -> list[InputPartition]:
+        out = []
+        for path, w, h, x, y in self._slides():
+            for d in self.depths:
+                size = ceil(w / 2**d), ceil(h / 2**d)
+                rows = _within(self.rows, ceil(size[1] / self.size))
+                out += [_Tiles(path, d, rows[i : i + self.block], size, (x, y)) for i in range(0, len(rows), self.block)]
+        return out or [_Tiles("", 0, range(0), (0, 0), (0, 0))]
+
+    def read(self, partition: _Tiles) -> Iterator[tuple]:
+        reader, (w, h), n = opened(self.backend), partition.size, self.size
+        for row in partition.rows:
+            for col in _within(self.cols, ceil(w / n)):
                 x, y = col * n, row * n
                 try:
-                    region = reader.region(partition.path, partition.depth, x, y, min(n, w - x), min(n, h - y))
-                    yield partition.path, partition.depth, col, row, resized(region, n, n).tobytes(), edge_value(region, n), None
+                    region = reader.region(partition.path, partition.depth, x, y, min(n, w - x), min(n, h - y), *partition.offset)
+                    edge = edge_value(region, n)
+                    if self.above is not None and edge <= self.above:
+                        continue
+                    made = (resized(region, n, n).tobytes(), edge, None)
                 except ImportError:
                     raise
                 except Exception as e:
-                    yield partition.path, partition.depth, col, row, None, None, f"{type(e).__name__}: {e}"
+                    made = (None, None, f"{type(e).__name__}: {e}")
+                yield partition.path, partition.depth, col, row, *made
 
 
 def register(spark: SparkSession) -> None:
