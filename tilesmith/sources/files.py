@@ -1,12 +1,9 @@
-"""Patch images, cohort tables, registers; feature, manifest, list and tile sinks."""
+"""Patch images, cohort tables, registers; feature, manifest, list and tile sinks. Bags as image files: ``bags``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +23,14 @@ def patch_images(spark: SparkSession, root: str, depth: str = "*/*", extensions:
 
     An image that can't be decoded keeps its row, without pixels and with an error.
 
-    depth: directories between root and the images: */* for bags, */*/* for the children of low patches.
+    depth: directories between root and the images: */* for bags, */*/* for the children of low patches. Images at other depths
+    are left alone.
     """
+    above = [x for x in spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().split("/") + depth.split("/") if x]
     images = spark.read.format("image").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").option("dropInvalid", False).load(f"{root}/{depth}")
+    own = F.filter(F.split(F.regexp_replace("image.origin", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/"), lambda x: x != "")
+    if root.startswith("/") or ":" in root:  # else the working directory comes before it
+        images = images.where(F.size(own) == len(above) + 1)
     at = paths.tile_position("image.origin")
     up = F.split("image.origin", "/")
 
@@ -101,33 +103,7 @@ def write_tiles(tiles: DataFrame, path: str, mode: str = "append") -> None:
     tiles.write.mode(mode).partitionBy("class_dir").parquet(path)
 
 
-def export_tiles(tiles: DataFrame, root: str, tile_size: int, extension: str = "png", quality: int = 70) -> DataFrame:
-    """Each tile as an image file root/class_dir/slide/[parent/]col_row.ext, for tools that want files; root must be shared.
-
-    Gives (path, error), lazily: write or count it. Needs Pillow on the executors, else PNG is written by hand.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        for b in batches:
-            made, errors = [], []
-            for cls, slide, col, row, pixels in zip(*(c.to_pylist() for c in b.columns)):
-                path = f"{root}/{cls}/{slide}/{col}_{row}.{extension}"
-                try:
-                    os.makedirs(os.path.dirname(path), exist_ok=True)
-                    with open(path, "wb") as f:
-                        f.write(_encoded(np.frombuffer(pixels, np.uint8).reshape(tile_size, tile_size, 3), extension, quality))
-                    errors.append(None)
-                except OSError as e:
-                    errors.append(str(e))
-                made.append(path)
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.array(errors, pa.string())], ["path", "error"])
-
-    return tiles.select("class_dir", "slide_name", "col", "row", "pixels").mapInArrow(run, "path string, error string")
-
-
-def _encoded(pixels: np.ndarray, extension: str, quality: int) -> bytes:
+def encoded(pixels: np.ndarray, extension: str, quality: int) -> bytes:
     if extension == "png":
         import struct
         import zlib
