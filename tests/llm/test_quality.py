@@ -40,6 +40,42 @@ def test_edges(spark):
     assert {r.score for r in quality.scored(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_order_of_rows_tells_little():
+    """The texts of test_edges in six orders: what resembles the trusted texts but for a digit is kept, junk is not."""
+    junk, fine = "AAA!! BBB!! CCC!! " * 20, "This is a plain line of words that mean little. "
+    texts = [fine, fine, fine, junk, "", "x" * 3000] + [f"{fine} {i} " * (1 + i % 7) for i in range(300)] + [junk * (1 + i % 7) + str(i) for i in range(100)]
+    x = np.stack([quality.features(t) for t in texts])
+    fold = np.array([zlib.crc32(t.encode()) % quality.FOLDS for t in texts])
+    good = np.array([6 <= i < 306 for i in range(len(texts))])
+    for seed in range(6):
+        o = np.random.default_rng(seed).permutation(len(x))
+        own = o[good[o]]
+        model = quality.Folds(x[own], x[o], fold[own], fold[o], x.mean(0), x.std(0))
+        s = model.scores(x, fold)
+        assert s[:3].min() > 0.4 and s[3] < 0.1 and s[306:].max() < 0.1 and s[good].min() > 0.8, (seed, s[:6])
+
+
+def brute_scores(x, fold, good, held):
+    """The classifier on all rows, without Spark: both halves' networks on all features."""
+    mean, scale = x.astype(np.float64).mean(0), x.astype(np.float64).std(0)
+    return quality.Folds(x[good & ~held], x[~held], fold[good & ~held], fold[~held], mean, scale).scores(x, fold)
+
+
+def test_query_equals_a_fit_without_spark(spark):
+    """Features, halves, hold-out and scores of the query against a fit on the driver's copy of all rows (samples hold them all)."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text", "xxhash64(text) as h", "xxhash64(17, doc_id, xxhash64(text), -1L) >>> 11 as place").orderBy("place").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    x = np.stack([quality.features(r.text) for r in docs])
+    fold = np.array([r.h % quality.FOLDS for r in docs])
+    held = np.array([zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in docs])
+    want = brute_scores(x, fold, np.array([labels.get(r.doc_id) == 1 for r in docs]), held)
+    got = {r.doc_id: r for r in QUERIES["op5_quality_pu"](spark, sf).collect()}
+    assert len(got) == len(docs)
+    assert np.allclose([got[r.doc_id].score for r in docs], want, atol=1e-3)
+    assert [got[r.doc_id].held_out for r in docs] == held.tolist()
+
+
 def test_the_risks_gradient(monkeypatch):
     rng = np.random.default_rng(5)
     p, u = rng.normal(0.5, 1, (30, 4)), rng.normal(0, 1, (50, 4))
@@ -80,5 +116,6 @@ def test_repeated_rows_do_not_fill_the_sample(spark):
     docs = spark.range(60_000).selectExpr("7L as doc_id", "'the very same text' as text").unionByName(spark.range(1000).selectExpr("id + 100 as doc_id", "concat('a text of its own ', id) as text"))
     rows = quality.featured(docs)
     same = spark.sql("select 1").count() and rows.where("doc_id = 7").first()["features"]
-    got = quality._sample(rows, 10_000)
+    got, fold = quality._sample(rows, 10_000)
+    assert len(fold) == len(got) and set(fold.tolist()) == set(range(quality.FOLDS))
     assert abs(len(got) - (got == np.array(same, np.float32)).all(1).sum() - 10_000 / 61) < 50

@@ -10,6 +10,10 @@ enters the risk. The class prior is estimated from positives and unlabelled rows
 the two apart, so that its odds estimate the ratio of their densities, which is 1 / prior where all texts are good. Features
 come from the text alone, in one pass over all rows that is stored, and their mean and scale are those of all rows; the fits
 run on two bounded samples of them on the driver, scoring on all rows.
+
+A fit takes the same number of steps whatever the size of the samples, and noise is added to its inputs, so that it learns no row by
+heart. Texts are dealt into folds by their hash, and each fold is scored by a network that was fitted on the others: an unlabelled
+text counts as negative evidence in the fit, and must not be its own.
 """
 
 from __future__ import annotations
@@ -31,12 +35,15 @@ UNLABELLED = 40_000
 #: A score from here on is accepted.
 THRESHOLD = 0.3
 HIDDEN = 32
-STEPS = 1500
-BATCH = 2048
-#: Passes over the larger sample after which a fit ends before its last step: on few rows more of them learn these rows by heart.
-PASSES = 100
-#: Steps of a network that the prior is estimated with, and how often positives are halved anew.
+STEPS = 150
+BATCH = 1024
+#: Standard deviation of the noise on each standardised input while fitting.
+NOISE = 0.5
+#: Parts of the texts that are scored by a network each.
+FOLDS = 4
+#: Steps and batch of a network that the prior is estimated with, and how often positives are halved anew.
 PRIOR_STEPS = 200
+PRIOR_BATCH = 512
 PRIOR_SPLITS = 4
 #: Characters whose share of the text is a feature of its own.
 MARKS = b"!?.,;:|*$%&#@<>{}[]()=+/\\\"'_-~^`"
@@ -150,19 +157,16 @@ def _back(x: np.ndarray, hid: np.ndarray, w2: np.ndarray, g: np.ndarray) -> list
     return [x.T @ gh, gh.sum(0), hid.T @ g, np.array([g.sum()])]
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, mean: np.ndarray, scale: np.ndarray, seed: int = 0, steps: int = STEPS, loss=risk) -> Model:
-    """Minimise the loss, by default the non-negative risk, by Adam with a little weight decay.
-
-    A fit takes ``steps`` steps, or ``PASSES`` passes over the larger sample where these are fewer.
-    """
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, mean: np.ndarray, scale: np.ndarray, seed: int = 0, steps: int = STEPS, loss=risk, batch: int = BATCH) -> Model:
+    """Minimise the loss, by default the non-negative risk, by Adam with a little weight decay and noise on the inputs."""
     rng = np.random.default_rng(seed)
-    steps = min(steps, PASSES * -(-max(len(positive), len(unlabelled)) // BATCH))
     k = positive.shape[1]
-    model = Model(mean, scale + 1e-3, [rng.normal(0, k**-0.5, (k, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)])
-    xp, xu = model.inputs(positive.astype(np.float64)), model.inputs(unlabelled.astype(np.float64))
+    weights = [rng.normal(0, k**-0.5, (k, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
+    model = Model(mean, scale + 1e-3, [w.astype(np.float32) for w in weights])
+    xp, xu = (model.inputs(x.astype(np.float64)).astype(np.float32) for x in (positive, unlabelled))
     first, second = ([np.zeros_like(w) for w in model.weights] for _ in range(2))
     for step in range(1, steps + 1):
-        p, u = xp[rng.integers(0, len(xp), min(BATCH, len(xp)))], xu[rng.integers(0, len(xu), min(BATCH, len(xu)))]
+        p, u = (x[rng.integers(0, len(x), batch)] + np.float32(NOISE) * rng.standard_normal((batch, k), np.float32) for x in (xp, xu))
         grads = loss(model.weights, p, u, prior)[2]
         for i in (0, 2):
             grads[i] = grads[i] + 1e-4 * model.weights[i]
@@ -174,6 +178,23 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, mean: np.nda
     return model
 
 
+class Folds:
+    """A network for each fold of the texts, fitted on the others; where these have no trusted or no unlabelled row, on all."""
+
+    def __init__(self, trusted: np.ndarray, web: np.ndarray, fold_of_trusted: np.ndarray, fold_of_web: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> None:
+        self.prior = estimated_prior(trusted, web, mean, scale)
+        self.models = []
+        for k in range(FOLDS):
+            own = [x[of != k] if (fold_of_trusted != k).any() and (fold_of_web != k).any() else x for x, of in ((trusted, fold_of_trusted), (web, fold_of_web))]
+            self.models.append(fit(*own, self.prior, mean, scale, seed=k))
+
+    def scores(self, x: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        out = np.empty(len(x))
+        for k, model in enumerate(self.models):
+            out[fold == k] = model.scores(x[fold == k])
+        return out
+
+
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> float:
     """Share of good texts among unlabelled rows: 1 / the ratio of densities at positives.
 
@@ -185,7 +206,7 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, mean: np.ndarr
         order = np.random.default_rng(split).permutation(len(positive))
         halves = [positive[order[::2]], positive[order[1::2]]] if len(positive) > 1 else [positive]
         for own in halves:
-            model = fit(own, unlabelled, 0.5, mean, scale, seed=1 + split, steps=PRIOR_STEPS, loss=apart)
+            model = fit(own, unlabelled, 0.5, mean, scale, seed=1 + split, steps=PRIOR_STEPS, loss=apart, batch=PRIOR_BATCH)
             seen += [np.median(model.logits(x)) for x in halves]
     return float(np.clip(np.exp(-np.mean(seen)), 0.02, 0.98))
 
@@ -194,8 +215,12 @@ def _held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _sample(rows: DataFrame, most: int) -> np.ndarray:
-    """At most ``most`` rows' features: those of the smallest hashes of id and text, and of their number for rows that
+def _fold() -> F.Column:
+    return F.pmod("text_hash", F.lit(FOLDS)).cast("int")
+
+
+def _sample(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` rows' features and folds: those of the smallest hashes of id and text, and of their number for rows that
     repeat both, so that these are drawn one by one and no other draw depends on how the table is laid out.
 
     Hashes are cut off first where about 1.2 times as many rows are expected, so that the tasks
@@ -209,11 +234,11 @@ def _sample(rows: DataFrame, most: int) -> np.ndarray:
     rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", "text_hash", salt), 11))
     if n > most:
         rows = rows.where(F.col("h") < int(min(1, (1.2 * most + 500) / n) * 2**53))
-    got = rows.orderBy("h").limit(most).select("features").toArrow()["features"].combine_chunks()
-    return got.flatten().to_numpy().reshape(-1, N_FEATURES)
+    got = rows.orderBy("h").limit(most).select("features", _fold().alias("fold")).toArrow().combine_chunks()
+    return got["features"].combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES), got["fold"].to_numpy()
 
 
-def learn(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
+def learn(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Folds | None:
     """The classifier from stored features; None without a row labelled good or without unlabelled rows.
 
     Of labels (doc_id, quality) only those of rows that aren't held out are read; several
@@ -224,12 +249,12 @@ def learn(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     own = written(own, "labels")
     mean, scale = moments(rows)
     rows = rows.where(~_held_out())
-    trusted = _sample(rows.join(own.where("quality > 0").select("doc_id"), "doc_id", "left_semi"), positives)
-    web = _sample(rows, unlabelled)
+    trusted, fold_of_trusted = _sample(rows.join(own.where("quality > 0").select("doc_id"), "doc_id", "left_semi"), positives)
+    web, fold_of_web = _sample(rows, unlabelled)
     dropped(own)
     if not len(trusted) or not len(web):
         return None
-    return fit(trusted, web, estimated_prior(trusted, web, mean, scale), mean, scale)
+    return Folds(trusted, web, fold_of_trusted, fold_of_web, mean, scale)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -246,7 +271,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(2).flatten().to_numpy().reshape(-1, N_FEATURES)
-            s = model.scores(x) if model else np.full(len(x), 0.5)
+            s = model.scores(x, b.column(1).to_numpy() % FOLDS) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.astype(np.float64))], ["doc_id", "text_hash", "score"])
 
     out = rows.mapInArrow(run, "doc_id long, text_hash long, score double")
