@@ -216,7 +216,8 @@ def _held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def _fold() -> F.Column:
-    return F.pmod("text_hash", F.lit(FOLDS)).cast("int")
+    """By the text's hash; texts without words, which have the same features, are together."""
+    return F.when(F.col("features")[0] > 0, F.pmod("text_hash", F.lit(FOLDS))).otherwise(0).cast("int")
 
 
 def _sample(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +272,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(2).flatten().to_numpy().reshape(-1, N_FEATURES)
-            s = model.scores(x, b.column(1).to_numpy() % FOLDS) if model else np.full(len(x), 0.5)
+            s = model.scores(x, np.where(x[:, 0] > 0, b.column(1).to_numpy() % FOLDS, 0)) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.astype(np.float64))], ["doc_id", "text_hash", "score"])
 
     out = rows.mapInArrow(run, "doc_id long, text_hash long, score double")
