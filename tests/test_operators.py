@@ -187,3 +187,31 @@ def test_settings():
         FeatureConfig(magnification="tree")
     with pytest.raises(ValueError):
         TilingConfig(magnifications=(0, 1, 2))
+
+
+def test_bicubic_by_hand(spark):
+    """Weights of the cubic at a = -1/2: 111/128, 29/128, -9/128, -3/128 at distances 1/4, 3/4, 5/4, 7/4."""
+    row = np.array([[0, 0, 255, 255]], np.uint8)
+    down = 255 * (29 - 9) / (111 + 111 + 29 - 9)  # the filter is twice as wide and ends with the image
+    assert images.resized(row, 1, 2).tolist() == [[round(down), round(255 - down)]] == [[21, 234]]
+    up = 255 * (29 - 3) / 128
+    assert images.resized(row, 1, 8).tolist() == [[0, 0, 0, round(up), round(255 - up), 255, 255, 255]]  # what is over or under a byte is cut off
+    assert images.resized(row.T, 2, 1).tolist() == [[21], [234]] and images.resized(row.repeat(4, 0), 2, 2).tolist() == [[21, 234]] * 2
+    flat = np.full((5, 7, 3), 200, np.uint8)
+    assert all((images.resized(flat, h, w) == 200).all() for h, w in ((1, 1), (13, 2), (64, 64), (5, 3)))
+    got = one(spark, images.resize(1, 4, 1, 2)(F.lit(row.ravel().tolist())), images.resize(1, 4, 1, 2)(F.lit(None).cast("array<int>")), images.edge_score(2, 2, 1, 2)(F.lit(None).cast("array<int>")))
+    assert got == ([21, 234], None, None)
+
+
+def test_edge_scores_of_a_batch_are_those_of_each(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 256, (20, 6, 5, 3), dtype=np.uint8)
+    rows = [(i, bytearray(v.tobytes()), v.ravel().tolist()) if i % 5 else (i, None, None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "i int, b binary, a array<int>").select("i", *(images.edge_score(6, 5, 3, 6)(c).alias(c) for c in "ab"))
+    for r in df.collect():
+        if r.i % 5:
+            own = x[r.i].astype(int)
+            want = sum(sum(np.clip(9 * own[y, z, c] - own[y - 1 : y + 2, z - 1 : z + 2, c].sum(), 0, 255) if 0 < y < 5 and 0 < z < 4 else own[y, z, c] for y in range(6) for z in range(5)) for c in range(3)) / 3 / 36
+            assert r.a == r.b == pytest.approx(want)
+        else:
+            assert r.a is None and r.b is None

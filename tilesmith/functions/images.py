@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -43,10 +45,10 @@ def chw(pixels: np.ndarray) -> np.ndarray:
 
 
 def edges(band: np.ndarray) -> np.ndarray:
-    """Eight times the pixel less its neighbours, clipped to 0..255; the outermost pixels stay as they are."""
+    """Eight times the pixel less its neighbours, clipped to 0..255; the outermost pixels stay as they are. Further axes are bands."""
     x = band.astype(np.int32)
     out = x.copy()
-    if min(x.shape) > 2:
+    if min(x.shape[:2]) > 2:
         around = sum(x[1 + i : x.shape[0] - 1 + i, 1 + j : x.shape[1] - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1))
         out[1:-1, 1:-1] = np.clip(9 * x[1:-1, 1:-1] - around, 0, 255)
     return out
@@ -55,7 +57,7 @@ def edges(band: np.ndarray) -> np.ndarray:
 def edge_value(pixels: np.ndarray, tile_size: int) -> float:
     """Sum of edges a band, mean over the bands, over tile_size squared (not over the pixels at hand)."""
     bands = pixels[..., None] if pixels.ndim == 2 else pixels
-    return float(np.mean([edges(bands[..., b]).sum() for b in range(bands.shape[-1])]) / tile_size**2)
+    return float(edges(bands).sum((0, 1)).mean() / tile_size**2)
 
 
 def edge_score(height: int, width: int, channels: int, tile_size: int):
@@ -63,13 +65,14 @@ def edge_score(height: int, width: int, channels: int, tile_size: int):
 
     @F.pandas_udf("double")
     def score(pixels: pd.Series) -> pd.Series:
-        def one(p):
-            if p is None:
-                return None
-            a = np.frombuffer(p, np.uint8) if isinstance(p, bytes | bytearray) else np.asarray(p)
-            return edge_value(a.reshape(height, width, channels), tile_size)
-
-        return pixels.map(one)
+        own = pixels.dropna()
+        if not len(own):
+            return pd.Series([None] * len(pixels), dtype="float64")
+        first = own.iloc[0]
+        stack = np.frombuffer(b"".join(own), np.uint8) if isinstance(first, bytes | bytearray) else np.concatenate(own.to_list())
+        x = stack.reshape(len(own), height, width, channels)
+        made = pd.Series(edges(np.moveaxis(x, 0, 2)).sum((0, 1)).mean(1) / tile_size**2, index=own.index)  # images and channels are bands of one
+        return made.reindex(pixels.index)
 
     return score
 
@@ -79,18 +82,48 @@ def _cubic(x: np.ndarray, a: float = -0.5) -> np.ndarray:
     return np.where(x < 1, ((a + 2) * x - (a + 3)) * x * x + 1, np.where(x < 2, (((x - 5) * x + 8) * x - 4) * a, 0.0))
 
 
+#: Fixed value: bits of a resampling weight behind the point.
+WEIGHT_BITS = 22
+
+
+@lru_cache(64)
+def _weights(n: int, m: int) -> np.ndarray:
+    """m x n whole numbers: what each of n pixels adds to each of m, in units of 2 ** -WEIGHT_BITS."""
+    scale = n / m
+    wide = max(scale, 1.0)
+    centre = (np.arange(m)[:, None] + 0.5) * scale
+    x = np.arange(n)[None, :]
+    inside = (x >= np.trunc(centre - 2 * wide + 0.5)) & (x < np.trunc(centre + 2 * wide + 0.5))
+    w = np.where(inside, _cubic((x - centre + 0.5) / wide), 0.0)
+    w = w / w.sum(1, keepdims=True) * 2**WEIGHT_BITS
+    return np.trunc(w + np.copysign(0.5, w))
+
+
 def resized(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bicubic; shrinking widens the filter, so that no pixel is passed over."""
-
-    def weights(n: int, m: int) -> np.ndarray:
-        scale = n / m
-        wide = max(scale, 1.0)
-        centre = (np.arange(m) + 0.5) * scale - 0.5
-        w = _cubic((np.arange(n)[None, :] - centre[:, None]) / wide)
-        return w / w.sum(1, keepdims=True)
-
-    if pixels.shape[:2] == (height, width):
-        return pixels
-    out = np.einsum("ij,jk...->ik...", weights(pixels.shape[0], height), pixels.astype(np.float64))
-    out = np.einsum("ij,kj...->ki...", weights(pixels.shape[1], width), out)
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    """Bicubic, in the fixed-point arithmetic of common imaging libraries: widths first, then heights, each rounded to bytes.
+
+    Shrinking widens the filter, so that no pixel is passed over. Sums stay below 2 ** 53, so doubles hold them exactly.
+    """
+    out = pixels.astype(np.float64)
+    for axis, m in ((1, width), (0, height)):
+        n = out.shape[axis]
+        if n != m:
+            sums = np.moveaxis(np.tensordot(_weights(n, m), out, (1, axis)), 0, axis)
+            out = np.clip(np.floor((sums + 2 ** (WEIGHT_BITS - 1)) / 2**WEIGHT_BITS), 0, 255)
+    return pixels if pixels.shape[:2] == (height, width) else out.astype(np.uint8)
+
+
+def resize(height: int, width: int, to_height: int, to_width: int, channels: int = 1):
+    """A vectorised ``resized`` of an array column of row-major pixels; null stays null."""
+
+    @F.pandas_udf("array<int>")
+    def run(pixels: pd.Series) -> pd.Series:
+        own = pixels.dropna()
+        if not len(own):
+            return pixels
+        stack = np.stack(own.to_list()).astype(np.uint8).reshape(len(own), height, width, channels)
+        made = resized(np.moveaxis(stack, 0, 2), to_height, to_width)  # all images of the batch as bands of one
+        flat = np.moveaxis(made, 2, 0).reshape(len(own), -1).astype(np.int32)
+        return pd.Series(list(flat), index=own.index, dtype=object).reindex(pixels.index)
+
+    return run

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tilesmith.functions import ids, images, paths, vectors
 from tilesmith.operators import cohort, features, manifest, mil, tiling
 from tilesmith.scratch import scratch_path
-from tilesmith.sources import slides
+from tilesmith.sources import bags, files, slides
+from tilesmith.streaming import bags as completed_bags
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -229,6 +230,88 @@ def center_crop(spark: SparkSession, d: str) -> DataFrame:
     return _pixels(spark, d).select("vec_id", F.posexplode(images.centre_crop("pixels", 8, 8, 4)).alias("pos", "value"))
 
 
+@query(
+    f"""WITH {PIXELS}, k0 AS (SELECT o, i, (o + 0.5e0) * 2 AS centre FROM range(4) t(o), range(8) u(i)),
+k1 AS (SELECT o, i, CASE WHEN i < trunc(centre - 3.5e0) OR i >= trunc(centre + 4.5e0) THEN 0e0 ELSE abs((i - centre + 0.5e0) / 2) END AS x, i >= trunc(centre - 3.5e0) AND i < trunc(centre + 4.5e0) AS inside FROM k0),
+k2 AS (SELECT o, i, CASE WHEN NOT inside THEN 0e0 WHEN x < 1 THEN (1.5e0 * x - 2.5e0) * x * x + 1 WHEN x < 2 THEN (((x - 5) * x + 8) * x - 4) * -0.5e0 ELSE 0e0 END AS w FROM k1),
+k AS (SELECT o, i, trunc(w / sum(w) OVER (PARTITION BY o) * 4194304e0 + CASE WHEN w < 0 THEN -0.5e0 ELSE 0.5e0 END)::BIGINT AS k FROM k2),
+a AS (SELECT vec_id, y, o AS x, least(greatest((sum(p * k)::BIGINT + 2097152) >> 22, 0), 255) AS p FROM p JOIN k ON k.i = p.x GROUP BY vec_id, y, o)
+SELECT vec_id, (o * 4 + x)::INT AS pos, least(greatest((sum(p * k)::BIGINT + 2097152) >> 22, 0), 255)::INT AS value FROM a JOIN k ON k.i = a.y GROUP BY vec_id, o, x"""
+)
+def resize_bicubic(spark: SparkSession, d: str) -> DataFrame:
+    return _pixels(spark, d).select("vec_id", F.posexplode(images.resize(8, 8, 4, 4)("pixels")).alias("pos", "value"))
+
+
+# ---- written and read again ----
+
+
+def _grey_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as grey tiles of 8 x 8 pixels in bags, placed by their id."""
+    one = F.transform("pixels", lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), 3))
+    rows = _pixels(spark, d).join(_table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    cls, slide = F.concat(F.lit("class_"), F.col("label") % 2), F.concat(F.lit("s"), F.col("label"))
+    return rows.select(cls.alias("class_dir"), slide.alias("slide_name"), (F.col("vec_id") % 100).cast("int").alias("col"), F.floor(F.col("vec_id") / 100).cast("int").alias("row"), F.unhex(F.array_join(one, "")).alias("pixels"))
+
+
+@query(f"WITH {PIXELS} SELECT 'class_' || label % 2 AS class_dir, 's' || label AS slide_name, vec_id % 100 AS col, vec_id // 100 AS \"row\", 8 AS width, sum(3 * p) AS total, sum(3 * p * (pos + 1)) AS weighed FROM p JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) GROUP BY label, vec_id")
+def bags_written(spark: SparkSession, d: str) -> DataFrame:
+    """Bags of image files, committed as a whole, and scanned again."""
+    root = scratch_path(spark, "bags")
+    bags.write_bags(_grey_tiles(spark, d), root, 8)
+    rows = files.patch_images(spark, root)
+    total = F.aggregate("pixels", F.lit(0).cast("long"), lambda s, v: s + v)
+    weighed = F.aggregate(F.transform("pixels", lambda v, i: v * (F.floor(i / 3) + 1)), F.lit(0).cast("long"), lambda s, v: s + v)
+    return rows.select("class_dir", "slide_name", F.col("col").cast("long").alias("col"), F.col("row").cast("long").alias("row"), "width", total.alias("total"), weighed.alias("weighed"))
+
+
+@query("SELECT 'class_' || label % 2 AS class_dir, 's' || label AS slide_name, count(*) AS n FROM embeddings GROUP BY label UNION ALL SELECT NULL, NULL, count(*) FROM embeddings")
+def bags_overwritten(spark: SparkSession, d: str) -> DataFrame:
+    """Bags written twice, the second time over the first; files by bag, and all."""
+    root, tiles = scratch_path(spark, "bags"), _grey_tiles(spark, d)
+    bags.write_bags(tiles.withColumn("col", F.col("col") + 1000), root, 8)
+    bags.write_bags(tiles, root, 8, overwrite=True)
+    found = spark.read.format("binaryFile").load(f"{root}/*/*").select(paths.parent("path").alias("slide_name"), F.element_at(F.split("path", "/"), -3).alias("class_dir"))
+    every = spark.range(1).select(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(files.image_count(spark, root, ("png",))).cast("long").alias("n"))
+    return found.groupBy("class_dir", "slide_name").agg(F.count("*").alias("n")).union(every)
+
+
+@query("SELECT c_name, c_acctbal > 0 AS rich, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END AS nation, round(c_acctbal, 2) AS balance FROM customer")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A list written as CSV, and read by names and types; a column that isn't asked for is passed over."""
+    path = scratch_path(spark, "list")
+    rows = _table(spark, d, "customer").select("c_custkey", "c_name", (F.col("c_acctbal") > 0).alias("rich"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey")).alias("nation"), F.round("c_acctbal", 2).alias("balance"))
+    files.write_list(rows, path)
+    return files.csv(spark, path, "balance double, c_name string, nation int, rich boolean")
+
+
+@query("SELECT s_name AS path, s_nationkey % 3 AS label FROM supplier")
+def manifest_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "manifest")
+    files.write_manifest(_table(spark, d, "supplier").select(F.col("s_name").alias("path"), (F.col("s_nationkey") % 3).alias("label")), path)
+    return files.csv(spark, path, "`0` string, label int").withColumnRenamed("0", "path")
+
+
+@query(f"WITH {LONG} SELECT 's' || label AS slide_name, pos::INT AS pos, round(sum(round_even(v, 4)), 6) + 0e0 AS total, count(*) AS n FROM e WHERE pos < 8 GROUP BY label, pos")
+def features_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Wide feature tables by class and slide, with four decimals, and read again by their columns."""
+    path = scratch_path(spark, "features")
+    rows = _table(spark, d, "embeddings").select(F.lit("c").alias("class_dir"), F.concat(F.lit("s"), "label").alias("slide_name"), F.slice("embedding", 1, 8).alias("features"), "label")
+    files.export_features(rows, path, 8)
+    read = files.csv(spark, path, "slide_name string, " + ", ".join(f"`{i}` double" for i in range(8)))
+    wide = read.select("slide_name", F.posexplode(F.array(*(F.col(str(i)) for i in range(8)))).alias("pos", "v"))
+    return wide.groupBy("slide_name", "pos").agg(_r(F.sum("v")).alias("total"), F.count("*").alias("n"))
+
+
+@query("SELECT user_id::VARCHAR AS slide, 5 + (user_id % 4 = 0)::BIGINT AS n_tiles, 5 AS n_seen, 'whole' AS status FROM events WHERE user_id % 4 <> 0 GROUP BY user_id HAVING count(DISTINCT event_type) = 5")
+def bags_completed(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of tiles: kinds of events stand for a bag's tiles, and some bags wait for one that never comes."""
+    kinds = F.array(*(F.lit(x) for x in ("click", "error", "purchase", "signup", "view")))
+    stream = spark.readStream.schema(_table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")  # a pattern may match a file or a folder
+    tile = (F.array_position(kinds, F.col("event_type")) - 1).alias("tile")
+    tiles = stream.select(F.col("user_id").alias("slide"), (5 + (F.col("user_id") % 4 == 0).cast("int")).alias("n_tiles"), tile)
+    return completed_bags.ingest_bags(tiles, scratch_path(spark, "whole"), scratch_path(spark, "state"))
+
+
 # ---- tiling ----
 
 
