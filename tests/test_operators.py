@@ -215,3 +215,47 @@ def test_edge_scores_of_a_batch_are_those_of_each(spark):
             assert r.a == r.b == pytest.approx(want)
         else:
             assert r.a is None and r.b is None
+
+
+def test_morton_codes(spark):
+    places = [(0, 0), (1, 0), (0, 1), (3, 5), (65535, 1), (2**31 - 1, 2**31 - 1), (123456, 654321)]
+    df = spark.createDataFrame(places, "col int, row int")
+    want = [sum((c >> i & 1) << 2 * i | (r >> i & 1) << 2 * i + 1 for i in range(31)) for c, r in places]
+    assert [r[0] for r in df.select(tiling.morton()).collect()] == want
+    assert [r[0] for r in df.select(tiling.morton(F.expr("col div 2"), F.expr("row div 2")) == F.shiftright(tiling.morton(), 2)).collect()] == [True] * len(places)
+
+
+def test_a_stored_tree_of_many_levels_is_joined_without_a_shuffle(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(s, d, c, r) for s in ("a", "b", "big") for d in range(4) for c in range(16 >> d) for r in range(16 >> d) if rng.random() < 0.8] + [("a", 0, None, 1), ("lost", 0, 5, 5)]
+    tiles = spark.createDataFrame(rows, "slide_name string, depth int, col int, row int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for depths in ((0, 1, 2, 3), (0, 2, 3)):
+            table = f"levels_{len(depths)}"
+            tiling.store_levels(tiles, table, depths, f"{tmp_path}/{table}", buckets=8)
+            tree = tiling.stored_tree(spark, table, depths)
+            got = sorted(map(tuple, tree.collect()), key=str)
+            plan = tree._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert plan.count("SortMergeJoin") == len(depths) - 1 and "Exchange" not in plan
+            have, order, want = {x for x in rows if x[2] is not None}, depths[::-1], []
+
+            def below(s, path, i):
+                if i == len(order) or path[-2] is None:
+                    want.append((s, *path, *[None] * (2 * len(order) - len(path))))
+                    return
+                f = 2 ** (order[i - 1] - order[i])
+                kids = [(c, r) for c in range(path[-2] * f, path[-2] * f + f) for r in range(path[-1] * f, path[-1] * f + f) if (s, order[i], c, r) in have]
+                for k in kids or [(None, None)]:
+                    below(s, (*path, *k), i + 1)
+
+            for s, d, c, r in have:
+                if d == 3:
+                    below(s, (c, r), 1)
+            assert got == sorted(want, key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for n in (3, 4):
+            for d in range(4):
+                spark.sql(f"drop table if exists levels_{n}_{d}")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilesmith.functions.ids import _c
@@ -133,6 +133,59 @@ def patch_tree(low: DataFrame, high: DataFrame, factor: int, slide: str = "slide
     return low.join(h, on, "inner" if drop_childless else "left").select(low[slide], low["col"], low["row"], "child_col", "child_row")
 
 
+def _spread(x: Column) -> Column:
+    """The 32 bits of a position at the even places of a long."""
+    x = x.cast("long")
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+    return x
+
+
+def morton(col: Column | str = "col", row: Column | str = "row") -> Column:
+    """The bits of both positions in turn: of a tile, the code of its parent at half the size is the code without its last two bits."""
+    return _spread(_c(col)).bitwiseOR(F.shiftleft(_spread(_c(row)), 1))
+
+
+def _level_table(table: str, depth: int) -> str:
+    return f"{table}_{depth}"
+
+
+def store_levels(tiles: DataFrame, table: str, depths: tuple[int, ...], path: str | None = None, buckets: int = 200, slide: str = "slide_name") -> None:
+    """A bucketed table for each depth of tiles (slide, depth, col, row, ...), with code and top.
+
+    top is the code of the tile's ancestor at the largest of the depths. All levels are bucketed by slide and top, so a tile, its parent
+    and its children lie in buckets of the same number at every depth, and a slide spreads over many. path: a folder for the tables, else the
+    warehouse. Rows without a position are left out.
+    """
+    for depth in depths:
+        rows = tiles.where((F.col("depth") == depth) & F.col("col").isNotNull() & F.col("row").isNotNull()).withColumn("code", morton())
+        rows = rows.withColumn("top", F.shiftright("code", 2 * (max(depths) - depth)))
+        out = rows.repartition(buckets, slide, "top").write.mode("overwrite").bucketBy(buckets, slide, "top").sortBy(slide, "top", "code")
+        out = out.option("path", f"{path}/{depth}") if path else out
+        out.saveAsTable(_level_table(table, depth))
+
+
+def stored_tree(spark: SparkSession, table: str, depths: tuple[int, ...], slide: str = "slide_name", keep: tuple[str, ...] = ("col", "row")) -> DataFrame:
+    """(slide, {column}_{depth}...): each tile of the largest depth with its descendants at all others; where there are none, nulls.
+
+    Neighbouring depths may differ by more than one. Joins are by bucket: no level is shuffled, however many there are, if the session lets
+    a join use buckets of some of its keys (spark.sql.requireAllClusterKeysForCoPartition off, as in this engine's sessions). Tiles whose parent
+    isn't stored have no row.
+    """
+    order = sorted(depths, reverse=True)
+    out = None
+    for i, depth in enumerate(order):
+        level = spark.table(_level_table(table, depth)).select(F.col(slide), F.col("top"), F.col("code").alias(f"code_{depth}"), *(F.col(c).alias(f"{c}_{depth}") for c in keep))
+        if out is None:
+            out = level
+            continue
+        up = order[i - 1]
+        level = level.withColumnsRenamed({slide: "_slide", "top": "_top"})
+        on = (out[slide] == F.col("_slide")) & (out["top"] == F.col("_top")) & (F.col(f"code_{up}") == F.shiftright(f"code_{depth}", 2 * (up - depth)))
+        out = out.join(level, on, "left").drop("_slide", "_top")
+    return out.select(slide, *(f"{c}_{d}" for d in order for c in keep))
+
+
 def grid_size(width: int, height: int, depth: int, tile_size: int = 224) -> tuple[int, int]:
     """Columns and rows of a level, for planning on the driver."""
     return tuple(ceil(ceil(x / 2**depth) / tile_size) for x in (width, height))

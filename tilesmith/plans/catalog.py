@@ -436,6 +436,25 @@ def tile_resume_anti(spark: SparkSession, d: str) -> DataFrame:
     return tiling.pending(grid, grid.where("(slide_name + col + row) % 3 = 0"))
 
 
+THREE = GRID.replace("(VALUES (0), (1)) t(m)", "(VALUES (0), (1), (2)) t(m)")
+
+
+@query(
+    f"""WITH {THREE}, t AS (SELECT slide_name, level, col, "row" FROM grid WHERE (slide_name + 3 * col + 5 * "row" + level) % 4 <> 0)
+SELECT a.slide_name, a.col AS col_2, a."row" AS row_2, b.col AS col_1, b."row" AS row_1, c.col AS col_0, c."row" AS row_0 FROM (SELECT * FROM t WHERE level = 2) a
+LEFT JOIN (SELECT * FROM t WHERE level = 1) b ON a.slide_name = b.slide_name AND b.col // 2 = a.col AND b."row" // 2 = a."row"
+LEFT JOIN (SELECT * FROM t WHERE level = 0) c ON b.slide_name = c.slide_name AND c.col // 2 = b.col AND c."row" // 2 = b."row" """
+)
+def tree_of_three_levels(spark: SparkSession, d: str) -> DataFrame:
+    """A stored tree over three magnifications, some tiles of each dropped by a formula; joined by bucket."""
+    grid = tiling.tile_grid(tiling.level_plan(_slides(spark, d), 20, (0, 1, 2)))
+    tiles = grid.where("(slide_name + 3 * col + 5 * row + level) % 4 <> 0").select("slide_name", F.col("level").alias("depth"), "col", "row")
+    path = scratch_path(spark, "levels")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    tiling.store_levels(tiles, table, (0, 1, 2), path, buckets=8)
+    return tiling.stored_tree(spark, table, (0, 1, 2))
+
+
 # ---- paths and labels ----
 
 
