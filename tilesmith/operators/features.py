@@ -7,7 +7,8 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,9 +62,18 @@ class TorchEmbedder:
         return out.cpu().numpy()
 
 
-def embedded(patches: DataFrame, embedder: Embedder, pixels: str = "pixels", batch: int = BATCH) -> DataFrame:
+def placed(spark: SparkSession, tasks: TaskResourceRequests) -> ResourceProfile | None:
+    """A profile for the stage of a model, e.g. placed(spark, TaskResourceRequests().resource("gpu", 0.5)); None on a master that has none, such as a local one."""
+    if not spark.sparkContext.master.startswith(("spark://", "yarn", "k8s://", "local-cluster")):
+        return None
+    return ResourceProfileBuilder().require(tasks).build
+
+
+def embedded(patches: DataFrame, embedder: Embedder, pixels: str = "pixels", batch: int = BATCH, profile: ResourceProfile | None = None) -> DataFrame:
     """patches with features array<double> and token_idx instead of its pixels.
 
+    profile: resources that the model's stage asks for, and no other (see ``placed``).
+
     An Arrow mapper: whatever the size of Arrow's batches, the model sees at most ``batch`` rows
     at a time. A model with several tokens a patch gives a row for each, which keeps its patch's columns.
     """
@@ -84,7 +94,7 @@ def embedded(patches: DataFrame, embedder: Embedder, pixels: str = "pixels", bat
                 ends = pa.array(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.tile(np.arange(n, dtype=np.int32), len(x))), pa.ListArray.from_arrays(ends, pa.array(flat.ravel()))], [*rest, "token_idx", "features"])
 
-    return patches.select(*rest, pixels).mapInArrow(run, schema)
+    return patches.select(*rest, pixels).mapInArrow(run, schema, profile=profile)
 
 
 def token_rows(features: DataFrame, width: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilesmith.functions import paths, vectors
+from tilesmith.sources import workbooks
 
 IMAGES = ("jpg", "jpeg")
 COHORT = "ESKD string, Mors string, Mors_year int, Transplant string, Dialysis string"
@@ -63,16 +64,13 @@ def csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame
 
 
 def register(spark: SparkSession, path: str, schema: str = REGISTER) -> DataFrame:
-    """A register from Parquet, CSV, or the first sheet of a workbook (on the driver, if its reader is installed)."""
+    """A register from Parquet, CSV, or the first sheet of a workbook; columns by name. Old binary workbooks are refused."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
-    if path.endswith((".xlsx", ".xls")):
-        try:
-            sheet = pd.read_excel(path, dtype=str)
-        except ImportError as e:
-            raise ImportError("reading workbooks needs openpyxl; save the register as CSV or Parquet instead") from e
-        wanted = T.StructType.fromDDL(schema)
-        return spark.createDataFrame(sheet.reindex(columns=wanted.names).astype(object).where(lambda x: x.notna(), None), wanted)
+    if path.endswith(".xls"):
+        raise ValueError("save the old workbook as .xlsx, CSV or Parquet")
+    if path.endswith(".xlsx"):
+        return workbooks.sheet(spark, path, schema)
     return csv(spark, path, schema)
 
 
