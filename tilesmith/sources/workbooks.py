@@ -118,7 +118,8 @@ def sheet(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFra
     """The first sheet of each workbook under path, whose first row has names; columns by name, as ``files.csv`` gives them.
 
     Whole numbers are texts without a fraction, dates ISO texts, before they are cast to the schema's types; what can't be
-    cast, errors, and columns that a sheet lacks are null. Of columns of one name the first counts. A file that is no workbook stops the job.
+    cast, errors, and columns that a sheet lacks are null. Of columns of one name the first counts. A file that is no workbook stops the job;
+    among several, files without a byte are passed over.
     """
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names = wanted.names
@@ -143,8 +144,7 @@ def sheet(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFra
                     yield made(held)
 
     books = spark.read.format("binaryFile").load(path)
-    empty = books.where("length = 0").select("path").first()  # sizes alone are looked at
-    if empty:
-        raise ValueError(f"{empty.path} is empty and no workbook")
+    if books.select("path").isEmpty():  # Spark passes over files without a byte
+        raise ValueError(f"no workbook at {path}, or an empty file")
     texts = books.select("content").mapInArrow(run, ", ".join(f"c{i} string" for i in range(len(names))))
     return texts.select(*(F.col(f"c{i}").try_cast(f.dataType).alias(f.name) for i, f in enumerate(wanted.fields)))
