@@ -1,7 +1,8 @@
+import pytest
+import random
 import re
 import time
 
-import pytest
 from tilesmith.llm import pii
 from tilesmith.llm.registry import QUERIES
 
@@ -121,3 +122,23 @@ def test_no_name_of_the_corpus_is_given_to_another(spark, monkeypatch):
     assert len(rows) == len(known)
     # any word of a name is taken for surnames; of two persons of one surname one draws another given name
     assert min(attempts[x] for x in ("adler", "berg", "lang")) > 0 and sorted((attempts["m:carlo marino"], attempts["m:otto marino"])) == [0, 1]
+
+
+def test_long_texts_are_read_like_short_ones():
+    """However often a person is told of, it is one person of one gender."""
+    key = b"k"
+    short = pii.replaced(key, "Mrs Simon Berg came. ", {})[0]
+    for n in (10, 64, 65, 70, 300):
+        assert pii.replaced(key, "Mrs Simon Berg came. " * n, {})[0] == short * n
+
+
+def test_names_take_time_in_proportion_to_their_number():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)).title()
+    took = {}
+    for n in (1000, 16_000):
+        texts = [" ".join(f"Mr Simon {word()} came." for _ in range(n)), " ".join(f"Mr {word()} Berg and Mr Berg and Anna Berg came." for _ in range(n)), " ".join(f"Dr {word()} Berg and A. Berg came." for _ in range(n))]
+        start = time.process_time()
+        assert all(len(pii.entities(t)) >= n for t in texts)
+        took[n] = time.process_time() - start
+    assert took[16_000] < 60 * took[1000]  # 256 times would be the square

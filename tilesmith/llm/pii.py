@@ -104,14 +104,19 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
     for m in NAME.finditer(text):
         if m[2][0].isupper():
             found.append((*m.span(2), GENDER[m[1]]))
+    titled, i, last_end = found[:], 0, 0
     for m in PERHAPS.finditer(text):
         if m[0].casefold() in GIVEN_GENDER:
             full = FULL.match(text, m.start())
-            if full and not any(a < full.end() and full.start() < b for a, b, _ in found[-64:]):
+            while i < len(titled) and titled[i][1] <= m.start():  # both lists go through the text once
+                i += 1
+            if full and last_end <= m.start() and (i == len(titled) or full.end() <= titled[i][0]):
                 found.append((*full.span(), ""))
+                last_end = full.end()
     if not found:
         return []
     mentions, people = [], {}  # people: (given names, surname) -> gender
+    of_surname: dict[str, list[tuple[str, str]]] = {}
     for a, b, gender in sorted(found):
         words = [x.casefold() for x in PIECE.findall(text[a:b])]
         if len(words) == 1 and words[0] in GIVEN_GENDER:
@@ -120,18 +125,30 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
         given = [x for x in words[:-1] if len(x) > 1]
         if given:
             key = (given[0], words[-1])
+            if key not in people:
+                of_surname.setdefault(key[1], []).append(key)
             people[key] = people.get(key) or gender or GIVEN_GENDER.get(given[0], "")
     out, last = [], {}
+    fitting: dict[tuple, dict] = {}  # (surname, initial, gender) -> who it may be, while none of that surname gets another gender
+
+    def may_be(surname: str, initial: str, gender: str) -> dict:
+        key = (surname, initial, gender)
+        if key not in fitting:
+            known = [k for k in of_surname.get(surname, ()) if k[0].startswith(initial)]
+            fitting[key] = dict.fromkeys([k for k in known if gender and people[k] == gender] or [k for k in known if not gender or not people[k]])
+        return fitting[key]
+
     for a, b, gender, words in mentions:
         surname, given = words[-1], [x for x in words[:-1] if len(x) > 1]
-        known = [k for k in people if k[1] == surname and (not words[:-1] or k[0].startswith(words[0][0]))]
         if given:
             who = (given[0], surname)
         else:
-            fits = [k for k in known if gender and people[k] == gender] or [k for k in known if not gender or not people[k]]
-            who = last.get(surname) if last.get(surname) in fits else fits[0] if fits else ("", surname)
+            fits = may_be(surname, words[0][0] if words[:-1] else "", gender)
+            who = last.get(surname) if last.get(surname) in fits else next(iter(fits), ("", surname))
         if who[0] and gender and not people[who]:
             people[who] = gender
+            for key in [k for k in fitting if k[0] == surname]:
+                del fitting[key]
         last[surname] = who
         out.append((a, b, who, gender))
     # words of these persons that stand alone
@@ -139,7 +156,7 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
     for who in [*people, *(w for _, _, w, _ in out)]:
         for x in who:
             if len(x) > 1:
-                alone.setdefault(x, []).append(who)
+                alone.setdefault(x, {})[who] = None
     taken = [(a, b) for a, b, *_ in out]
     i = 0
     for m in re.finditer(rf"(?<!\w){WORD}", text) if alone else ():
@@ -147,10 +164,12 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
             i += 1
         if (i == len(taken) or m.end() <= taken[i][0]) and (fits := alone.get(m[0].casefold())):
             start = m.start()
-            if m[0].casefold() == fits[0][1] and (first := INITIALS.search(text, max(start - 6, taken[i - 1][1] if i else 0), start)):
+            if m[0].casefold() == next(iter(fits))[1] and (first := INITIALS.search(text, max(start - 6, taken[i - 1][1] if i else 0), start)):
                 start = first.start()
-                fits = [w for w in fits if w[0][:1] == first[0][0].casefold()] or fits
-            out.append((start, m.end(), fits[0], ""))
+                who = next((w for w in fits if w[0][:1] == first[0][0].casefold()), next(iter(fits)))
+            else:
+                who = next(iter(fits))
+            out.append((start, m.end(), who, ""))
     return [(a, b, "name", f"{people.get(who) or gender}:{' '.join(x for x in who if x)}" if who[0] else f"{gender}:{who[1]}") for a, b, who, gender in out]
 
 
