@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tilesmith.config import FeatureConfig, TilingConfig
+from tilesmith.config import FeatureConfig, TilingConfig, renamed
 from tilesmith.functions import ids, images, paths, vectors
 from tilesmith.operators import cohort, features, manifest, mil, tiling
 
@@ -259,3 +259,19 @@ def test_a_stored_tree_of_many_levels_is_joined_without_a_shuffle(spark, tmp_pat
         for n in (3, 4):
             for d in range(4):
                 spark.sql(f"drop table if exists levels_{n}_{d}")
+
+
+def test_weight_rules():
+    stored = ["features.0.weight", "features.1.weight", "features.1.bias", "l1.weight", "l1.bias", "l2.weight", "l2.bias"]
+    wanted = ["feature_extractor.0.weight", "feature_extractor.1.weight", "feature_extractor.1.bias", "fc.weight"]
+    assert renamed(stored, wanted) == dict(zip(stored[:3], wanted))
+    assert renamed(stored, wanted[:2]) == dict(zip(stored[:2], wanted)) and renamed(stored[:5], wanted) == {stored[0]: wanted[0]}
+    for bad in ((stored[:4], wanted), ([], wanted), (["a", "a", *stored[3:]], wanted), (stored, ["x", "x"])):
+        with pytest.raises(ValueError):
+            renamed(*bad)
+    tree = {"backbone": "resnet18", "magnification": "tree"}
+    assert FeatureConfig(**tree, weights_low="a", weights_high="b").weights_high == "b"
+    assert FeatureConfig(**tree, weights="ImageNet", norm_layer="batch").width == 512
+    for bad in (tree, tree | {"weights_low": "a"}, tree | {"weights_low": "a", "weights_high": "latest"}, {"weights_high": "ImageNet"}):
+        with pytest.raises(ValueError):
+            FeatureConfig(**bad)

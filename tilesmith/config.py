@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 BACKBONES = ("resnet18", "resnet34", "resnet50", "resnet101", "UNI2-h", "H-optimus-1", "Virchow2")
@@ -53,11 +54,32 @@ class FeatureConfig:
                 raise ValueError(f"unknown {name} {value!r}: use one of {known}")
         if self.magnification == "tree" and not self.backbone.startswith("resnet"):
             raise NotImplementedError("tree features need a residual network backbone")
-        if self.weights == "ImageNet" and self.norm_layer != "batch":
+        own = (self.weights, self.weights_low, self.weights_high)
+        if "ImageNet" in own and self.norm_layer != "batch":
             raise ValueError("ImageNet weights need norm_layer='batch'")
-        if self.weights in ("", "latest"):
+        if any(w in ("", "latest") for w in own):
             raise ValueError("weights must be named; no file is picked by listing order")
+        if self.magnification == "tree" and "ImageNet" not in own and None in own[1:]:
+            raise ValueError("tree features need weights_low and weights_high")
 
     @property
     def width(self) -> int:
         return WIDTHS[self.backbone]
+
+
+#: Fixed value: entries at the end of a contrastive checkpoint that are its projection head's.
+HEAD_ENTRIES = 4
+
+
+def renamed(stored: Sequence[str], wanted: Sequence[str], head: int = HEAD_ENTRIES) -> dict[str, str]:
+    """Names of a checkpoint's entries -> those of a network, by position, without the head at the checkpoint's end.
+
+    Names don't matter, only their order. The shorter list ends the mapping: other entries of the network keep what they were
+    made with. A checkpoint of a head alone, or repeated names, are refused.
+    """
+    body = list(stored)[: max(0, len(stored) - head)]
+    if not body:
+        raise ValueError(f"a checkpoint of {len(stored)} entries has none beside its head")
+    if len(set(body)) < len(body) or len(set(wanted)) < len(wanted):
+        raise ValueError("names of entries repeat")
+    return dict(zip(body, wanted))
