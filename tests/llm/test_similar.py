@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -148,3 +149,35 @@ def test_families_around_the_limit_have_all_their_links(spark, monkeypatch, most
     want = brute(rows)
     assert 30 < len(set(want.values())) < len(rows) - 30
     assert groups(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_groups_of_a_whole_table_equal_brute_force(spark):
+    """All 10,000 documents of sf0.1: every pair at 0.8 is sought by the rarest shingles of both, which such a pair must share."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    by_set = {}
+    for r in docs.collect():
+        by_set.setdefault(frozenset(simhash.shingles(r.text, 5)), []).append(r.doc_id)
+    sets = {min(ids): s for s, ids in by_set.items()}
+    count = {}
+    for s in sets.values():
+        for x in s:
+            count[x] = count.get(x, 0) + 1
+    post, at, n_pairs = {}, {i: i for i in sets}, 0
+
+    def up(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for i, s in sorted(sets.items()):
+        rare = sorted(s, key=lambda x: (count[x], x))[: len(s) - math.ceil(0.8 * len(s)) + 1]
+        for j in {j for x in rare for j in post.get(x, ())}:
+            if len(s & sets[j]) >= 0.8 * len(s | sets[j]):
+                n_pairs += 1
+                a, b = up(i), up(j)
+                at[max(a, b)] = min(a, b)
+        for x in rare:
+            post.setdefault(x, []).append(i)
+    assert n_pairs >= 48
+    want = {d: up(min(ids)) for ids in by_set.values() for d in ids}
+    assert groups(docs) == want

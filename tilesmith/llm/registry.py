@@ -37,6 +37,7 @@ def token_digests(docs: DataFrame) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts; a null one is empty, with no ids and the hash of nothing. Repeated rows are rows each, an empty table gives none."""
     return token_digests(table(spark, sf_dir, "documents"))
 
 
@@ -52,6 +53,7 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts alone are scored; null and empty ones have one score. Rows of a null doc_id aren't held out; without labels all scores are 0.5."""
     rows = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
     return rows.select("doc_id", "held_out", "score", "predicted")
 
@@ -66,6 +68,7 @@ def op6_decontamination_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next is by doc_id, and rows of one id by their text's hash; a null text is empty, a table of one row is its own next."""
     rows = imatch.fingerprints(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_chars", "edited_sha256", imatch.told(F.col("fp")).alias("fingerprint"), imatch.told(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
 
@@ -75,6 +78,7 @@ PII_KEY = b"key of the registered query"
 
 
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text with surrogates; a null text stays null, one without entities stays as it is. kinds: of each mention, in the text's order."""
     rows = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     return rows.select("doc_id", "text", F.size("kinds").cast("long").alias("n_replaced"), F.array_join("kinds", ",").alias("kinds"))
 
