@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import importlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import ceil
 from typing import Protocol
 
@@ -168,20 +169,29 @@ def read_tiles(grid: DataFrame, backend: str = "synthetic", tile_size: int = 224
     return dealt.mapInArrow(run, f"{kinds}, pixels binary, edge double, error string")
 
 
-class _Tiles(InputPartition):
+@dataclass
+class _Block:
     """Rows of tiles of one level of a slide: its size and offset are known from planning."""
 
-    def __init__(self, path: str, depth: int, rows: range, size: tuple[int, int], offset: tuple[int, int]) -> None:
-        self.path, self.depth, self.rows, self.size, self.offset = path, depth, rows, size, offset
+    path: str
+    depth: int
+    rows: range
+    size: tuple[int, int]
+    offset: tuple[int, int]
+
+
+class _Tiles(InputPartition):
+    def __init__(self, blocks: list[_Block]) -> None:
+        self.blocks = blocks
 
 
 class TileSource(DataSource):
-    """spark.read.format("tilesmith_tiles"): the tiles of levels of slides, a partition for each slide, level and block of rows.
+    """spark.read.format("tilesmith_tiles"): the tiles of levels of slides, by blocks of rows; small blocks share a partition.
 
     Options: described, a Parquet table of (path, width, height) with offset_x and offset_y if slides are ``bounded`` (see
     ``described`` and ``tiling.with_bounds``), so that planning opens no slide; or paths, separated by ;, which the driver opens
-    and cuts down to their bounds (bounds=false: not). depths (a comma between), tile_size, block (rows of tiles in a
-    partition), backend.
+    and cuts down to their bounds (bounds=false: not). depths (a comma between), tile_size, block (rows of tiles
+    in a block), tiles (of a partition, at least, if there are so many), backend.
 
     rows and cols ("2:5", either end may be missing), depths and above (tiles of an edge score over it, and those that can't be
     read) say what to read: nothing else is planned or read, and no pixel of other tiles leaves the worker. They are options and not
@@ -215,6 +225,7 @@ class TileReader(DataSourceReader):
         self.described = options.get("described")
         self.depths = [int(x) for x in str(options.get("depths", options.get("depth", 0))).split(",")]
         self.size, self.block = (int(options.get(k, d)) for k, d in (("tile_size", 224), ("block", 4)))
+        self.tiles = int(options.get("tiles", 32))
         self.backend, self.bounds = options.get("backend", "synthetic"), options.get("bounds", "true").lower() != "false"
         self.rows, self.cols = options.get("rows"), options.get("cols")
         self.above = float(options["above"]) if "above" in options else None
@@ -237,22 +248,38 @@ class TileReader(DataSourceReader):
             own = [int(props.get(f"openslide.bounds-{k}", d)) for k, d in (("width", w), ("height", h), ("x", 0), ("y", 0))] if self.bounds else [w, h, 0, 0]
             yield p, *own
 
-    def partitions(self) -> list[InputPartition]:
-        out = []
+    def _blocks(self) -> Iterator[tuple[_Block, int]]:
+        """Blocks, and how many tiles each has."""
         for path, w, h, x, y in self._slides():
             for d in self.depths:
                 size = ceil(w / 2**d), ceil(h / 2**d)
-                rows = _within(self.rows, ceil(size[1] / self.size))
-                out += [_Tiles(path, d, rows[i : i + self.block], size, (x, y)) for i in range(0, len(rows), self.block)]
-        return out or [_Tiles("", 0, range(0), (0, 0), (0, 0))]
+                rows, cols = _within(self.rows, ceil(size[1] / self.size)), _within(self.cols, ceil(size[0] / self.size))
+                for i in range(0, len(rows) if cols else 0, self.block):
+                    own = rows[i : i + self.block]
+                    yield _Block(path, d, own, size, (x, y)), len(own) * len(cols)
+
+    def partitions(self) -> list[InputPartition]:
+        out, held, n = [], [], 0
+        for block, tiles in self._blocks():
+            held.append(block)
+            n += tiles
+            if n >= self.tiles:
+                out.append(_Tiles(held))
+                held, n = [], 0
+        return [*out, _Tiles(held)] if held or not out else out
 
     def read(self, partition: _Tiles) -> Iterator[tuple]:
-        reader, (w, h), n = opened(self.backend), partition.size, self.size
-        for row in partition.rows:
+        reader = opened(self.backend)
+        for b in partition.blocks:
+            yield from self._tiles_of(reader, b)
+
+    def _tiles_of(self, reader: SlideBackend, b: _Block) -> Iterator[tuple]:
+        (w, h), n = b.size, self.size
+        for row in b.rows:
             for col in _within(self.cols, ceil(w / n)):
                 x, y = col * n, row * n
                 try:
-                    region = reader.region(partition.path, partition.depth, x, y, min(n, w - x), min(n, h - y), *partition.offset)
+                    region = reader.region(b.path, b.depth, x, y, min(n, w - x), min(n, h - y), *b.offset)
                     edge = edge_value(region, n)
                     if self.above is not None and edge <= self.above:
                         continue
@@ -261,7 +288,7 @@ class TileReader(DataSourceReader):
                     raise
                 except Exception as e:
                     made = (None, None, f"{type(e).__name__}: {e}")
-                yield partition.path, partition.depth, col, row, *made
+                yield b.path, b.depth, col, row, *made
 
 
 def register(spark: SparkSession) -> None:
