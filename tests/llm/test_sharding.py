@@ -41,6 +41,7 @@ def test_slots_over_many_parts_and_many_heavy_groups(spark, monkeypatch):
     df = spark.range(3000).selectExpr("id as doc_id", "concat('text of ', id % 1500) as text", "'s' as source", "'en' as lang")
     rows = sharding.kd_shards(df, shards=8).collect()
     assert len(rows) == 3000 and gapless(rows)
+    monkeypatch.setattr(sharding, "CHUNK_ROWS", 400)
     monkeypatch.setattr(sharding, "HEAVY", 1e-9)  # each group is placed by itself, the heaviest first
     rows = sharding.kd_shards(df, shards=7).collect()
     total = loads(rows)
@@ -57,6 +58,42 @@ def test_cuts_follow_the_tree(spark):
     assert len(five) == 5 and max(five.values()) - min(five.values()) <= 5 * 8 + 40
 
 
+def test_cuts_are_weighted_medians_of_the_widest_dimension(spark):
+    """Each cut of the tree, found again from the rows alone: it parts the widest dimension, and the weight as the leaves."""
+    df = spark.range(4000).selectExpr("id * 3 as doc_id", "concat('t', id, repeat('x', cast(pmod(hash(id), 97) as int))) as text", "cast(pmod(xxhash64(id), 10000) as double) as a")
+    dims, n = ("doc_id", "a"), 6
+    texts = {r.doc_id: r for r in df.collect()}
+    got = sharding.kd_shards(df, shards=n, dims=dims).collect()
+    points = [((r.doc_id, texts[r.doc_id].a, r.size - 1), r.size, r.shard) for r in got]
+    span = [max(p[0][j] for p in points) - min(p[0][j] for p in points) for j in range(3)]
+    goal = sum(p[1] for p in points) / n
+
+    def check(rows, first, m):
+        if m == 1:
+            assert {p[2] for p in rows} == {first}
+            return
+        wide = max(range(3), key=lambda j: ((max(p[0][j] for p in rows) - min(p[0][j] for p in rows)) / span[j], -j))
+        left = [p for p in rows if p[2] < first + m // 2]
+        right = [p for p in rows if p[2] >= first + m // 2]
+        assert max(p[0][wide] for p in left) <= min(p[0][wide] for p in right)
+        assert abs(sum(p[1] for p in left) - sum(p[1] for p in rows) * (m // 2) / m) <= goal * sharding.TOLERANCE + 100
+        check(left, first, m // 2)
+        check(right, first + m // 2, m - m // 2)
+
+    check(points, 0, n)
+
+
+def test_many_nodes(spark, monkeypatch):
+    """Hundreds of nodes at once: the driver gets a row a node, tables of cuts are no literals, a level is stored."""
+    monkeypatch.setattr(sharding, "LITERAL_ROWS", 20)
+    monkeypatch.setattr(sharding, "STORE_LEVELS", 2)
+    df = spark.range(20_000).selectExpr("id as doc_id", "concat('text ', lpad(id, 6, '0')) as text", "cast(id % 7 as string) as source", "'en' as lang")
+    rows = sharding.kd_shards(df, shards=150).collect()
+    total = loads(rows)
+    assert len(rows) == 20_000 and gapless(rows) and len(total) == 150
+    assert max(total.values()) - min(total.values()) <= 16 * 12
+
+
 def test_edges(spark):
     rows = [(None, None, None), (1, "", "s"), (1, "", "s"), (2, "é" * 400, "s"), (3, "x" * 100_000, None)] + [(10 + i, "copy " * 40, "s") for i in range(3000)] + [(5000 + i, f"own {i} " * 20, f"s{i % 7}") for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' as lang", "7 as shard", "8 as size", "9 as node", "1 as d0", "1 as hash")
