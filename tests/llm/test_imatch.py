@@ -76,3 +76,20 @@ def test_edges(spark, monkeypatch):
     assert len(one) == 1 and one[0].near_next == 1
     tied = df.where("doc_id > 4").selectExpr("cast(null as long) as doc_id", "text").union(df.where("doc_id in (5, 6)").selectExpr("5L", "text"))
     assert imatch.fingerprints(tied).count() == 6
+
+
+def test_runs_are_of_one_size(spark, monkeypatch):
+    """Also where a third of all rows has no id, and others share one; rows that share id and text stay together."""
+    monkeypatch.setattr(imatch, "RUN_DOCS", 50)
+    df = spark.range(6000).selectExpr("case when id < 2000 then null when id < 3500 then 7 else id * 11 end as doc_id", "concat('text ', id) as text")
+    rows = imatch.neighbours(df).where("not ghost").select("run", "doc_id", "text", "next").collect()
+    sizes = Counter(r.run for r in rows)
+    assert len(rows) == 6000 and max(sizes.values()) <= 50 and len(sizes) <= 6000 / 50 + 12
+    follows = {r.text: r.next for r in rows}
+    seen, at = set(), rows[0].text
+    while at not in seen:  # one circle through all rows
+        seen.add(at)
+        at = follows[at]
+    assert len(seen) == 6000
+    same_rows = df.union(spark.range(300).selectExpr("7L as doc_id", "'twin' as text"))
+    assert imatch.neighbours(same_rows).where("not ghost").count() == 6300

@@ -8,17 +8,19 @@ term, so the share of equal hashes grades likeness. The band's lower end bounds
 terms in at least a share s of all documents number at most (mean distinct terms a document) / s,
 whatever the corpus, and its size is checked before it is broadcast.
 
-Documents are dealt once, with their texts, into runs of neighbouring doc_ids; each run also
+Documents are dealt once, with their texts, into runs of RUN_DOCS neighbours by doc_id; each run also
 gets a copy of the next run's first document, so that "the next document" is found inside the run.
 Terms are looked up and gathered inside the same partitions.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilesmith.llm.common import small, written
+from tilesmith.llm.common import dropped, small, written
 
 #: Shares of all documents between which a lexicon term's document frequency lies.
 BAND = (0.0005, 0.2)
@@ -29,9 +31,10 @@ LEAST_DOCS = 2
 FAMILIES = 4
 LEVELS = 12
 SUBSETS = 1 + FAMILIES * LEVELS
-#: Documents in a run, and runs at most (more documents make longer runs).
+#: Documents in a run.
 RUN_DOCS = 2000
-MOST_RUNS = 10_000
+#: First keys of runs, 32 bytes each, beyond which they are joined by a shuffle instead of a broadcast.
+MOST_CUTS = 4_000_000
 #: Lexicon terms beyond which it is joined by a shuffle instead of a broadcast.
 BROADCAST_TERMS = 1_000_000
 
@@ -101,16 +104,43 @@ def likeness(a: str, b: str) -> Column:
     return F.aggregate(pairs, start, add, lambda s: s["same"] / s["all"])
 
 
-def _run_of(cuts: list[int]) -> Column:
-    """How many of the sorted cuts are at most doc_id; two short lists are looked through instead of one long one."""
-    if not cuts:
-        return F.lit(0)
-    step = int(len(cuts) ** 0.5) + 1
-    parts = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+def _last_at_most(cuts: Column, key: Column, steps: int) -> Column:
+    """Place of the last of the ascending cuts that is at most key, by halving; the first one is. steps: halvings that one cut is left after."""
+    middle = lambda s: F.shiftright(s["lo"] + s["hi"], 1)
+    ends = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    halved = lambda s, _: F.when(F.get(cuts, middle(s)) <= key, ends(middle(s), s["hi"])).otherwise(ends(s["lo"], middle(s)))
+    return F.aggregate(F.array_repeat(F.lit(0), steps), ends(F.lit(0), F.size(cuts)), halved, lambda s: s["lo"])
+
+
+def _with_runs(rows: DataFrame) -> DataFrame:
+    """rows of (doc_id, text, hash), with their run, and whether they are its first row.
+
+    Runs are RUN_DOCS rows in order of (doc_id, hash), however many: the keys alone are put in order, in about as many
+    parts as a part then has runs, and each RUN_DOCS-th key of a part is a cut. A row finds its part among the parts'
+    first keys and its run among the cuts of the part. Rows that share id and hash are in one run.
+    """
+    key = F.struct("doc_id", "hash")
+    keys = written(rows.select("doc_id", "hash"), "keys")
+    parts = max(1, isqrt(keys.count() // RUN_DOCS))
+    w = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "hash")
+    placed = keys.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "hash").withColumn("part", F.spark_partition_id())
+    cuts = placed.withColumn("i", F.row_number().over(w)).where((F.col("i") - 1) % RUN_DOCS == 0).groupBy("part").agg(F.array_sort(F.collect_set(key)).alias("cuts"))
+    cuts = written(cuts, "cuts")
+    dropped(keys)
+    found = cuts.select("part", F.get("cuts", F.lit(0)).alias("first"), F.size("cuts").alias("n")).orderBy("part").collect()  # a row a part
+    if not found:
+        return rows.withColumns({"run": F.lit(0).cast("long"), "runs": F.lit(1).cast("long"), "is_first": F.lit(True)})
     longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
-    behind = lambda xs: F.size(F.filter(xs, lambda x: x <= F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))))
-    part = behind(longs([p[0] for p in parts]))
-    return F.when(part == 0, 0).otherwise((part - 1) * step + behind(F.element_at(F.array(*map(longs, parts)), F.greatest(part, F.lit(1)))))
+    firsts = F.arrays_zip(longs(r.first.doc_id for r in found).alias("doc_id"), longs(r.first.hash for r in found).alias("hash"))
+    starts, total = [0], sum(r.n for r in found)
+    for r in found[:-1]:
+        starts.append(starts[-1] + r.n)
+    place = _last_at_most(firsts, key, len(found).bit_length())
+    rows = rows.withColumn("place", place).withColumns({"_part": F.get(F.array(*(F.lit(r.part) for r in found)), "place"), "start": F.get(longs(starts), "place")})
+    side = cuts.select(F.col("part").alias("_part"), "cuts")
+    rows = rows.join(F.broadcast(side) if total <= MOST_CUTS else side, "_part")
+    rows = rows.withColumn("at", _last_at_most(F.col("cuts"), key, max(r.n for r in found).bit_length()))
+    return rows.select("doc_id", "text", "hash", (F.col("start") + F.col("at")).alias("run"), F.lit(total).cast("long").alias("runs"), (F.get("cuts", "at") == key).alias("is_first"))
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,18 +150,9 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Ties of doc_id are in order of a hash of the text; null ids come first; a null text counts as empty.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    n = docs.count()
-    many = max(1, min(MOST_RUNS, -(-n // RUN_DOCS)))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / many for i in range(1, many)], 20 * many)).first()[0] if many > 1 else None  # sketches of fixed size
-    rows = rows.withColumn("run", _run_of(sorted(set(cuts or []))))
-    first = rows.groupBy("run").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "hash")).alias("f"))
-    first = written(first, "firsts")  # at most MOST_RUNS rows
-    order = Window.partitionBy(F.lit(0)).orderBy("run")
-    before = F.coalesce(F.lag("run").over(order), F.max("run").over(Window.partitionBy(F.lit(0))))
-    first = first.select(F.col("f.doc_id").alias("_id"), F.col("f.hash").alias("_hash"), before.alias("before"))
-    rows = rows.join(F.broadcast(first), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
-    own, ghost = F.struct("run", F.lit(False).alias("ghost")), F.struct(F.col("before").alias("run"), F.lit(True).alias("ghost"))
-    rows = rows.select("doc_id", "text", "hash", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, ghost))).alias("r"))
+    rows = _with_runs(rows)
+    own, ghost = F.struct("run", F.lit(False).alias("ghost")), F.struct(F.pmod(F.col("run") - 1, F.col("runs")).alias("run"), F.lit(True).alias("ghost"))
+    rows = rows.select("doc_id", "text", "hash", F.explode(F.when(F.col("is_first"), F.array(own, ghost)).otherwise(F.array(own))).alias("r"))
     rows = rows.select("r.run", "r.ghost", "doc_id", "hash", "text").repartition("run")
     w = Window.partitionBy("run").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "hash")
     return rows.select("run", F.row_number().over(w).alias("pos"), "ghost", "doc_id", "text", F.lead("text").over(w).alias("next"))
