@@ -1,5 +1,6 @@
 """Backends that executors import by name."""
 
+import numpy as np
 from tilesmith.sources.slides import SyntheticBackend
 
 
@@ -20,3 +21,15 @@ class Counting:
 class Bounded(SyntheticBackend):
     def describe(self, path):
         return 1000, 800, {"openslide.bounds-x": "64", "openslide.bounds-y": "32", "openslide.bounds-width": "300"}
+
+
+class Labelled(SyntheticBackend):
+    """A label for each slide, and a macro that can't be read for some."""
+
+    def associated(self, path):
+        if "plain" in path:
+            return
+        yield "label", np.full((2, 3, 3), len(path), np.uint8)
+        if "broken" in path:
+            raise OSError("unreadable macro")
+        yield "macro", np.zeros((4, 1, 3), np.uint8)

@@ -28,6 +28,15 @@ def test_discovery(spark, tmp_path):
         slides.checked(slides.discovered(spark, str(tmp_path / "none")))
 
 
+def test_associated_images(spark):
+    """Two images of a slide, none of a plain one, an error row where one can't be read; a column of the same name gives way."""
+    df = spark.createDataFrame([("c/a.svs", "c"), ("c/broken.svs", "c"), ("c/plain.svs", "c")], "path string, class_dir string").selectExpr("*", "7 as width")
+    rows = slides.associated_images(df, "tests.backends:Labelled").orderBy("path", F.col("image").asc_nulls_last()).collect()
+    assert [(r.path, r.image, r.width, r.height) for r in rows] == [("c/a.svs", "label", 3, 2), ("c/a.svs", "macro", 1, 4), ("c/broken.svs", "label", 3, 2), ("c/broken.svs", None, None, None)]
+    assert bytes(rows[0].pixels) == bytes([7]) * 18 and rows[3].error == "OSError: unreadable macro" and rows[0].class_dir == "c"
+    assert slides.associated_images(df).count() == 0 == slides.associated_images(df.limit(0), "tests.backends:Labelled").count()
+
+
 def test_tiles_are_read_filtered_and_stored(spark, tmp_path):
     df = spark.createDataFrame([("c/a.svs", "c", "a"), ("c/broken.svs", "c", "broken")], "path string, class_dir string, slide_name string")
     known = slides.described(df).withColumn("objective", tiling.objective_power())

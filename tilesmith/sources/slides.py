@@ -95,6 +95,10 @@ class OpenSlideBackend:
         own = s.read_region((x * f + offset_x, y * f + offset_y), level, (round(w * f / d), round(h * f / d))).convert("RGB")
         return resized(np.asarray(own), h, w)
 
+    def associated(self, path: str) -> Iterator[tuple[str, np.ndarray]]:
+        for name, image in self._open(path).associated_images.items():
+            yield name, np.asarray(image.convert("RGB"))
+
 
 BACKENDS = {"synthetic": SyntheticBackend, "openslide": OpenSlideBackend}
 
@@ -132,6 +136,38 @@ def described(slides: DataFrame, backend: str = "synthetic") -> DataFrame:
     return rest.mapInArrow(run, T.StructType([*rest.schema, *T.StructType.fromDDL(added)]))
 
 
+def associated_images(slides: DataFrame, backend: str = "synthetic") -> DataFrame:
+    """A row for each image that a slide has beside its levels (label, macro, ...): the columns of slides, with image, width, height, pixels (RGB) and error.
+
+    Images are read one by one where the slide's row is. A slide without any has no row; one that can't be read has a row with
+    an error, after the images that came before it. A backend without ``associated`` has none.
+    """
+    added = "image string, width int, height int, pixels binary, error string"
+    new = [f.name for f in T.StructType.fromDDL(added)]
+    keep = [c for c in slides.columns if c not in new]
+    at, rest = keep.index("path"), slides.select(*keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = opened(backend)
+        images = getattr(reader, "associated", lambda path: ())
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+
+        def told(row: pa.RecordBatch, *values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*row.columns, *(pa.array([v], k) for v, k in zip(values, kinds))], [*keep, *new])
+
+        for b in batches:
+            for i, path in enumerate(b.column(at).to_pylist()):
+                try:
+                    for name, rgb in images(path):
+                        yield told(b.slice(i, 1), name, rgb.shape[1], rgb.shape[0], rgb.tobytes(), None)
+                except ImportError:
+                    raise
+                except Exception as e:  # as in described
+                    yield told(b.slice(i, 1), None, None, None, None, f"{type(e).__name__}: {e}")
+
+    return rest.mapInArrow(run, T.StructType([*rest.schema, *T.StructType.fromDDL(added)]))
+
+
 def read_tiles(grid: DataFrame, backend: str = "synthetic", tile_size: int = 224, threshold: float | None = None, block: int = 16) -> DataFrame:
     """grid (with path, depth, x0, y0, w, h) with pixels, edge and error.
 
