@@ -275,3 +275,31 @@ def test_weight_rules():
     for bad in (tree, tree | {"weights_low": "a"}, tree | {"weights_low": "a", "weights_high": "latest"}, {"weights_high": "ImageNet"}):
         with pytest.raises(ValueError):
             FeatureConfig(**bad)
+
+
+def grids(spark):
+    """Two levels of a few slides, which Spark takes to be as small as the table of slides."""
+    slides = spark.range(6).selectExpr("id as slide_name", "1000 + 300 * cast(id as int) as width", "1500 as height", "20d as objective")
+    grid = tiling.tile_grid(tiling.level_plan(tiling.dealt(slides.coalesce(1)), 20, (0, 1)))
+    return grid, grid.where("level = 1 and (col + row) % 3 <> 0"), grid.where("level = 0 and (slide_name + col) % 5 <> 0")
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slides_are_dealt_before_their_tiles_are_enumerated(spark):
+    grid = planned(grids(spark)[0])
+    assert grid.index("Generate explode(sequence") < grid.index("Exchange hashpartitioning(slide_name")
+
+
+def test_the_tree_broadcasts_no_grid(spark):
+    _, low, high = grids(spark)
+    have = [(r.slide_name, r.col, r.row) for r in high.collect()]
+    want = []
+    for s, c, r in ((x.slide_name, x.col, x.row) for x in low.collect()):
+        own = [k for k in have if k[0] == s and k[1] // 2 == c and k[2] // 2 == r]
+        want += [(s, c, r, *k[1:]) for k in own] or [(s, c, r, None, None)]
+    tree = tiling.patch_tree(low, high, 2)
+    assert "Broadcast" not in planned(tree) and "Broadcast" not in planned(tiling.patch_tree(low, high, 2, drop_childless=True))
+    assert sorted(map(tuple, tree.collect()), key=str) == sorted(want, key=str) and len(want) > 50

@@ -46,6 +46,11 @@ def level_plan(slides: DataFrame, base_mag: float = 20, levels: tuple[int, ...]
     return rows.withColumn("mag", mag).withColumn("dz_level", (F.col("level_count") - F.col("depth") - 1).cast("int")).withColumn("position", place).drop("level_count")
 
 
+def dealt(slides: DataFrame, slide: str = "slide_name") -> DataFrame:
+    """slides dealt out by their name, before their tiles are enumerated: a table of slides is small enough for one task, their tiles aren't."""
+    return slides.repartition(slide)
+
+
 def level_size(size: Column | str, depth: Column | str = "depth") -> Column:
     return F.ceil(_c(size) / F.pow(F.lit(2.0), _c(depth))).cast("int")
 
@@ -127,10 +132,10 @@ def children_kept(high: DataFrame, low: DataFrame, factor: int, slide: str = "sl
 
 
 def patch_tree(low: DataFrame, high: DataFrame, factor: int, slide: str = "slide_name", drop_childless: bool = False) -> DataFrame:
-    """(slide, col, row, child_col, child_row): each low tile with its high tiles; one without any stays, with nulls, unless dropped."""
+    """(slide, col, row, child_col, child_row): each low tile with its high tiles; one without any stays, with nulls, unless dropped. Neither side is broadcast."""
     h = _parent_key(high, factor).select(F.col(slide).alias("_slide"), F.col("col").alias("child_col"), F.col("row").alias("child_row"), "parent_col", "parent_row")
     on = (low[slide] == h._slide) & (low["col"] == h.parent_col) & (low["row"] == h.parent_row)
-    return low.join(h, on, "inner" if drop_childless else "left").select(low[slide], low["col"], low["row"], "child_col", "child_row")
+    return low.join(h.hint("merge"), on, "inner" if drop_childless else "left").select(low[slide], low["col"], low["row"], "child_col", "child_row")
 
 
 def _spread(x: Column) -> Column:

@@ -317,7 +317,7 @@ def bags_completed(spark: SparkSession, d: str) -> DataFrame:
 
 def _slides(spark: SparkSession, d: str) -> DataFrame:
     cols = {"slide_name": F.col("p_partkey"), "width": 1000 + 37 * F.col("p_size"), "height": 700 + 29 * F.col("p_size"), "objective": F.when(F.col("p_size") % 3 == 0, 20.0).when(F.col("p_size") % 3 == 1, 40.0).otherwise(30.0)}
-    return _table(spark, d, "part").select(*(c.alias(n) for n, c in cols.items()))
+    return tiling.dealt(_table(spark, d, "part").select(*(c.alias(n) for n, c in cols.items())))
 
 
 PLAN = """sl AS (SELECT p_partkey AS slide_name, 1000 + 37 * p_size AS width, 700 + 29 * p_size AS height, CASE p_size % 3 WHEN 0 THEN 20e0 WHEN 1 THEN 40e0 ELSE 30e0 END AS objective FROM part),
