@@ -303,3 +303,12 @@ def test_the_tree_broadcasts_no_grid(spark):
     tree = tiling.patch_tree(low, high, 2)
     assert "Broadcast" not in planned(tree) and "Broadcast" not in planned(tiling.patch_tree(low, high, 2, drop_childless=True))
     assert sorted(map(tuple, tree.collect()), key=str) == sorted(want, key=str) and len(want) > 50
+
+
+def test_children_kept_broadcasts_no_grid(spark):
+    _, low, high = grids(spark)
+    have = {(r.slide_name, r.col, r.row) for r in low.collect()}
+    want = sorted((r.slide_name, r.col, r.row) for r in high.collect() if (r.slide_name, r.col // 2, r.row // 2) in have)
+    kept = tiling.children_kept(high, low, 2)
+    assert "Broadcast" not in planned(kept)
+    assert sorted((r.slide_name, r.col, r.row) for r in kept.collect()) == want and want

@@ -126,13 +126,16 @@ def _parents(low: DataFrame, slide: str) -> DataFrame:
 
 
 def children_kept(high: DataFrame, low: DataFrame, factor: int, slide: str = "slide_name") -> DataFrame:
-    """High tiles whose low tile survived, with its position: an equi-join on the divided position."""
-    h, p = _parent_key(high, factor), _parents(low, slide)
+    """High tiles whose low tile survived, with its position: an equi-join on the divided position.
+
+    Neither side is broadcast: a grid's size is estimated by that of its slides, so that the tiles of many slides would pass the driver.
+    """
+    h, p = _parent_key(high, factor), _parents(low, slide).hint("merge")
     return h.join(p, (h[slide] == p._slide) & (h.parent_col == p._col) & (h.parent_row == p._row), "left_semi")
 
 
 def patch_tree(low: DataFrame, high: DataFrame, factor: int, slide: str = "slide_name", drop_childless: bool = False) -> DataFrame:
-    """(slide, col, row, child_col, child_row): each low tile with its high tiles; one without any stays, with nulls, unless dropped. Neither side is broadcast."""
+    """(slide, col, row, child_col, child_row): each low tile with its high tiles; one without any stays, with nulls, unless dropped. Neither side is broadcast, as in children_kept."""
     h = _parent_key(high, factor).select(F.col(slide).alias("_slide"), F.col("col").alias("child_col"), F.col("row").alias("child_row"), "parent_col", "parent_row")
     on = (low[slide] == h._slide) & (low["col"] == h.parent_col) & (low["row"] == h.parent_row)
     return low.join(h.hint("merge"), on, "inner" if drop_childless else "left").select(low[slide], low["col"], low["row"], "child_col", "child_row")
