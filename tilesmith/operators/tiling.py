@@ -113,8 +113,8 @@ def failures(tiles: DataFrame) -> DataFrame:
 
 
 def pending(grid: DataFrame, stored: DataFrame, keys: tuple[str, ...] = ("slide_name", "mag", "col", "row")) -> DataFrame:
-    """The tiles that aren't stored yet."""
-    return grid.join(stored.select(*keys).distinct(), list(keys), "left_anti")
+    """The tiles that aren't stored yet. Neither side is broadcast, as in children_kept."""
+    return grid.join(stored.select(*keys).hint("merge"), list(keys), "left_anti")
 
 
 def _parent_key(high: DataFrame, factor: int) -> DataFrame:
