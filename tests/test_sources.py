@@ -1,6 +1,9 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from tilesmith.functions import images
 from tilesmith.operators import tiling
 from tilesmith.operators import cohort
 from tilesmith.sources import bags, files, slides
@@ -199,3 +202,40 @@ def test_bounds_of_properties(spark):
     got = [(r.offset_x, r.offset_y, r.width, r.height, r.error) for r in tiling.bounded(tiling.with_bounds(df)).orderBy("i").collect()]
     plain = (0, 0, 100, 90)
     assert got == [(5, 6, 70, 80, None), (*plain, "bad bounds x: a"), (*plain, "bad bounds y: -1"), (*plain, "before"), (*plain, None), (*plain, None)]
+
+
+def test_partitions_of_tiles_do_not_grow_with_the_slides(tmp_path):
+    """Each task costs more than a few tiles do, so many slides fill partitions and don't add to them."""
+    n = 6000
+    pq.write_table(pa.table({"path": [f"{i}.svs" for i in range(n)], "width": pa.array([700] * n, pa.int32()), "height": pa.array([600] * n, pa.int32())}), tmp_path / "described.parquet")
+    options = {"described": str(tmp_path / "described.parquet"), "depths": "1,2", "tile_size": "128", "rows": ":2", "cols": "1:3"}
+    plans = [slides.TileReader(options | more).partitions() for more in ({}, {"partitions": "50"}, {"partitions": "50", "tiles": "2000"})]
+    assert 900 < len(plans[0]) <= 1000 and 45 < len(plans[1]) <= 50 and len(plans[2]) == 18
+    for plan in plans:
+        assert sorted((b.path, b.depth, b.rows) for p in plan for b in p.blocks) == sorted((f"{i}.svs", d, range(2)) for i in range(n) for d in (1, 2))
+
+
+def test_tiles_leave_the_worker_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(slides, "BATCH_BYTES", 5 * 64 * 64 * 3)
+    reader = slides.TileReader({"paths": "a.svs;b.svs", "tile_size": "64", "tiles": "100000"})
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert {b.num_rows for b in batches[:-1]} == {5} and batches[-1].num_rows <= 5
+    keys = [(r["path"], r["row"], r["col"]) for b in batches for r in b.to_pylist()]
+    want = [(p, r, c) for p in ("a.svs", "b.svs") for w, h, _ in [slides.SyntheticBackend().describe(p)] for r in range(-(-h // 64)) for c in range(-(-w // 64))]
+    assert keys == want
+
+
+def test_synthetic_pixels_and_edge_values_are_those_of_the_plain_formulas():
+    backend, rng = slides.SyntheticBackend(), np.random.default_rng(0)
+    for path, depth, x, y, w, h, ox, oy in (("a.svs", 0, 5, 7, 90, 31, 64, 32), ("b.svs", 2, 50, 17, 33, 64, 3, 5), ("c.svs", 1, 0, 0, 300, 300, 0, 0)):
+        width, height, _ = backend.describe(path)
+        yy, xx = (np.mgrid[y : y + h, x : x + w] + 0.5) * 2**depth + np.array([oy, ox])[:, None, None]
+        inside = ((xx - width / 2) / (0.4 * width)) ** 2 + ((yy - height / 2) / (0.4 * height)) ** 2 < 1
+        want = np.stack([np.where(inside, 60 + (xx // 8 + yy // 8) % 2 * 120 + 10 * b, 255) for b in range(3)], -1)
+        assert (backend.region(path, depth, x, y, w, h, ox, oy) == want).all()
+    for x in (rng.integers(0, 256, (9, 7, 3), np.uint8), np.full((5, 5), 255, np.uint8), rng.integers(0, 2, (6, 6, 1), np.uint8) * np.uint8(255)):
+        bands, total = np.atleast_3d(x).astype(int), 0
+        for i, j in np.ndindex(x.shape[:2]):
+            inner = 0 < i < x.shape[0] - 1 and 0 < j < x.shape[1] - 1
+            total += (np.clip(9 * bands[i, j] - bands[i - 1 : i + 2, j - 1 : j + 2].sum((0, 1)), 0, 255) if inner else bands[i, j]).sum()
+        assert images.edge_value(x, 8) == total / bands.shape[2] / 64

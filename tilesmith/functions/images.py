@@ -46,10 +46,11 @@ def chw(pixels: np.ndarray) -> np.ndarray:
 
 def edges(band: np.ndarray) -> np.ndarray:
     """Eight times the pixel less its neighbours, clipped to 0..255; the outermost pixels stay as they are. Further axes are bands."""
-    x = band.astype(np.int32)
+    x = band.astype(np.int16 if band.dtype == np.uint8 else np.int32)  # nine bytes' sum fits 16 bits
     out = x.copy()
     if min(x.shape[:2]) > 2:
-        around = sum(x[1 + i : x.shape[0] - 1 + i, 1 + j : x.shape[1] - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1))
+        rows = x[:-2] + x[1:-1] + x[2:]
+        around = rows[:, :-2] + rows[:, 1:-1] + rows[:, 2:]
         out[1:-1, 1:-1] = np.clip(9 * x[1:-1, 1:-1] - around, 0, 255)
     return out
 
@@ -57,7 +58,7 @@ def edges(band: np.ndarray) -> np.ndarray:
 def edge_value(pixels: np.ndarray, tile_size: int) -> float:
     """Sum of edges a band, mean over the bands, over tile_size squared (not over the pixels at hand)."""
     bands = pixels[..., None] if pixels.ndim == 2 else pixels
-    return float(edges(bands).sum((0, 1)).mean() / tile_size**2)
+    return float(edges(bands).sum(dtype=np.int64) / bands.shape[2] / tile_size**2)
 
 
 def edge_score(height: int, width: int, channels: int, tile_size: int):
@@ -104,13 +105,15 @@ def resized(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
 
     Shrinking widens the filter, so that no pixel is passed over. Sums stay below 2 ** 53, so doubles hold them exactly.
     """
+    if pixels.shape[:2] == (height, width):
+        return pixels
     out = pixels.astype(np.float64)
     for axis, m in ((1, width), (0, height)):
         n = out.shape[axis]
         if n != m:
             sums = np.moveaxis(np.tensordot(_weights(n, m), out, (1, axis)), 0, axis)
             out = np.clip(np.floor((sums + 2 ** (WEIGHT_BITS - 1)) / 2**WEIGHT_BITS), 0, 255)
-    return pixels if pixels.shape[:2] == (height, width) else out.astype(np.uint8)
+    return out.astype(np.uint8)
 
 
 def resize(height: int, width: int, to_height: int, to_width: int, channels: int = 1):

@@ -63,11 +63,14 @@ class SyntheticBackend:
         if "broken" in path:
             raise OSError("unreadable region")
         width, height, _ = self.describe(path)
-        yy, xx = (np.mgrid[y : y + h, x : x + w] + 0.5) * 2**depth
-        yy, xx = yy + offset_y, xx + offset_x
+        xx = (np.arange(x, x + w)[None, :] + 0.5) * 2**depth + offset_x
+        yy = (np.arange(y, y + h)[:, None] + 0.5) * 2**depth + offset_y
         inside = ((xx - width / 2) / (0.4 * width)) ** 2 + ((yy - height / 2) / (0.4 * height)) ** 2 < 1
-        check = ((xx // 8 + yy // 8) % 2) * 120
-        return np.stack([np.where(inside, 60 + check + 10 * b, 255) for b in range(3)], -1).astype(np.uint8)
+        check = (((xx // 8 % 2 != yy // 8 % 2) * 120) + 60).astype(np.uint8)
+        out = np.full((h, w, 3), 255, np.uint8)
+        for b in range(3):
+            np.copyto(out[..., b], check + np.uint8(10 * b), where=inside)
+        return out
 
 
 class OpenSlideBackend:
@@ -224,10 +227,13 @@ class _Tiles(InputPartition):
 class TileSource(DataSource):
     """spark.read.format("tilesmith_tiles"): the tiles of levels of slides, by blocks of rows; small blocks share a partition.
 
+    A task costs more than a few tiles do, so partitions hold more blocks where there are many: their number stays about at the option
+    partitions, however many slides there are. Tiles leave the worker in batches of about BATCH_BYTES of pixels.
+
     Options: described, a Parquet table of (path, width, height) with offset_x and offset_y if slides are ``bounded`` (see
     ``described`` and ``tiling.with_bounds``), so that planning opens no slide; or paths, separated by ;, which the driver opens
     and cuts down to their bounds (bounds=false: not). depths (a comma between), tile_size, block (rows of tiles
-    in a block), tiles (of a partition, at least, if there are so many), backend.
+    in a block), tiles (of a partition, at least, if there are so many), partitions (about as many at most, but for large blocks), backend.
 
     rows and cols ("2:5", either end may be missing), depths and above (tiles of an edge score over it, and those that can't be
     read) say what to read: nothing else is planned or read, and no pixel of other tiles leaves the worker. They are options and not
@@ -255,13 +261,22 @@ def _within(wanted: str | None, n: int) -> range:
     return range(n)[int(first) if first.strip() else None : int(last) if last.strip() else None]
 
 
+#: What leaves a worker at once, in bytes of pixels and in tiles.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 10_000
+KINDS = {"path": pa.string(), "depth": pa.int32(), "col": pa.int32(), "row": pa.int32(), "pixels": pa.binary(), "edge": pa.float64(), "error": pa.string()}
+
+
+def _batch(tiles: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*tiles), KINDS.values())], list(KINDS))
+
+
 class TileReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.paths = [p for p in options.get("paths", "").split(";") if p]
         self.described = options.get("described")
         self.depths = [int(x) for x in str(options.get("depths", options.get("depth", 0))).split(",")]
         self.size, self.block = (int(options.get(k, d)) for k, d in (("tile_size", 224), ("block", 4)))
-        self.tiles = int(options.get("tiles", 32))
+        self.tiles, self.most = int(options.get("tiles", 32)), int(options.get("partitions", 1000))
         self.backend, self.bounds = options.get("backend", "synthetic"), options.get("bounds", "true").lower() != "false"
         self.rows, self.cols = options.get("rows"), options.get("cols")
         self.above = float(options["above"]) if "above" in options else None
@@ -296,18 +311,27 @@ class TileReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out, held, n = [], [], 0
-        for block, tiles in self._blocks():
+        blocks = list(self._blocks())
+        least = max(self.tiles, ceil(sum(tiles for _, tiles in blocks) / self.most))
+        for block, tiles in blocks:
             held.append(block)
             n += tiles
-            if n >= self.tiles:
+            if n >= least:
                 out.append(_Tiles(held))
                 held, n = [], 0
         return [*out, _Tiles(held)] if held or not out else out
 
-    def read(self, partition: _Tiles) -> Iterator[tuple]:
-        reader = opened(self.backend)
+    def read(self, partition: _Tiles) -> Iterator[pa.RecordBatch]:
+        reader, held, size = opened(self.backend), [], 0
         for b in partition.blocks:
-            yield from self._tiles_of(reader, b)
+            for tile in self._tiles_of(reader, b):
+                held.append(tile)
+                size += len(tile[4] or b"")
+                if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+                    yield _batch(held)
+                    held, size = [], 0
+        if held:
+            yield _batch(held)
 
     def _tiles_of(self, reader: SlideBackend, b: _Block) -> Iterator[tuple]:
         (w, h), n = b.size, self.size
